@@ -19,6 +19,7 @@ from sondage.session import cut_lineage, ship_by_value
 ship_by_value(kernels)
 BOUNDS_A, BOUNDS_B = (0.05, 4.0), (-5.0, 5.0)
 NODES, SPAN = 21, 4.0
+SMALL_RUN = 50_000
 
 
 def item_medians(items: DataFrame) -> DataFrame:
@@ -94,37 +95,67 @@ def abilities(binary: DataFrame, parameters: DataFrame, nodes: int = NODES, span
     )
 
 
-def fit_discrimination(
-    binary: DataFrame, max_iterations: int = 60, tolerance: float = 0.01, nodes: int = NODES, span: float = SPAN
-) -> DataFrame:
-    """(run, item, a, b, iterations, converged); runs below the minimum shape are left out."""
-    shape = binary.groupBy("run_id", "item").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("p"))
-    persons = binary.groupBy("run_id", "persona_id").agg(F.count(F.lit(1)).alias("k")).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("persons")
-    )
-    big = shape.groupBy("run_id").agg(F.count(F.lit(1)).alias("m")).join(persons, "run_id").where(
-        (F.col("persons") >= config.IRT_MIN_PERSONS) & (F.col("m") >= config.IRT_MIN_ITEMS)
-    )
+def starting_values(binary: DataFrame) -> DataFrame:
+    """Slope 1 and the logit of the share right, for runs of at least the minimum shape."""
+    shape = binary.groupBy("run_id", "item").agg(F.avg("y").alias("p"))
+    persons = binary.groupBy("run_id", "persona_id").agg(F.count(F.lit(1)).alias("k"))
+    persons = persons.groupBy("run_id").agg(F.count(F.lit(1)).alias("persons"))
+    items = shape.groupBy("run_id").agg(F.count(F.lit(1)).alias("m"))
+    enough = (F.col("persons") >= config.IRT_MIN_PERSONS) & (F.col("m") >= config.IRT_MIN_ITEMS)
+    fitted = items.join(persons, "run_id").where(enough).select("run_id")
     p = F.greatest(F.least(F.col("p"), F.lit(0.99)), F.lit(0.01))
-    parameters = cut_lineage(
-        shape.join(big.select("run_id"), "run_id", "left_semi").select(
-            "run_id", "item", F.lit(1.0).alias("a"), (-F.ln(p / (1 - p))).alias("b"), F.lit(9.9).alias("delta")
-        )
+    return shape.join(fitted, "run_id", "left_semi").select(
+        "run_id", "item", F.lit(1.0).alias("a"), (-F.ln(p / (1 - p))).alias("b")
     )
+
+
+def fit_discrimination(
+    binary: DataFrame,
+    max_iterations: int = 200,
+    tolerance: float = 0.005,
+    nodes: int = NODES,
+    span: float = SPAN,
+    small_run: int = SMALL_RUN,
+) -> DataFrame:
+    """(run, item, a, b, iterations, converged); runs below the minimum shape are left out.
+
+    Runs with few distinct patterns are fitted one per task, all in one job.
+    Runs above `small_run` patterns iterate as distributed sums instead.
+    """
+    start = cut_lineage(starting_values(binary))
     patterns = answer_patterns(binary).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = patterns.groupBy("run_id").agg(F.count(F.lit(1)).alias("patterns"))
+    large = cut_lineage(sizes.where(F.col("patterns") > small_run).select("run_id"))
+    has_large = not large.isEmpty()
+    schema = "run_id string, item string, a double, b double, iterations int, converged boolean"
+    small = patterns.join(large, "run_id", "left_anti") if has_large else patterns
+    fitted = (
+        small.join(_packed(start), "run_id")
+        .groupBy("run_id")
+        .applyInPandas(kernels.fit_run(nodes, span, BOUNDS_A, BOUNDS_B, max_iterations, tolerance), schema)
+    )
+    if has_large:
+        big = patterns.join(large, "run_id", "left_semi")
+        own = start.join(large, "run_id", "left_semi")
+        fitted = fitted.unionByName(_fit_distributed(big, own, max_iterations, tolerance, nodes, span))
+    fitted = cut_lineage(fitted)
+    patterns.unpersist()
+    return fitted
+
+
+def _fit_distributed(patterns, parameters, max_iterations, tolerance, nodes, span) -> DataFrame:
+    """Expectation-maximisation with one job per iteration; only item rows move."""
+    parameters = parameters.withColumn("delta", F.lit(9.9))
     done = 0
-    try:
-        for done in range(1, max_iterations + 1):
-            counts = posterior_counts(patterns, parameters.drop("delta"), nodes, span)
-            stepped = counts.join(parameters.drop("delta"), ["run_id", "item"]).mapInPandas(
-                kernels.newton_update(nodes, span, BOUNDS_A, BOUNDS_B),
-                "run_id string, item string, a double, b double, delta double",
-            )
-            parameters = cut_lineage(stepped)
-            if (parameters.agg(F.max("delta")).first()[0] or 0.0) < tolerance:
-                break
-    finally:
-        patterns.unpersist()
+    for done in range(1, max_iterations + 1):
+        counts = posterior_counts(patterns, parameters.drop("delta"), nodes, span)
+        stepped = counts.join(parameters.drop("delta"), ["run_id", "item"]).mapInPandas(
+            kernels.newton_update(nodes, span, BOUNDS_A, BOUNDS_B),
+            "run_id string, item string, a double, b double, delta double",
+        )
+        parameters = cut_lineage(stepped)
+        if (parameters.agg(F.max("delta")).first()[0] or 0.0) < tolerance:
+            break
     settled = parameters.groupBy("run_id").agg((F.max("delta") < tolerance).alias("converged"))
     return parameters.join(settled, "run_id").select(
         "run_id", "item", "a", "b", F.lit(done).alias("iterations"), "converged"

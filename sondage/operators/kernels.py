@@ -76,10 +76,8 @@ def _probabilities(a, b, theta):
     return np.clip(1.0 / (1.0 + np.exp(-z)), 1e-9, 1 - 1e-9)
 
 
-def _posterior(part, theta, prior):
-    names = list(part["param_item"].iloc[0])
-    a = np.asarray(part["param_a"].iloc[0], dtype=float)
-    b = np.asarray(part["param_b"].iloc[0], dtype=float)
+def _answers(part, names):
+    """Answered and right-answer indicator matrices, patterns by items."""
     place = {name: i for i, name in enumerate(names)}
     owner, items = _flatten(part["items"].tolist())
     _, answers = _flatten(part["ys"].tolist())
@@ -88,10 +86,23 @@ def _posterior(part, theta, prior):
     right = np.zeros_like(seen)
     seen[owner, column] = 1.0
     right[owner, column] = answers.astype(float)
+    return seen, right
+
+
+def _node_weights(seen, right, a, b, theta, prior):
+    """Posterior over the nodes for every pattern."""
     p = _probabilities(a, b, theta)
     log_like = right @ np.log(p) + (seen - right) @ np.log(1 - p) + np.log(prior)[None, :]
     post = np.exp(log_like - log_like.max(axis=1, keepdims=True))
-    return names, seen, right, post / post.sum(axis=1, keepdims=True)
+    return post / post.sum(axis=1, keepdims=True)
+
+
+def _posterior(part, theta, prior):
+    names = list(part["param_item"].iloc[0])
+    a = np.asarray(part["param_a"].iloc[0], dtype=float)
+    b = np.asarray(part["param_b"].iloc[0], dtype=float)
+    seen, right = _answers(part, names)
+    return names, seen, right, _node_weights(seen, right, a, b, theta, prior)
 
 
 def expected_counts(nodes: int, span: float):
@@ -124,8 +135,22 @@ def abilities(nodes: int, span: float):
     return step
 
 
-def newton_update(nodes: int, span: float, bounds_a, bounds_b, rounds: int = 6):
-    """M-step, vectorised over items: Newton on slope and intercept, kept inside the bounds."""
+def _newton(r, n, a, b, theta, bounds_a, bounds_b, rounds=6):
+    """Newton on slope and intercept of every item at once, kept inside the bounds."""
+    for _ in range(rounds):
+        p = _probabilities(a, b, theta)
+        miss, info = r - n * p, n * p * (1 - p)
+        g_a, g_c = miss @ theta, miss.sum(axis=1)
+        h_aa, h_ac, h_cc = info @ theta**2 + 1e-9, info @ theta, info.sum(axis=1) + 1e-9
+        det = np.maximum(h_aa * h_cc - h_ac**2, 1e-12)
+        c = -a * b + np.clip((h_aa * g_c - h_ac * g_a) / det, -1.5, 1.5)
+        a = np.clip(a + np.clip((h_cc * g_a - h_ac * g_c) / det, -1.0, 1.0), *bounds_a)
+        b = np.clip(-c / a, *bounds_b)
+    return a, b
+
+
+def newton_update(nodes: int, span: float, bounds_a, bounds_b):
+    """M-step over item rows holding their expected counts."""
     theta, _ = quadrature(nodes, span)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,18 +158,7 @@ def newton_update(nodes: int, span: float, bounds_a, bounds_b, rounds: int = 6):
             r = pdf[[f"r{q}" for q in range(nodes)]].to_numpy()
             n = pdf[[f"n{q}" for q in range(nodes)]].to_numpy()
             old = pdf["a"].to_numpy(dtype=float)
-            a, b = old.copy(), pdf["b"].to_numpy(dtype=float)
-            for _ in range(rounds):
-                p = _probabilities(a, b, theta)
-                miss, info = r - n * p, n * p * (1 - p)
-                g_a, g_c = miss @ theta, miss.sum(axis=1)
-                h_aa, h_ac, h_cc = info @ theta**2 + 1e-9, info @ theta, info.sum(axis=1) + 1e-9
-                det = np.maximum(h_aa * h_cc - h_ac**2, 1e-12)
-                d_a = np.clip((h_cc * g_a - h_ac * g_c) / det, -1.0, 1.0)
-                d_c = np.clip((h_aa * g_c - h_ac * g_a) / det, -1.5, 1.5)
-                c = -a * b + d_c
-                a = np.clip(a + d_a, *bounds_a)
-                b = np.clip(-c / a, *bounds_b)
+            a, b = _newton(r, n, old, pdf["b"].to_numpy(dtype=float), theta, bounds_a, bounds_b)
             yield pd.DataFrame(
                 {"run_id": pdf["run_id"], "item": pdf["item"], "a": a, "b": b, "delta": np.abs(a - old)}
             )
@@ -152,6 +166,29 @@ def newton_update(nodes: int, span: float, bounds_a, bounds_b, rounds: int = 6):
     return step
 
 
+def fit_run(nodes: int, span: float, bounds_a, bounds_b, max_iterations: int, tolerance: float):
+    """Whole fit of one run whose pattern count was checked to be small."""
+    theta, prior = quadrature(nodes, span)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = list(pdf["param_item"].iloc[0])
+        a = np.asarray(pdf["param_a"].iloc[0], dtype=float)
+        b = np.asarray(pdf["param_b"].iloc[0], dtype=float)
+        seen, right = _answers(pdf, names)
+        weight = pdf["n"].to_numpy(dtype=float)[:, None]
+        change, iterations = np.full(len(names), np.inf), 0
+        while iterations < max_iterations and change.max() >= tolerance:
+            post = _node_weights(seen, right, a, b, theta, prior) * weight
+            new_a, new_b = _newton(right.T @ post, seen.T @ post, a, b, theta, bounds_a, bounds_b)
+            change, a, b, iterations = np.abs(new_a - a), new_a, new_b, iterations + 1
+        return pd.DataFrame(
+            {"run_id": pdf["run_id"].iloc[0], "item": names, "a": a, "b": b,
+             "iterations": iterations, "converged": bool(change.max() < tolerance)}
+        )
+
+    return fit
+
+
 class Breaker:
     """State of one caller's failure alarm while its calls are replayed in order."""
 

@@ -9,6 +9,8 @@ from sondage.plans.registry import CHECKS, QUERIES
 MODULES = [
     "shift_queries",
     "item_queries",
+    "population_queries",
+    "skiplogic_queries",
 ]
 for _name in MODULES:
     importlib.import_module(f"sondage.plans.{_name}")
