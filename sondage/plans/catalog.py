@@ -11,6 +11,7 @@ MODULES = [
     "item_queries",
     "population_queries",
     "skiplogic_queries",
+    "probe_queries",
 ]
 for _name in MODULES:
     importlib.import_module(f"sondage.plans.{_name}")
