@@ -12,6 +12,7 @@ MODULES = [
     "population_queries",
     "skiplogic_queries",
     "probe_queries",
+    "log_queries",
 ]
 for _name in MODULES:
     importlib.import_module(f"sondage.plans.{_name}")
