@@ -13,6 +13,8 @@ MODULES = [
     "skiplogic_queries",
     "probe_queries",
     "log_queries",
+    "defect_queries",
+    "report_queries",
 ]
 for _name in MODULES:
     importlib.import_module(f"sondage.plans.{_name}")
