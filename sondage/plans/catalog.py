@@ -15,6 +15,7 @@ MODULES = [
     "log_queries",
     "defect_queries",
     "report_queries",
+    "stream_queries",
 ]
 for _name in MODULES:
     importlib.import_module(f"sondage.plans.{_name}")
