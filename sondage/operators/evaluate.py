@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sondage import config
 from sondage.operators.ordered import over_order
+from sondage.session import literal_table
 
 NOTABLE = ["medium", "high"]
 
@@ -66,9 +67,8 @@ def scores(counts: DataFrame) -> DataFrame:
 
 def calibration_f1(spark: SparkSession, counts: DataFrame) -> DataFrame:
     """Scores per cell, per class and overall (mean F1 over all six classes)."""
-    grid = spark.createDataFrame(
-        [(c, s) for c in config.DEFECT_CLASSES for s in config.DEFECT_SEVERITIES], "defect_class string, severity string"
-    )
+    cells = [{"defect_class": c, "severity": s} for c in config.DEFECT_CLASSES for s in config.DEFECT_SEVERITIES]
+    grid = literal_table(spark, cells, "defect_class string, severity string")
     filled = grid.join(counts, ["defect_class", "severity"], "left").fillna(0, ["tp", "fp", "fn"])
     sums = filled.rollup("defect_class", "severity").agg(
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")],

@@ -15,6 +15,7 @@ from sondage import config
 from sondage.functions import people
 from sondage.functions.scalars import fixed1, quota_severity
 from sondage.operators.panel import normalise_audiences
+from sondage.session import cut_lineage
 
 KEY = ["age", "sex_key", "st_key", "edu_key", "known_key"]
 MODE = ["any_sex", "any_state", "edu_key", "known_key"]
@@ -112,7 +113,8 @@ def _probes(boxes: DataFrame) -> DataFrame:
 
 def box_totals(population: DataFrame, boxes: DataFrame) -> DataFrame:
     """(box_id, weight, people) for every box; boxes nobody fits get zeros."""
-    probes = _probes(boxes)
+    boxes = cut_lineage(boxes)
+    probes = cut_lineage(_probes(boxes))
     # at most 2 x 2 x 5 x 2 ways to leave attributes open, whatever the data
     modes = [tuple(r) for r in probes.select(*MODE).distinct().collect()]
     profile = population.groupBy(

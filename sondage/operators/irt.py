@@ -95,17 +95,27 @@ def abilities(binary: DataFrame, parameters: DataFrame, nodes: int = NODES, span
     )
 
 
-def starting_values(binary: DataFrame) -> DataFrame:
+def item_statistics(patterns: DataFrame) -> DataFrame:
+    """Share right, answers and sample variance per item, from the counted patterns."""
+    cells = patterns.select("run_id", "n", F.explode(F.arrays_zip("items", "ys")).alias("c"))
+    totals = cells.groupBy("run_id", F.col("c.items").alias("item")).agg(
+        F.sum("n").alias("n_personas"), F.sum(F.col("n") * F.col("c.ys")).alias("_right")
+    )
+    p = F.col("_right") / F.col("n_personas")
+    variance = F.when(F.col("n_personas") > 1, p * (1 - p) * F.col("n_personas") / (F.col("n_personas") - 1)).otherwise(0.0)
+    return totals.select("run_id", "item", p.alias("p"), "n_personas", variance.alias("variance"))
+
+
+def starting_values(patterns: DataFrame) -> DataFrame:
     """Slope 1 and the logit of the share right, for runs of at least the minimum shape."""
-    shape = binary.groupBy("run_id", "item").agg(F.avg("y").alias("p"))
-    persons = binary.groupBy("run_id", "persona_id").agg(F.count(F.lit(1)).alias("k"))
-    persons = persons.groupBy("run_id").agg(F.count(F.lit(1)).alias("persons"))
-    items = shape.groupBy("run_id").agg(F.count(F.lit(1)).alias("m"))
+    stats = item_statistics(patterns)
+    persons = patterns.groupBy("run_id").agg(F.sum("n").alias("persons"))
+    items = stats.groupBy("run_id").agg(F.count(F.lit(1)).alias("m"))
     enough = (F.col("persons") >= config.IRT_MIN_PERSONS) & (F.col("m") >= config.IRT_MIN_ITEMS)
     fitted = items.join(persons, "run_id").where(enough).select("run_id")
     p = F.greatest(F.least(F.col("p"), F.lit(0.99)), F.lit(0.01))
-    return shape.join(fitted, "run_id", "left_semi").select(
-        "run_id", "item", F.lit(1.0).alias("a"), (-F.ln(p / (1 - p))).alias("b")
+    return stats.join(fitted, "run_id", "left_semi").select(
+        "run_id", "item", F.lit(1.0).alias("a"), (-F.ln(p / (1 - p))).alias("b"), "n_personas", "variance"
     )
 
 
@@ -117,13 +127,14 @@ def fit_discrimination(
     span: float = SPAN,
     small_run: int = SMALL_RUN,
 ) -> DataFrame:
-    """(run, item, a, b, iterations, converged); runs below the minimum shape are left out.
+    """(run, item, a, b, iterations, converged, n_personas, variance) per fitted item.
 
-    Runs with few distinct patterns are fitted one per task, all in one job.
-    Runs above `small_run` patterns iterate as distributed sums instead.
+    Runs below the minimum shape are left out. The answers are read once, into
+    patterns. Runs with few distinct patterns are fitted one per task, all in
+    one job; runs above `small_run` patterns iterate as distributed sums.
     """
-    start = cut_lineage(starting_values(binary))
     patterns = answer_patterns(binary).persist(StorageLevel.MEMORY_AND_DISK)
+    start = cut_lineage(starting_values(patterns))
     sizes = patterns.groupBy("run_id").agg(F.count(F.lit(1)).alias("patterns"))
     large = cut_lineage(sizes.where(F.col("patterns") > small_run).select("run_id"))
     has_large = not large.isEmpty()
@@ -136,9 +147,9 @@ def fit_discrimination(
     )
     if has_large:
         big = patterns.join(large, "run_id", "left_semi")
-        own = start.join(large, "run_id", "left_semi")
+        own = start.join(large, "run_id", "left_semi").select("run_id", "item", "a", "b")
         fitted = fitted.unionByName(_fit_distributed(big, own, max_iterations, tolerance, nodes, span))
-    fitted = cut_lineage(fitted)
+    fitted = cut_lineage(fitted.join(start.drop("a", "b"), ["run_id", "item"]))
     patterns.unpersist()
     return fitted
 
@@ -172,17 +183,16 @@ def variance_proxy(binary: DataFrame) -> DataFrame:
     )
 
 
-def irt_flags(binary: DataFrame, fit: DataFrame) -> DataFrame:
-    """One flag per fitted item; runs that did not converge fall back to the proxy."""
-    proxy = variance_proxy(binary).withColumnRenamed("severity", "proxy_severity")
-    table = fit.join(proxy, ["run_id", "item"])
+def irt_flags(fit: DataFrame) -> DataFrame:
+    """One flag per fitted item; runs that did not converge fall back to the variance proxy."""
     ok = F.col("converged")
-    a = F.when(ok, F.col("a")).otherwise(F.col("discrimination"))
+    a = F.when(ok, F.col("a")).otherwise(F.col("variance"))
     label = F.when(ok, discrimination_label(F.col("a"))).otherwise("experimental")
-    return table.select(
+    proxy = F.when(F.col("variance") < config.PROXY_LOW_VARIANCE, "high").otherwise("none")
+    return fit.select(
         "run_id", F.col("item").alias("question_id"), a.alias("discrimination"), label.alias("interpretation"),
         ok.alias("convergence_ok"), "n_personas",
-        F.when(ok, discrimination_severity(F.col("a"))).otherwise(F.col("proxy_severity")).alias("severity"),
+        F.when(ok, discrimination_severity(F.col("a"))).otherwise(proxy).alias("severity"),
         F.when(~ok, "fit did not converge; variance proxy used").alias("note"),
         F.concat(label, F.lit(" discrimination "), fixed2(a)).alias("summary"),
     )

@@ -9,16 +9,15 @@ from sondage import config
 from sondage.functions.scalars import call_cost
 from sondage.operators import kernels
 from sondage.operators.ordered import largest_group, over_order, with_place
-from sondage.session import cut_lineage, ship_by_value
+from sondage.session import cut_lineage, literal_table, ship_by_value
 
 ship_by_value(kernels)
 
 
 def price_list(spark: SparkSession, prices: dict | None = None) -> DataFrame:
-    rows = [(m, *map(float, p)) for m, p in (prices or config.PRICES).items()]
-    return spark.createDataFrame(
-        rows, "model string, price_in double, price_out double, price_write double, price_read double"
-    )
+    names = ("model", "price_in", "price_out", "price_write", "price_read")
+    rows = [dict(zip(names, (m, *p))) for m, p in (prices or config.PRICES).items()]
+    return literal_table(spark, rows, "model string, price_in double, price_out double, price_write double, price_read double")
 
 
 def priced_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
@@ -44,27 +43,28 @@ def spend_rollup(priced: DataFrame, levels: tuple[str, ...] = ("day", "model", "
     return out.drop(*[f"_g_{level}" for level in levels])
 
 
+def _crossing(rows: DataFrame, bucket: str, cap: float) -> DataFrame:
+    """Per day: the first bucket whose spend passes the cap, and the spend before it."""
+    totals = rows.groupBy("day", bucket).agg(F.sum("cost_usd").alias("cost"), F.first("before").alias("before"))
+    running = Window.partitionBy("day").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumn("upto", F.col("before") + F.sum("cost").over(running))
+    return totals.where(F.col("upto") > cap).groupBy("day").agg(
+        F.min(F.struct(bucket, (F.col("upto") - F.col("cost")).alias("before"), F.col("upto").alias("spent_usd"))).alias("x")
+    )
+
+
 def spend_cap_breach(priced: DataFrame, cap: float = config.DAILY_CAP_USD) -> DataFrame:
     """First call of each day that takes the day's spend above the cap.
 
-    Seconds are totalled first; only the second in which the cap is crossed is
-    then ordered call by call.
+    The crossing is narrowed down on totals: the second, then the instant, then
+    the call. No step orders more than a day's seconds, a second's instants or
+    the calls of one instant.
     """
-    stamped = priced.withColumn("second", F.date_trunc("second", "ts"))
-    totals = stamped.groupBy("day", "second").agg(F.sum("cost_usd").alias("cost"))
-    running = Window.partitionBy("day").orderBy("second")
-    totals = totals.withColumn("upto", F.sum("cost").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-    crossed = totals.where(F.col("upto") > cap).groupBy("day").agg(
-        F.min(F.struct("second", (F.col("upto") - F.col("cost")).alias("before"))).alias("x")
-    )
-    crossed = crossed.select("day", "x.second", "x.before")
-    calls = stamped.join(crossed, ["day", "second"])
-    each = Window.partitionBy("day").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, 0)
-    spent = calls.withColumn("spent_usd", F.col("before") + F.sum("cost_usd").over(each))
-    first = spent.where(F.col("spent_usd") > cap).groupBy("day").agg(
-        F.min(F.struct("ts", "call_id", "spent_usd")).alias("x")
-    )
-    return first.select("day", "x.call_id", "x.spent_usd")
+    rows = priced.select("day", "ts", "call_id", "cost_usd", F.date_trunc("second", "ts").alias("second"), F.lit(0.0).alias("before"))
+    for bucket in ("second", "ts"):
+        inside = _crossing(rows, bucket, cap).select("day", F.col(f"x.{bucket}").alias(bucket), "x.before")
+        rows = rows.drop("before").join(inside, ["day", bucket])
+    return _crossing(rows, "call_id", cap).select("day", "x.call_id", "x.spent_usd")
 
 
 def cache_savings(priced: DataFrame, by: str = "model") -> DataFrame:
@@ -157,8 +157,9 @@ def _segments(calls: DataFrame, window: int, cool_down: float, max_group: int) -
 
 
 def allowed_pairs(spark: SparkSession, transitions: dict | None = None) -> DataFrame:
-    pairs = [(a, b) for a, bs in (transitions or config.RUN_TRANSITIONS).items() for b in bs]
-    return spark.createDataFrame(pairs, "from_status string, to_status string")
+    table = (transitions or config.RUN_TRANSITIONS).items()
+    pairs = [{"from_status": a, "to_status": b} for a, bs in table for b in bs]
+    return literal_table(spark, pairs, "from_status string, to_status string")
 
 
 def transition_audit(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sondage import config
 from sondage.functions import people
 from sondage.functions.hashing import uniform
+from sondage.session import cut_lineage
 
 
 def audience_predicate(
@@ -64,27 +65,35 @@ def normalise_audiences(audiences: DataFrame) -> DataFrame:
     )
 
 
-def audience_members(population: DataFrame, audiences: DataFrame) -> DataFrame:
-    """Rows of the population that fit each audience.
-
-    An equi-join on single years of age with the other bounds as residual
-    conditions. No side is forced to broadcast: the audience side is broadcast
-    when its measured size is small, and otherwise the join shuffles and splits
-    heavy ages.
-    """
-    bounds = normalise_audiences(audiences).where("age_lo <= age_hi")
-    by_age = bounds.withColumn("AGEP", F.explode(F.sequence(F.col("age_lo"), F.col("age_hi"))))
-    people_rows = population.withColumn("_inc", F.coalesce(F.col("PINCP"), F.lit(0.0)).cast("double"))
-    people_rows = people_rows.withColumn("_edu", people.education_rank(F.col("SCHL")))
+def _fits() -> Column:
     unset = lambda c: F.col(c).isNull()
-    fits = (
+    return (
         (unset("sexes") | F.array_contains(F.col("sexes"), F.col("SEX")))
         & (unset("states") | F.array_contains(F.col("states"), F.col("ST")))
         & (unset("inc_min") | (F.col("_inc") >= F.col("inc_min")))
         & (unset("inc_max") | (F.col("_inc") <= F.col("inc_max")))
         & ((F.col("edu_min") == 0) | (F.col("_edu") >= F.col("edu_min")))
     )
-    joined = people_rows.join(by_age, "AGEP").where(fits)
+
+
+def _with_bounds_columns(population: DataFrame) -> DataFrame:
+    income = F.coalesce(F.col("PINCP"), F.lit(0.0)).cast("double")
+    return population.withColumn("_inc", income).withColumn("_edu", people.education_rank(F.col("SCHL")))
+
+
+def _by_age(bounds: DataFrame) -> DataFrame:
+    return bounds.where("age_lo <= age_hi").withColumn("AGEP", F.explode(F.sequence(F.col("age_lo"), F.col("age_hi"))))
+
+
+def audience_members(population: DataFrame, audiences: DataFrame) -> DataFrame:
+    """Rows of the population that fit each audience, all of them.
+
+    An equi-join on single years of age with the other bounds as residual
+    conditions. No side is forced to broadcast: the audience side is broadcast
+    when its measured size is small, and otherwise the join shuffles and splits
+    heavy ages.
+    """
+    joined = _with_bounds_columns(population).join(_by_age(normalise_audiences(audiences)), "AGEP").where(_fits())
     return joined.select("audience_id", *population.columns)
 
 
@@ -101,17 +110,62 @@ def weighted_sample(population: DataFrame, n: int, seed: int = config.SEED, pers
     return keyed.orderBy("_key", person).limit(n).drop("_key")
 
 
+LEVELS = 40
+FEW_AUDIENCES = 1_000
+
+
+def _candidates(keyed: DataFrame, audiences: DataFrame, n: int) -> DataFrame:
+    """Members that can be among an audience's n smallest keys, and no audience short of them.
+
+    The key does not depend on the audience, so small keys are candidates
+    everywhere. People get a level, one more per halving of the key's quantile.
+    Each audience joins only the levels that should hold 4n of its members; its
+    true size, counted without joining, tells whether that sufficed, and the
+    audiences it did not suffice for join everybody.
+    """
+    from sondage.operators.feasibility import audience_match_counts
+
+    quantiles = F.percentile_approx("_key", [2.0 ** -i for i in range(1, LEVELS)], 100_000)
+    cuts = keyed.agg(quantiles.alias("q")).first()["q"] or []
+    level = F.lit(0)
+    for cut in cuts:
+        level = level + (F.col("_key") <= F.lit(cut)).cast("int")
+    sizes = cut_lineage(audience_match_counts(keyed.drop("_key"), audiences).select("audience_id", "people"))
+    deepest = F.floor(F.log2(F.greatest(F.col("people") / F.lit(4.0 * n), F.lit(1.0)))).cast("int")
+    bounds = normalise_audiences(audiences).join(sizes, "audience_id").where("people > 0")
+    first = _by_age(bounds.withColumn("from_level", F.least(deepest, F.lit(len(cuts)))))
+    first = first.withColumn("_level", F.explode(F.sequence(F.col("from_level"), F.lit(len(cuts)))))
+    people_rows = _with_bounds_columns(keyed).withColumn("_level", level)
+    kept = ["audience_id", *keyed.columns]
+    near = people_rows.join(first, ["AGEP", "_level"]).where(_fits()).select(*kept)
+    found = near.groupBy("audience_id").agg(F.count(F.lit(1)).alias("found"))
+    short = cut_lineage(
+        sizes.join(found, "audience_id", "left").where(
+            F.coalesce("found", F.lit(0)) < F.least(F.col("people"), F.lit(n))
+        ).select("audience_id")
+    )
+    if short.isEmpty():
+        return near
+    rest = audience_members(keyed, audiences.join(short, "audience_id", "left_semi"))
+    return near.join(short, "audience_id", "left_anti").select(*kept).unionByName(rest.select(*kept))
+
+
 def build_panels(
     population: DataFrame, audiences: DataFrame, n: int, seed: int = config.SEED, person: str = "person_id",
-    styles: dict | None = None,
+    styles: dict | None = None, few_audiences: int = FEW_AUDIENCES,
 ) -> DataFrame:
     """A weighted panel of persona rows for every audience at once.
 
-    The rank filter lets Spark keep n rows per audience in each task before the
-    shuffle, so a large audience sends no more than that to one task.
+    With few audiences everybody is tested against each; with many, only likely
+    candidates are, with an exact second pass where they run short. The rank
+    filter lets Spark keep n rows per audience in each task before the shuffle,
+    so a large audience sends no more than that to one task.
     """
-    members = audience_members(population, audiences).where("PWGTP > 0")
-    members = members.withColumn("_key", sampling_key(F.col(person), F.col("PWGTP"), seed))
+    keyed = population.where("PWGTP > 0").withColumn("_key", sampling_key(F.col(person), F.col("PWGTP"), seed))
+    if audiences.limit(few_audiences + 1).count() <= few_audiences:
+        members = audience_members(keyed, audiences)
+    else:
+        members = _candidates(keyed, audiences, n)
     order = Window.partitionBy("audience_id").orderBy("_key", person)
     ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     suffix = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "audience_id", F.col(person).cast("string"))), 1, 8)

@@ -8,6 +8,7 @@ from sondage import config
 from sondage.operators import irt, redundancy
 from sondage.plans import views as v
 from sondage.plans.registry import query, rnd, sql_bits, sql_signed2, with_views
+from sondage.session import literal_table
 
 V = v.VIEWS
 V["item_scores"] = """
@@ -74,8 +75,8 @@ def item_table(spark, sf_dir):
 
 
 def item_questions(spark):
-    rows = [(r, f"L{i}", i) for r in ("r0", "r1", "r2") for i in range(1, 11)]
-    return spark.createDataFrame(rows, "run_id string, question_id string, position int")
+    rows = [{"run_id": r, "question_id": f"L{i}", "position": i} for r in ("r0", "r1", "r2") for i in range(1, 11)]
+    return literal_table(spark, rows, "run_id string, question_id string, position int")
 
 
 def binary_items(spark, sf_dir):
@@ -184,8 +185,7 @@ def irt_ability(spark, sf_dir):
 
 @query("irt_discrimination")
 def irt_discrimination(spark, sf_dir):
-    binary = binary_items(spark, sf_dir)
-    flags = irt.irt_flags(binary, irt.fit_discrimination(binary))
+    flags = irt.irt_flags(irt.fit_discrimination(binary_items(spark, sf_dir)))
     return flags.withColumn("discrimination", F.round("discrimination", 4))
 
 

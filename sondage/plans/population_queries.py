@@ -9,6 +9,7 @@ from sondage.functions import hashing, people
 from sondage.operators import feasibility, panel
 from sondage.plans import views as v
 from sondage.plans.registry import query, rnd, sql_case, sql_fixed1, sql_list, sql_uniform, with_views
+from sondage.session import literal_table
 from sondage.sources.population import clean_population
 
 V = v.VIEWS
@@ -117,11 +118,14 @@ def population(spark, sf_dir):
 
 
 def audiences(spark):
-    return spark.createDataFrame(_AUDIENCES, _AUDIENCE_SCHEMA)
+    names = [c.split()[0] for c in _AUDIENCE_SCHEMA.split(", ")]
+    return literal_table(spark, [dict(zip(names, a)) for a in _AUDIENCES], _AUDIENCE_SCHEMA)
 
 
 def cells(spark):
-    return spark.createDataFrame(_CELLS, "audience_id string, cell_id string, cell map<string,string>, target_n int")
+    names = ("audience_id", "cell_id", "cell", "target_n")
+    rows = [dict(zip(names, c)) for c in _CELLS]
+    return literal_table(spark, rows, "audience_id string, cell_id string, cell map<string,string>, target_n int")
 
 
 def cell_text(df):

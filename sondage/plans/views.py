@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.session import literal_table
+
 VIEWS: dict[str, str] = {}
 
 
@@ -70,6 +72,6 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        _QUESTIONS, "run_id string, question_id string, position int, type string, n_options int"
-    )
+    names = ("run_id", "question_id", "position", "type", "n_options")
+    rows = [dict(zip(names, q)) for q in _QUESTIONS]
+    return literal_table(spark, rows, "run_id string, question_id string, position int, type string, n_options int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 
@@ -34,6 +35,14 @@ def local_session(cores: str = "8", app: str = "sondage", **conf: str) -> SparkS
     return spark
 
 
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small fixed table as a local relation, so the planner knows its size."""
+    return spark.sql(
+        "SELECT inline(from_json(:rows, :schema))",
+        args={"rows": json.dumps(rows), "schema": f"array<struct<{schema}>>"},
+    )
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one only if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
