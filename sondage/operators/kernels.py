@@ -189,6 +189,11 @@ def fit_run(nodes: int, span: float, bounds_a, bounds_b, max_iterations: int, to
     return fit
 
 
+def signed_cells(answers: dict, sign: int) -> list[tuple]:
+    """Histogram cells of one respondent's answers, to add or to take back."""
+    return [(len(answers), int(k), held[2], sign) for k, held in answers.items()]
+
+
 class Breaker:
     """State of one caller's failure alarm while its calls are replayed in order."""
 

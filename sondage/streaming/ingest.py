@@ -15,16 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sondage.operators import kernels
 from sondage.operators.responses import matched_cells
 from sondage.operators.shift import flags_from_histogram
+from sondage.session import ship_by_value
 
+ship_by_value(kernels)
 CHANGES = "run_id string, question_id string, present int, paraphrase_idx bigint, value double, n bigint"
 
 
-def _cells(answers: dict, sign: int) -> list[tuple]:
-    return [(len(answers), int(k), v[2], sign) for k, v in answers.items()]
-
-
 def histogram_changes(responses: DataFrame) -> DataFrame:
     """Stream of cell changes from a stream of (key, value, at, seq) rows."""
 
@@ -39,7 +38,7 @@ def histogram_changes(responses: DataFrame) -> DataFrame:
                     new[str(k)] = entry
         if new != old:
             state.update((json.dumps(new),))
-            rows = _cells(old, -1) + _cells(new, 1)
+            rows = kernels.signed_cells(old, -1) + kernels.signed_cells(new, 1)
             out = pd.DataFrame(rows, columns=["present", "paraphrase_idx", "value", "n"])
             out["value"] = out["value"].astype("float64")
             out.insert(0, "run_id", key[0])
