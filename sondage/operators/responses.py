@@ -1,7 +1,7 @@
 """Response table: upsert, matched panel and the answer histogram.
 
 Every response analysis starts from `matched_histogram`, whose size depends on
-the number of questions, variants and scale points, not on respondents.
+the number of questions, wordings and scale points, not on respondents.
 """
 
 from __future__ import annotations
@@ -37,11 +37,15 @@ def respondent_answers(responses: DataFrame) -> DataFrame:
 
 
 def _cells(responses: DataFrame) -> DataFrame:
-    """Answer counts split by how many wordings the respondent answered."""
+    """Answer counts split by how many wordings the respondent answered.
+
+    The window holds one respondent's wordings of one question; the counts that
+    leave each task are bounded by wordings and scale points.
+    """
+    respondent = Window.partitionBy("run_id", "question_id", "persona_id")
     return (
-        respondent_answers(responses)
-        .select("run_id", "question_id", F.size("answers").alias("present"), F.explode("answers").alias("a"))
-        .groupBy("run_id", "question_id", "present", F.col("a.paraphrase_idx"), F.col("a.value"))
+        responses.withColumn("present", F.count(F.lit(1)).over(respondent).cast("int"))
+        .groupBy("run_id", "question_id", "present", "paraphrase_idx", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
