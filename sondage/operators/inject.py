@@ -80,32 +80,71 @@ def fatigue_items(severity: str, seed: int) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, config.FATIGUE_SIZE[severity]), lambda x: x["a"])
 
 
-def survey_targets(questions: DataFrame, seed: int) -> DataFrame:
-    """One row per survey: size, and the target of every rewriting defect and severity."""
-    targets = [
-        _target(seed, d, s).alias(f"{d}__{s}") for d in REWRITES for s in config.DEFECT_SEVERITIES
-    ]
+def survey_targets(questions: DataFrame, variants: list[tuple[str, str]], seed: int) -> DataFrame:
+    """One row per survey: its size, and the target of every rewriting variant."""
+    targets = [_target(seed, d, s).alias(f"{d}__{s}") for d, s in variants if d in REWRITES]
     return questions.groupBy("survey_id").agg((F.max("position") + 1).alias("n_questions"), *targets)
 
 
-def _edited(defect: str, severity: str, seed: int) -> Column:
-    """Rows one question becomes under a defect: an array of (question_id, position, type, text, planted)."""
-    target = F.col(f"{defect}__{severity}") if defect in REWRITES else F.lit(None)
-    row = lambda qid, pos, text, planted: F.struct(
-        qid.alias("question_id"), pos.cast("int").alias("position"), F.col("type").alias("type"),
-        text.alias("text"), planted.alias("planted"),
+_TARGET = "struct<h:string,question_id:string,position:int>"
+
+
+def _variant_list(variants: list[tuple[str, str]]) -> Column:
+    """The variants as an array, each with its target question in this survey."""
+    target = lambda d, s: F.col(f"{d}__{s}") if d in REWRITES else F.lit(None)
+    return F.array(*[
+        F.struct(F.lit(d).alias("defect_class"), F.lit(s).alias("severity"), target(d, s).cast(_TARGET).alias("target"))
+        for d, s in variants
+    ])
+
+
+def _case(variants: list[tuple[str, str]], defects: dict, otherwise: Column, seed: int) -> Column:
+    """The text each variant gives a hit question; only a row's own branch is evaluated."""
+    out = F.when(F.lit(False), otherwise)
+    for d, s in variants:
+        if d in defects:
+            chosen = (F.col("defect_class") == d) & (F.col("severity") == s)
+            out = out.when(chosen, defects[d](F.col("text"), s, seed))
+    return out.otherwise(otherwise)
+
+
+def plant(questions: DataFrame, variants: list[tuple[str, str]], seed: int) -> DataFrame:
+    """Every survey under every variant, with `planted` marking the affected questions.
+
+    Targets are one row per survey before the join, and variants multiply only
+    after it, so the shuffle carries each question once.
+    """
+    targets = survey_targets(questions, variants, seed)
+    rows = (
+        questions.join(targets, "survey_id")
+        .withColumn("v", F.explode(_variant_list(variants)))
+        .select("survey_id", "question_id", "position", "type", "text", "v.*")
+        .withColumn("planted", F.coalesce(F.col("question_id") == F.col("target.question_id"), F.lit(False)))
+    )
+    rewrites = {"leading_wording": leading_text, "double_barreled": barreled_text, "loaded_language": loaded_text}
+    cloned = (F.col("defect_class") == "redundant_pair") & F.col("planted")
+    later = ((F.col("defect_class") == "redundant_pair") & (F.col("position") > F.col("target.position"))).cast("int")
+    row = lambda qid, place, text: F.struct(
+        qid.alias("question_id"), place.cast("int").alias("position"), text.alias("text")
     )
-    qid, pos, text = F.col("question_id"), F.col("position"), F.col("text")
-    if defect not in REWRITES:
-        return F.array(row(qid, pos, text, F.lit(False)))
-    hit = F.coalesce(qid == target["question_id"], F.lit(False))
-    if defect == "redundant_pair":
-        later = F.coalesce((pos > target["position"]).cast("int"), F.lit(0))
-        own = row(qid, pos + later, text, hit)
-        clone = row(F.concat(qid, F.lit("_redundant")), pos + 1, redundant_text(text, severity, seed), F.lit(True))
-        return F.when(hit, F.array(own, clone)).otherwise(F.array(own))
-    rewrite = {"leading_wording": leading_text, "double_barreled": barreled_text, "loaded_language": loaded_text}[defect]
-    return F.array(row(qid, pos, F.when(hit, rewrite(text, severity, seed)).otherwise(text), hit))
+    text = F.when(F.col("planted"), _case(variants, rewrites, F.col("text"), seed)).otherwise(F.col("text"))
+    own = row(F.col("question_id"), F.col("position") + F.coalesce(later, F.lit(0)), text)
+    if any(d == "redundant_pair" for d, _ in variants):
+        twin = row(
+            F.concat(F.col("question_id"), F.lit("_redundant")), F.col("position") + 1,
+            _case(variants, {"redundant_pair": redundant_text}, F.col("text"), seed),
+        )
+        edited = F.when(cloned, F.array(own, twin)).otherwise(F.array(own))
+    else:
+        edited = F.array(own)
+    out = rows.withColumn("e", F.explode(edited)).select(
+        "survey_id", "defect_class", "severity", "e.question_id", "e.position", "type", "e.text", "planted"
+    )
+    for d, s in variants:
+        if d == "fatigue_block":
+            block = _appended(targets, s, seed)
+            out = out.unionByName(block.withColumn("defect_class", F.lit(d)).withColumn("severity", F.lit(s)))
+    return out
 
 
 def _appended(targets: DataFrame, severity: str, seed: int) -> DataFrame:
@@ -120,19 +159,8 @@ def _appended(targets: DataFrame, severity: str, seed: int) -> DataFrame:
 
 
 def inject(questions: DataFrame, defect: str, severity: str, seed: int = config.SEED) -> DataFrame:
-    """Edited question table with `planted` marking the affected questions.
-
-    A survey without an ordinal question passes through unchanged.
-    """
-    targets = survey_targets(questions, seed)
-    rows = (
-        questions.join(targets, "survey_id")
-        .select("survey_id", F.explode(_edited(defect, severity, seed)).alias("e"))
-        .select("survey_id", "e.*")
-    )
-    if defect == "fatigue_block":
-        rows = rows.unionByName(_appended(targets, severity, seed))
-    return rows
+    """Edited question table under one defect; a survey without an ordinal question is unchanged."""
+    return plant(questions, [(defect, severity)], seed).drop("defect_class", "severity")
 
 
 def inject_quota(surveys: DataFrame, severity: str) -> DataFrame:
@@ -143,33 +171,13 @@ def inject_quota(surveys: DataFrame, severity: str) -> DataFrame:
 
 
 def fan_out(questions: DataFrame, seed: int = config.SEED) -> DataFrame:
-    """Every survey clean and under all defects and severities, in one pass.
-
-    Targets are aggregated to one row per survey before the join, and variants
-    multiply only after it, so the shuffle carries each question once.
-    """
-    targets = survey_targets(questions, seed)
-    tagged = lambda defect, severity, rows: F.transform(
-        rows, lambda r: F.struct(F.lit(defect).alias("defect_class"), F.lit(severity).alias("severity"), r.alias("e"))
-    )
-    variants = [tagged("clean", "none", _edited("clean", "none", seed))]
-    variants += [tagged(d, s, _edited(d, s, seed)) for d, s in VARIANTS]
-    rows = (
-        questions.join(targets, "survey_id")
-        .select("survey_id", F.explode(F.concat(*variants)).alias("v"))
-        .select("survey_id", "v.defect_class", "v.severity", "v.e.*")
-    )
-    for severity in config.DEFECT_SEVERITIES:
-        block = _appended(targets, severity, seed)
-        rows = rows.unionByName(
-            block.withColumn("defect_class", F.lit("fatigue_block")).withColumn("severity", F.lit(severity))
-        )
-    return rows
+    """Every survey clean and under all defects and severities: nineteen variants in one pass."""
+    return plant(questions, [("clean", "none"), *VARIANTS], seed)
 
 
 def fan_out_notes(questions: DataFrame, seed: int = config.SEED) -> DataFrame:
     """Per survey and variant: the affected question, or why nothing was planted."""
-    targets = survey_targets(questions, seed)
+    targets = survey_targets(questions, VARIANTS, seed)
     entries = []
     for defect, severity in VARIANTS:
         affected = F.col(f"{defect}__{severity}.question_id") if defect in REWRITES else F.lit(None).cast("string")
