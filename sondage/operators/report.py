@@ -41,7 +41,7 @@ def _listed(flags: DataFrame, name: str) -> DataFrame:
 
 def report_cards(
     questions: DataFrame, shift: DataFrame, irt: DataFrame, redundancy: DataFrame, screener: DataFrame, quota: DataFrame,
-    f1_overall: float | None = None,
+    examples: DataFrame | None = None, f1_overall: float | None = None,
 ) -> DataFrame:
     """One JSON report per run: its questions in order with their flags, then survey-level findings.
 
@@ -50,6 +50,9 @@ def report_cards(
     """
     key = ["run_id", "question_id"]
     severities = question_severity(questions, shift, irt)
+    if examples is not None:
+        listed = F.array_sort(F.collect_list(F.struct("paraphrase_idx", "text", "mean_response", "n")))
+        shift = shift.join(examples.groupBy(*key).agg(listed.alias("examples")), key, "left")
     nested = lambda df, name: df.select(*key, F.struct(*[c for c in df.columns if c not in key]).alias(name))
     rows = (
         severities.join(nested(shift, "paraphrase_shift"), key, "left").join(nested(irt, "irt"), key, "left")

@@ -173,6 +173,30 @@ def shift_examples(hist: DataFrame) -> DataFrame:
     return wordings(hist).where("n > 0").select(*VARIANT, "mean", "n")
 
 
+def flag_examples(hist: DataFrame, questions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """What each wording of a question got: mean answer and n, or the modal option of a choice.
+
+    `texts` (question_id, idx, shown) supplies the wording; without it the
+    original and its variants carry placeholders.
+    """
+    table = with_choices(wordings(hist), questions).join(questions.select(*QUESTION, "type"), QUESTION)
+    ordinal, single = F.col("type").isin(config.ORDINAL_TYPES), F.col("type").isin(config.SINGLE_TYPES)
+    modal = (F.array_position("g_counts", F.array_max("g_counts")) - 1).cast("double")
+    rows = table.where(
+        (F.col("n_matched") >= config.MIN_MATCHED) & F.col("base").isNotNull()
+        & ((ordinal & (F.col("n") > 0) & (F.col("base.n") > 0)) | (single & (F.col("g_total") > 0) & (F.col("f_total") > 0)))
+    ).select(
+        *VARIANT, F.when(ordinal, F.col("mean")).otherwise(modal).alias("mean_response"),
+        F.when(ordinal, F.col("n")).otherwise(F.col("n_matched")).alias("n"),
+    )
+    plain = F.when(F.col("paraphrase_idx") == 0, "<original>").otherwise(config.VARIANT_PLACEHOLDER)
+    if texts is None:
+        return rows.withColumn("text", plain)
+    shown = texts.select("question_id", F.col("idx").alias("paraphrase_idx"), F.col("shown").alias("_shown"))
+    joined = rows.join(shown, ["question_id", "paraphrase_idx"], "left")
+    return joined.withColumn("text", F.coalesce("_shown", plain)).select(*VARIANT, "mean_response", "n", "text")
+
+
 def jaccard_shift(responses: DataFrame) -> DataFrame:
     """Multi-select shift: mean 1 - |A∩B| / |A∪B| of original and variant per respondent.
 

@@ -11,9 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage import config
+from sondage.functions.scalars import lookup
 from sondage.session import cut_lineage
 
 NODE = ["survey_id", "question_id"]
+SUMMARIES = {
+    "self_loop": "is conditional on itself and can never be reached",
+    "loop": "starts a circular dependency, none of it can be reached",
+    "unreachable_question": "depends on a question asked no earlier",
+    "dead_branch": "has a condition that can never hold",
+    "contradicting_rule": "is both terminated and qualified on the same answer",
+}
 
 
 def skip_edges(questions: DataFrame) -> DataFrame:
@@ -165,4 +173,5 @@ def skip_logic_flags(questions: DataFrame, rules: DataFrame) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumn("severity", F.lit("high"))
+    summary = F.concat(F.lit("question "), F.col("subject"), F.lit(" "), lookup(F.col("flag"), SUMMARIES))
+    return out.withColumn("severity", F.lit("high")).withColumn("summary", summary)

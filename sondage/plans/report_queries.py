@@ -51,15 +51,17 @@ def report_exposure(spark, sf_dir):
     return report.report_exposure(severities(spark, sf_dir))
 
 
+_FIRST = ["all", "young_women", "graduates", "unknown_state"]
+
+
 def _survey_level(spark, sf_dir):
-    """Screener findings of the surveys and quota flags of two audiences, keyed by run."""
+    """Screener findings by kind and quota flags of all surveys and audiences, keyed by run."""
     found = skiplogic.skip_logic_flags(skip.skip_questions(spark, sf_dir), skip.rules(spark, sf_dir))
-    screener = found.where("survey_id IN (0, 1) AND flag = 'loop'").select(
-        F.concat(F.lit("r"), F.col("survey_id")).alias("run_id"), "flag", "subject", "detail", "severity"
-    )
+    run = F.concat(F.lit("r"), F.col("survey_id") % 2).alias("run_id")
+    screener = found.groupBy(run, "flag", "severity").agg(F.count(F.lit(1)).alias("findings"))
     shares = feasibility.quota_share(pop.population(spark, sf_dir), pop.audiences(spark), pop.cells(spark))
-    quota = pop.cell_text(feasibility.quota_feasibility(shares)).where("audience_id IN ('all', 'earners')").select(
-        F.when(F.col("audience_id") == "all", "r0").otherwise("r1").alias("run_id"), "cell_id", "cell", "pct", "severity"
+    quota = pop.cell_text(feasibility.quota_feasibility(shares)).select(
+        F.when(F.col("audience_id").isin(_FIRST), "r0").otherwise("r1").alias("run_id"), "audience_id", "cell_id", "cell", "pct", "severity", "summary"
     )
     return screener, quota
 
@@ -73,7 +75,8 @@ def _redundant(spark, sf_dir):
 def report_card(spark, sf_dir):
     screener, quota = _survey_level(spark, sf_dir)
     return report.report_cards(
-        v.questions(spark), sq.flags(spark, sf_dir), proxy_flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota
+        v.questions(spark), sq.flags(spark, sf_dir), proxy_flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota,
+        examples=sq.shift_examples(spark, sf_dir),
     )
 
 
@@ -82,17 +85,17 @@ SELECT a.run_id FROM base_items a JOIN base_items b ON a.run_id = b.run_id AND a
 GROUP BY a.run_id, a.item, b.item
 HAVING count(*) >= {config.MIN_PAIRS} AND stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0
    AND abs(corr(a.value, b.value)) >= {config.PEARSON_MED}"""
-OBSERVED = [*SEVERITY, "base_pairs", *skip.CYCLE, *pop.SHARES, "quota_flags"]
+OBSERVED = [*SEVERITY, "base_pairs", *skip.SKIP, *pop.SHARES, "quota_flags"]
 
 
-@query("observed_classes", skip.recursive(OBSERVED, """
+@query("observed_classes", skip.recursive(OBSERVED, f"""
 SELECT run_id, defect_class, count(*) AS flags FROM (
   SELECT run_id, 'leading_wording' AS defect_class FROM shift_flags WHERE severity IN ('medium', 'high')
   UNION ALL SELECT run_id, 'double_barreled' FROM proxy WHERE severity IN ('medium', 'high')
   UNION ALL SELECT DISTINCT run_id, 'redundant_pair' FROM base_pairs
-  UNION ALL SELECT DISTINCT 'r' || survey_id, 'infeasible_screener' FROM cycle_rows WHERE survey_id IN (0, 1)
-  UNION ALL SELECT DISTINCT CASE WHEN audience_id = 'all' THEN 'r0' ELSE 'r1' END, 'infeasible_screener' FROM quota_flags
-    WHERE audience_id IN ('all', 'earners') AND severity IN ('medium', 'high')) GROUP BY 1, 2"""))
+  UNION ALL SELECT DISTINCT 'r' || survey_id % 2, 'infeasible_screener' FROM skip_flags
+  UNION ALL SELECT DISTINCT CASE WHEN audience_id IN {sql_in(_FIRST)} THEN 'r0' ELSE 'r1' END, 'infeasible_screener' FROM quota_flags
+    WHERE severity IN ('medium', 'high')) GROUP BY 1, 2"""))
 def observed_classes(spark, sf_dir):
     screener, quota = _survey_level(spark, sf_dir)
     bag = evaluate.observed_classes(

@@ -209,6 +209,23 @@ def modal_choice(spark, sf_dir):
     return shift.modal_choice(_hist(spark, sf_dir), v.questions(spark))
 
 
+@query("shift_examples", with_views(V, CHOICE, f"""
+SELECT run_id, question_id, paraphrase_idx, {rnd('mean_response')} AS mean_response, n,
+  CASE WHEN paraphrase_idx = 0 THEN '<original>' ELSE '{config.VARIANT_PLACEHOLDER}' END AS text FROM (
+  SELECT m.run_id, m.question_id, m.paraphrase_idx, m.mean AS mean_response, m.n FROM means m JOIN questions q USING (run_id, question_id)
+  WHERE q.type IN {sql_in(config.ORDINAL_TYPES)}
+  UNION ALL
+  SELECT s.run_id, s.question_id, s.paraphrase_idx, s.c::DOUBLE, p.n FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id, question_id, paraphrase_idx ORDER BY n DESC, c) AS rn FROM shares) s
+  JOIN questions q USING (run_id, question_id)
+  JOIN (SELECT run_id, question_id, count(*) AS n FROM panel GROUP BY 1, 2) p USING (run_id, question_id)
+  WHERE s.rn = 1 AND q.type = 'single_choice')
+JOIN (SELECT run_id, question_id FROM panel GROUP BY 1, 2 HAVING count(*) >= {config.MIN_MATCHED}) USING (run_id, question_id)"""))
+def shift_examples(spark, sf_dir):
+    out = shift.flag_examples(_hist(spark, sf_dir), v.questions(spark))
+    return out.withColumn("mean_response", F.round("mean_response", 6))
+
+
 V["sets"] = """
 SELECT run_id, persona_id, question_id, paraphrase_idx,
        list_filter(range(0, 5), lambda i: (bits >> i) % 2 = 1) AS value FROM (

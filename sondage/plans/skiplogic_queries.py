@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sondage import config
 from sondage.operators import skiplogic
 from sondage.plans import views as v
-from sondage.plans.registry import query, sql_in, sql_list, with_views
+from sondage.plans.registry import query, sql_case, sql_in, sql_list, with_views
 from sondage.sources import surveys
 
 V = v.VIEWS
@@ -138,7 +138,8 @@ def rule_contradictions(spark, sf_dir):
     return out.withColumn("overlap", F.array_join(F.col("overlap").cast("array<string>"), ","))
 
 
-@query("skip_logic_flags", recursive(SKIP, "SELECT *, 'high' AS severity FROM skip_flags"))
+@query("skip_logic_flags", recursive(SKIP, f"""
+SELECT *, 'high' AS severity, 'question ' || subject || ' ' || {sql_case('flag', skiplogic.SUMMARIES)} AS summary FROM skip_flags"""))
 def skip_logic_flags(spark, sf_dir):
     return skiplogic.skip_logic_flags(skip_questions(spark, sf_dir), rules(spark, sf_dir))
 
