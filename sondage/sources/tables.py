@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sondage.operators.responses import KEY
 
 BUCKETS = 64
+FEW_PARTITIONS = 5_000
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
@@ -19,8 +20,9 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Rebalancing gathers each partition's rows and still splits one that is too large for a task."""
     (
-        rows.repartition(*by)
+        rows.hint("rebalance", *[F.col(c) for c in by])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -30,10 +32,11 @@ def _replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
 
 
 def upsert_responses(spark: SparkSession, path: str, new: DataFrame, buckets: int = BUCKETS) -> None:
-    """Last write per response key wins; untouched partitions are neither read nor written.
+    """Last write per response key wins; partitions the batch does not touch stay as they are.
 
     `new` carries ts and seq as the write order. The rewritten partitions are
-    staged by the writer and moved in place on commit.
+    staged by the writer and moved in place on commit. A batch that touches few
+    partitions also reads only those.
     """
     incoming = _bucketed(new, buckets)
     try:
@@ -44,6 +47,10 @@ def upsert_responses(spark: SparkSession, path: str, new: DataFrame, buckets: in
         merged = incoming
     else:
         touched = incoming.select("run_id", "bucket").distinct()
+        few = touched.limit(FEW_PARTITIONS + 1).collect()
+        if len(few) <= FEW_PARTITIONS:
+            runs, used = {r["run_id"] for r in few}, {r["bucket"] for r in few}
+            stored = stored.where(F.col("run_id").isin(list(runs)) & F.col("bucket").isin(list(used)))
         current = stored.join(touched, ["run_id", "bucket"], "left_semi").select(*incoming.columns)
         merged = current.unionByName(incoming)
     kept = [c for c in new.columns if c not in KEY]

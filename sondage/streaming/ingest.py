@@ -19,6 +19,7 @@ from sondage.operators import kernels
 from sondage.operators.responses import matched_cells
 from sondage.operators.shift import flags_from_histogram
 from sondage.session import ship_by_value
+from sondage.sources.tables import BUCKETS, upsert_responses
 
 ship_by_value(kernels)
 CHANGES = "run_id string, question_id string, present int, paraphrase_idx bigint, value double, n bigint"
@@ -67,6 +68,23 @@ def keep_histogram(responses: DataFrame, path: str, checkpoint: str):
     )
 
 
+def keep_responses(responses: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
+    """Start a stream that upserts every batch by response key; a replayed batch changes nothing.
+
+    Rows carry ts and seq as write order, like the batch upsert.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        upsert_responses(batch.sparkSession, path, batch, buckets)
+
+    return (
+        responses.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def current_flags(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
     """Shift flags from the stored changes alone; null values keep their own cell."""
     changes = spark.read.schema(CHANGES + ", batch bigint").parquet(path)

@@ -165,6 +165,20 @@ def test_stream_histogram_follows_changed_answers(spark, tmp_path):
     assert {r["metric"] for r in want} == {"wasserstein", "jensen_shannon"}
 
 
+def test_stream_upsert_equals_batch(spark, tmp_path):
+    from sondage.operators.responses import latest_responses
+    from sondage.sources.tables import read_responses
+
+    rng = random.Random(8)
+    rows = [(f"r{i % 2}", f"p{rng.randint(0, 5)}", "q", rng.randint(0, 2), float(i), i, i) for i in range(120)]
+    df = spark.createDataFrame(rows, "run_id string, persona_id string, question_id string, paraphrase_idx int, value double, ts bigint, seq bigint")
+    stream = feed(spark, df, f"{tmp_path}/in", 3, ["ts"])
+    ingest.keep_responses(stream, f"{tmp_path}/table", f"{tmp_path}/cp", buckets=2).awaitTermination()
+    got = read_responses(spark, f"{tmp_path}/table").select("run_id", "persona_id", "question_id", "paraphrase_idx", "value")
+    want = latest_responses(df)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_stream_breaker_equals_batch(spark, tmp_path):
     df = frame(spark, log_rows(900, fail=0.7))
     out = drain(spark, monitors.breaker_stream(feed(spark, df, f"{tmp_path}/in", 3, ["at", "call_id"])), tmp_path)

@@ -1,6 +1,5 @@
 """Population, audiences, panels and quota cells."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

@@ -4,7 +4,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from sondage.operators import skiplogic
 from sondage.sources import surveys
