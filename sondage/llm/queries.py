@@ -11,6 +11,8 @@ from sondage.llm.decontaminate import find_occurrences, hit_words, is_contaminat
 from sondage.llm.exact import exact_groups
 from sondage.llm.packing import pack_documents
 from sondage.llm.sharding import shard_by_size
+from sondage.llm.toxicity import fit_toxicity, score_toxicity, training_ids
+from sondage.llm.warc import read_records, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +27,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, training_ids(table(spark, sf_dir, "labels")))
+    scored = score_toxicity(docs, model, keep=["doc_id"]).select("row.doc_id", "score")
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    records = read_records(write_archives(pages))
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -46,12 +64,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
+    "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_sharding": op10_sharding,
 }
 
 CHECKS: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, body, min(page_id) OVER (PARTITION BY body) AS winner, ('0x' || sha1(body)[1:10])::UBIGINT AS a,
+             ('0x' || sha1(body)[11:20])::UBIGINT AS b, ('0x' || sha1(body)[21:30])::UBIGINT AS c, ('0x' || sha1(body)[31:40])::UBIGINT AS e FROM p)
+SELECT page_id, strlen(body) AS payload_bytes, array_to_string(list_transform(flatten(list_transform([a, b, c, e],
+         lambda v: list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda k: (v >> k) & 31))),
+         lambda x: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(x + 1 AS BIGINT)]), '') AS payload_digest,
+       CASE WHEN page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> winner THEN winner END AS refers_to FROM d
+""",
     "op7_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {AZ}) AS norm FROM documents),
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
