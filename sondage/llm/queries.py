@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sondage.llm.decontaminate import find_occurrences, hit_words, is_contaminated
 from sondage.llm.exact import exact_groups
+from sondage.llm.line_dedup import remove_repeated_lines
 from sondage.llm.packing import pack_documents
 from sondage.llm.sharding import shard_by_size
+from sondage.llm.substring_dedup import repeated_spans
 from sondage.llm.toxicity import fit_toxicity, score_toxicity, training_ids
 from sondage.llm.warc import read_records, write_archives
 
@@ -27,6 +29,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, training_ids(table(spark, sf_dir, "labels")))
@@ -56,6 +62,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         is_contaminated(n_hit, F.col("n_words")).alias("contaminated"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_lines", "removed", "text")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_size(table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -64,10 +74,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
 
