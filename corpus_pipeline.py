@@ -1,4 +1,4 @@
-"""The corpus pipeline: stages applied one after the other to the table `documents`."""
+"""The corpus pipeline: five stages, each applied to all that the one before it kept of the table `documents`."""
 
 from __future__ import annotations
 
@@ -6,20 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sondage.llm.common import stage
 from sondage.llm.decontaminate import drop_contaminated
+from sondage.llm.line_dedup import drop_repeated_lines
+from sondage.llm.near_join import keep_one_of_each
 from sondage.llm.packing import pack_documents
+from sondage.llm.toxicity import drop_toxic, fit_toxicity, training_ids
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier, learned from the labels outside the held-out fold, calls toxic."""
+    return drop_toxic(docs, fit_toxicity(docs, training_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of several lines that occur earlier; a document of nothing else goes."""
+    return drop_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group that a Jaccard similarity of 0.8 on 5-word shingles links."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark windows hit a twentieth or more of the words."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, each with its sequence and place."""
     return pack_documents(docs)
 
 
-STAGES = [("decontaminate", decontaminate), ("pack", pack)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: A trained classifier and a tokenizer are beyond SQL; tests compare the stages with brute force instead.
 ORACLE_SQL = None

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sondage.llm.decontaminate import find_occurrences, hit_words, is_contaminated
 from sondage.llm.exact import exact_groups
+from sondage.llm.language_model import fit_and_score
 from sondage.llm.line_dedup import remove_repeated_lines
 from sondage.llm.near_join import near_groups
 from sondage.llm.packing import pack_documents
@@ -30,6 +31,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 7
+    scored = fit_and_score(docs, F.coalesce(fold != 2, F.lit(True)), fold == 3)
+    return scored.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
 
@@ -80,6 +89,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
