@@ -58,14 +58,14 @@ def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id
     slim = source.select("doc_id", "mark", "text")
     places = stage(_chunk_rows(slim, False), "line-chunks")
     often = stage(places.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "line-repeats")
-    same = _chunk_rows(slim, True).join(often, ["hi", "lo"], "left_semi").groupBy("hi", "lo", "chunk").agg(F.count("*").alias("n"))
+    same = _chunk_rows(slim, True).hint("merge").join(often, ["hi", "lo"], "left_semi").groupBy("hi", "lo", "chunk").agg(F.count("*").alias("n"))
     proven = same.groupBy("hi", "lo").agg(F.count("*").alias("kinds")).where("kinds = 1").select("hi", "lo")
     repeats = stage(places.join(proven, ["hi", "lo"]), "line-proven")
     firsts = repeats.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "mark", "ordinal")).alias("first"))
     gone = repeats.join(firsts, ["hi", "lo"]).where(
         ~F.struct("doc_id", "mark", "ordinal").eqNullSafe(F.col("first"))
     ).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("ordinal")).alias("gone"))
-    joined = source.join(
+    joined = source.hint("merge").join(
         gone.withColumnsRenamed({"doc_id": "gone_id", "mark": "gone_mark"}),
         F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left").select("row", "text", "gone")
 
