@@ -102,8 +102,9 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     copy and goes; a column n_chars is counted anew."""
     cleaned = remove_repeated_lines(docs, doc_id=doc_id, text=text)
     lost_all = (F.size("removed") > 0) & (F.trim("text") == "")
-    rows = cleaned.where(~F.coalesce(lost_all, F.lit(False))).select("row.*", F.col("text").alias("_kept_text"), F.col("removed").alias("_removed"))
-    out = rows.withColumn(text, F.col("_kept_text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("_kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = cleaned.where(~F.coalesce(lost_all, F.lit(False)))
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {text: F.col("text")}
+    if "n_chars" in columns:
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.size("removed") > 0, counted).otherwise(columns["n_chars"])
+    return kept.select(*[value.alias(c) for c, value in columns.items()])

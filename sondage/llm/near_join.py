@@ -272,6 +272,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     """The documents with their columns, of each group of near duplicates the one with the smallest id.
     Of rows with equal id and text, all stay or none; rows without id stay."""
     gone = near_groups(docs, words, percent, doc_id, text).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
-    body = F.col(f"`{text}`").cast("binary")
-    return docs.join(gone, (F.col(f"`{doc_id}`") == F.col("_gone_id")) & (F.xxhash64(body) == F.col("_gone_mark")), "left_anti")
+        F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"),
+                       F.xxhash64(F.col(f"`{text}`").cast("binary")).alias("mark"))
+    return rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti").select("row.*")

@@ -21,6 +21,8 @@ SAMPLE_ROWS = 8_000
 FEATURES = 4_000
 #: Sample rows that a feature needs.
 SUPPORT = 4
+#: Likelihood-ratio statistic that a feature needs: about one in a hundred thousand features gets it by chance.
+GAIN = 20.0
 
 
 @dataclass(frozen=True)
@@ -39,10 +41,11 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE
                  support: int = SUPPORT, balance: float = 8.0, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Fits on at most `sample_rows` labelled rows of each label (doc_id, toxic), over their whole texts.
 
-    Features are words and stems. Those kept occur in `support` sample rows and differ most between the labels
-    (chi-square), with every group name that occurs. In sentences with group names, names are swapped, and the change in
+    Features are words and stems. Those kept occur in `support` sample rows and tell the labels apart best
+    (likelihood ratio), with every group name that occurs. In sentences with group names, names are swapped, and the change in
     the score's logit is penalised, so a name keeps the weight of its whole set and no more.
-    The loss is weighted back to the labels' true shares. Null text is empty; without rows every score is one half.
+    The loss is weighted back to the labels' true shares. Null text is empty; without labelled rows every score is 0.
+    Of repeated rows with a labelled id, each is learned from.
     """
     ship_by_value(toxicity_model, sys.modules[__name__])
     shares = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -74,9 +77,11 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE
         n0, n1 = max(1, many.get(0, 0)), max(1, many.get(1, 0))
         counted = seen.select("toxic", F.explode("own").alias("feature")).groupBy("feature").agg(
             F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") + F.col("b") >= support)
-        expected = (F.col("a") + F.col("b")) * n1 / (n0 + n1)
-        gain = (F.col("a") - expected) ** 2 / expected
-        best = [r["feature"] for r in counted.where(gain > 24).orderBy(gain.desc(), "feature").limit(max_features).collect()]
+        # likelihood-ratio statistic of each feature against the labels
+        share = n1 / (n0 + n1)
+        part = lambda seen, of: F.when(F.col(seen) > 0, F.col(seen) * F.ln(F.col(seen) / ((F.col("a") + F.col("b")) * of))).otherwise(0.0)
+        gain = 2 * (part("a", share) + part("b", 1 - share))
+        best = [r["feature"] for r in counted.where(gain > GAIN).orderBy(gain.desc(), "feature").limit(max_features).collect()]
         terms = [t for t in toxicity_model.SWAPS if " " not in t]
         named = [r["feature"] for r in counted.where(F.col("feature").isin(terms)).collect()]
         chosen = list(dict.fromkeys([*best, *named]))
@@ -89,7 +94,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE
     finally:
         seen.unpersist()
     if not fitted:
-        return ToxicityModel({}, 0.0)
+        return ToxicityModel({}, -math.inf)
     weights, bias = toxicity_model.fit(fitted, len(chosen), balance)
     # the sample holds the labels in other shares than the table: move the intercept back
     true0, true1 = max(1, shares.get(0, 0)), max(1, shares.get(1, 0))
