@@ -33,12 +33,13 @@ SURVEYED = "doc_id {kind}, mark long, name binary, n long, shared long"
 
 
 def survey_sets(source: DataFrame, words: int) -> DataFrame:
-    """doc_id, mark, name (of the shingle set), n (its size) of each document, and in further rows, with a name only, how
-    many of the set's shingles occur in other documents too. The sum of `shared` over a name is never too small.
+    """doc_id, mark, name (of the shingle set), n (its size) of each document, and in further rows, at most one for each
+    set, how many of its shingles occur in other documents too. The sum of `shared` over a name is never too small.
 
     Shingles go to buckets by hash as 32-bit fingerprints, gathered by task: a shingle that a task has met in two
     documents is known to be shared, and is sent once instead of for each. A bucket thus gets no more than one entry for
-    each task and shingle, however common that is, and its tasks read bucket after bucket.
+    each task and shingle, however common that is, and its tasks read bucket after bucket. What buckets find out about
+    a set is dealt by the set's name and summed there.
     """
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(partitions(source), -(-total // BUCKET_BYTES))
@@ -76,7 +77,7 @@ def survey_sets(source: DataFrame, words: int) -> DataFrame:
             direct = np.zeros(len(sets), dtype=np.int64)
             blobs = list(entries(sets, names, direct)) if size else []
             n, m = len(blobs), len(sets)
-            spread = [int.from_bytes(x[:6], "little") % width for x in names]
+            spread = [k % width for k in range(m)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([b[0] for b in blobs] + spread, pa.int64()),
                 *[pa.array([b[k] for b in blobs] + [None] * m, pa.binary()) for k in (1, 2, 3)],
@@ -103,13 +104,13 @@ def survey_sets(source: DataFrame, words: int) -> DataFrame:
         if sets:
             yield from flush()
 
-    def answer(prints: list[bytes], who: list[bytes], names: list[bytes]) -> dict[bytes, int]:
+    def answer(prints: list[bytes], who: list[bytes], names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The names, as rows of two longs, of which entries are shared in this bucket, and how many."""
         values = np.concatenate([np.frombuffer(p, np.uint32) for p in prints])
-        base, owners, keys = [], [], 0
+        base, keys = [], 0
         for w, x in zip(who, names):
             local, own = np.frombuffer(w, np.uint32).astype(np.int64), len(x) // 16
             base.append(np.where(local < own, local + keys, -1))
-            owners.append(x)
             keys += own
         asked = np.concatenate(base)
         order = np.argsort(values, kind="stable")
@@ -118,31 +119,40 @@ def survey_sets(source: DataFrame, words: int) -> DataFrame:
         weight = np.add.reduceat(np.where(asked[order] < 0, 2, 1), starts)
         shared = np.empty(len(values), dtype=bool)
         shared[order] = np.repeat(weight > 1, np.diff(np.r_[starts, len(values)]))
-        hits = np.bincount(asked[shared & (asked >= 0)], minlength=keys) if keys else np.zeros(0, np.int64)
-        out: dict[bytes, int] = {}
-        all_names = b"".join(owners)
-        for k in np.flatnonzero(hits).tolist():
-            name = all_names[16 * k : 16 * k + 16]
-            out[name] = out.get(name, 0) + int(hits[k])
-        return out
+        hits = np.bincount(asked[shared & (asked >= 0)], minlength=keys)
+        found = np.flatnonzero(hits)
+        return np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)[found], hits[found]
+
+    def summed(names: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, place = np.unique(names, axis=0, return_inverse=True)
+        return own, np.bincount(place.reshape(-1), many, len(own)).astype(np.int64)
+
+    known_row = f"slice long, held binary, many binary, {SURVEYED.format(kind=kind)}"
+    plain_columns = ["doc_id", "mark", "name", "n", "shared"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, prints, who, names = None, [], [], []
-        columns = ["doc_id", "mark", "name", "n", "shared"]
 
         def counted(kind):
-            got = answer(prints, who, names)
-            m = len(got)
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.array(list(got), pa.binary()), pa.nulls(m, pa.int64()),
-                 pa.array(list(got.values()), pa.int64())], names=columns)
+            own, many = summed(*answer(prints, who, names))
+            slices = (own[:, 0].astype(np.uint64) % np.uint64(width)).astype(np.int64)
+            order = np.argsort(slices, kind="stable")
+            own, many, slices = own[order], many[order], slices[order]
+            ends = (np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist() + [len(slices)] * bool(len(slices))
+            parts = list(zip([0, *ends[:-1]], ends))
+            m = len(parts)
+            return pa.RecordBatch.from_arrays([
+                pa.array([int(slices[x]) for x, _ in parts], pa.int64()), pa.array([own[x:y].tobytes() for x, y in parts], pa.binary()),
+                pa.array([many[x:y].tobytes() for x, y in parts], pa.binary()), pa.nulls(m, kind), pa.nulls(m, pa.int64()),
+                pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=["slice", "held", "many", *plain_columns])
 
         arrow = None
         for batch in batches:
             arrow = batch.schema.field("doc_id").type
             plain = batch.filter(pc.is_valid(batch.column(6)))
-            if plain.num_rows:
-                yield plain.select(columns)
+            if m := plain.num_rows:
+                yield pa.RecordBatch.from_arrays([plain.column(0), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), *plain.select(plain_columns).columns],
+                                                 names=["slice", "held", "many", *plain_columns])
             held = batch.filter(pc.is_valid(batch.column(1)))
             for bucket, p, w, x in zip(*[held.column(k).to_pylist() for k in range(4)]):
                 if bucket != current and prints:
@@ -155,8 +165,34 @@ def survey_sets(source: DataFrame, words: int) -> DataFrame:
         if prints:
             yield counted(arrow)
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, many = None, [], []
+
+        def done(kind):
+            own, sums = summed(np.concatenate(held), np.concatenate(many))
+            m = len(own)
+            return pa.RecordBatch.from_arrays(
+                [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.array([row.tobytes() for row in own], pa.binary()), pa.nulls(m, pa.int64()),
+                 pa.array(sums)], names=plain_columns)
+
+        arrow = None
+        for batch in batches:
+            arrow = batch.schema.field("doc_id").type
+            yield batch.filter(pc.is_valid(batch.column(5))).select(plain_columns)
+            blobs = batch.filter(pc.is_valid(batch.column(1)))
+            for at, names, counts in zip(*[blobs.column(k).to_pylist() for k in range(3)]):
+                if at != current and held:
+                    yield done(arrow)
+                    held, many = [], []
+                current = at
+                held.append(np.frombuffer(names, np.int64).reshape(-1, 2))
+                many.append(np.frombuffer(counts, np.int64))
+        if held:
+            yield done(arrow)
+
     dealt = source.mapInArrow(deal, row_kind).repartition(width, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(count, SURVEYED.format(kind=kind))
+    counts = dealt.mapInArrow(count, known_row).repartition(width, "slice").sortWithinPartitions("slice")
+    return counts.mapInArrow(total, SURVEYED.format(kind=kind))
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
