@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.session import checkpoint_root
@@ -17,13 +17,27 @@ def shared_path(df: DataFrame, label: str) -> str:
     return f"{checkpoint_root(df.sparkSession).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables and archives that this process has staged and not released.
+STAGED: list[str] = []
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a result once and read it back, so later jobs neither recompute it nor depend on an executor."""
     path = shared_path(df, label)
+    STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes what this process has staged, once results that read it are written elsewhere; returns how many."""
+    gone = 0
+    while STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII text takes the quick way with the same result."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondage.llm import warc_records
-from sondage.llm.common import shared_path, stage
+from sondage.llm.common import STAGED, shared_path, stage
 from sondage.session import ship_by_value
 
 INDEX = ("archive string, offset long, length long, url string, digest string, page_id string, record_type string, "
@@ -32,7 +32,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     winning id are all responses. An empty table gives an empty index. Other columns are ignored.
     """
     ship_by_value(warc_records, sys.modules[__name__])
-    folder = folder or shared_path(pages, "warc")
+    if folder is None:
+        STAGED.append(folder := shared_path(pages, "warc"))
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha", F.unhex(F.sha2("payload", 256))).withColumn("size", F.octet_length("payload"))
