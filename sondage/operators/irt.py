@@ -1,12 +1,17 @@
 """Item discrimination: dichotomised items and a two-parameter logistic fit.
 
 The fit is marginal maximum likelihood by expectation-maximisation, all surveys
-at once. Respondents collapse to counted answer patterns; each iteration ships
-only item parameters to the patterns and item-by-node sums back.
+at once. Respondents collapse to counted answer patterns that do not move again:
+each iteration broadcasts the item parameters of a bounded block of runs and
+sums expected counts per item and node.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,12 +19,14 @@ from pyspark.sql import functions as F
 from sondage import config
 from sondage.functions.scalars import discrimination_label, discrimination_severity, fixed2
 from sondage.operators import kernels
-from sondage.session import cut_lineage, ship_by_value
+from sondage.session import checkpoint_root, cut_lineage, ship_by_value
 
 ship_by_value(kernels)
 BOUNDS_A, BOUNDS_B = (0.05, 4.0), (-5.0, 5.0)
 NODES, SPAN = 21, 4.0
-SMALL_RUN = 50_000
+BLOCK_ITEMS = 20_000
+TASK_PATTERNS = 20_000  # patterns that a task sums in an iteration
+FITTED = "run_id string, item string, a double, b double, iterations int, converged boolean"
 
 
 def item_medians(items: DataFrame) -> DataFrame:
@@ -125,52 +132,59 @@ def fit_discrimination(
     tolerance: float = 0.005,
     nodes: int = NODES,
     span: float = SPAN,
-    small_run: int = SMALL_RUN,
+    block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """(run, item, a, b, iterations, converged, n_personas, variance) per fitted item.
 
-    Runs below the minimum shape are left out. The answers are read once, into
-    patterns. Runs with few distinct patterns are fitted one per task, all in
-    one job; runs above `small_run` patterns iterate as distributed sums.
+    Runs below the minimum shape are left out. Answers become counted patterns once and stay where they are. Each
+    iteration sends the item parameters to them, sums expected counts per item, and improves the items. A run's
+    parameters and its number of iterations are frozen when it settles itself, whatever the other runs do.
+
+    Runs are dealt to blocks by hash, so that the parameters of a block are about `block_items` rows; the driver holds
+    and broadcasts those of one block at a time. Blocks have no influence on any run's result.
     """
-    patterns = answer_patterns(binary).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = binary.sparkSession
+    counted = answer_patterns(binary).persist(StorageLevel.MEMORY_AND_DISK)
+    patterns = counted.coalesce(max(1, -(-counted.count() // TASK_PATTERNS)))
     start = cut_lineage(starting_values(patterns))
-    sizes = patterns.groupBy("run_id").agg(F.count(F.lit(1)).alias("patterns"))
-    large = cut_lineage(sizes.where(F.col("patterns") > small_run).select("run_id"))
-    has_large = not large.isEmpty()
-    schema = "run_id string, item string, a double, b double, iterations int, converged boolean"
-    small = patterns.join(large, "run_id", "left_anti") if has_large else patterns
-    fitted = (
-        small.join(_packed(start), "run_id")
-        .groupBy("run_id")
-        .applyInPandas(kernels.fit_run(nodes, span, BOUNDS_A, BOUNDS_B, max_iterations, tolerance), schema)
-    )
-    if has_large:
-        big = patterns.join(large, "run_id", "left_semi")
-        own = start.join(large, "run_id", "left_semi").select("run_id", "item", "a", "b")
-        fitted = fitted.unionByName(_fit_distributed(big, own, max_iterations, tolerance, nodes, span))
-    fitted = cut_lineage(fitted.join(start.drop("a", "b"), ["run_id", "item"]))
-    patterns.unpersist()
-    return fitted
-
-
-def _fit_distributed(patterns, parameters, max_iterations, tolerance, nodes, span) -> DataFrame:
-    """Expectation-maximisation with one job per iteration; only item rows move."""
-    parameters = parameters.withColumn("delta", F.lit(9.9))
-    done = 0
+    blocks = max(1, -(-start.count() // block_items))
+    block = F.pmod(F.xxhash64("run_id"), F.lit(blocks))
+    path = f"{checkpoint_root(spark)}/fit-{uuid.uuid4().hex}"
+    for k in range(blocks):
+        own = start.where(block == k).select("run_id", "item", "a", "b").toPandas()
+        fitted = _fit_block(patterns.where(block == k), own, max_iterations, tolerance, nodes, span)
+        spark.createDataFrame(fitted, FITTED).write.mode("append").parquet(path)
+    counted.unpersist()
+    return spark.read.schema(FITTED).parquet(path).join(start.drop("a", "b"), ["run_id", "item"])
+
+
+def _fit_block(patterns: DataFrame, items: pd.DataFrame, max_iterations: int, tolerance: float, nodes: int, span: float) -> pd.DataFrame:
+    """Expectation-maximisation for the runs of one block, one job per iteration."""
+    context = patterns.sparkSession.sparkContext
+    theta, _ = kernels.quadrature(nodes, span)
+    columns = [f"r{q}" for q in range(nodes)] + [f"n{q}" for q in range(nodes)]
+    schema = "run_id string, item string, " + ", ".join(f"{c} double" for c in columns)
+    items = items.sort_values(["run_id", "item"], ignore_index=True).assign(iterations=0, converged=False)
+    active = np.ones(len(items), dtype=bool)
     for done in range(1, max_iterations + 1):
-        counts = posterior_counts(patterns, parameters.drop("delta"), nodes, span)
-        stepped = counts.join(parameters.drop("delta"), ["run_id", "item"]).mapInPandas(
-            kernels.newton_update(nodes, span, BOUNDS_A, BOUNDS_B),
-            "run_id string, item string, a double, b double, delta double",
-        )
-        parameters = cut_lineage(stepped)
-        if (parameters.agg(F.max("delta")).first()[0] or 0.0) < tolerance:
+        if not active.any():
             break
-    settled = parameters.groupBy("run_id").agg((F.max("delta") < tolerance).alias("converged"))
-    return parameters.join(settled, "run_id").select(
-        "run_id", "item", "a", "b", F.lit(done).alias("iterations"), "converged"
-    )
+        sent = context.broadcast({
+            run: (part["item"].tolist(), part["a"].to_numpy(), part["b"].to_numpy())
+            for run, part in items[active].groupby("run_id", sort=False)
+        })
+        partial = patterns.mapInPandas(kernels.expected_counts(nodes, span, sent), schema)
+        sums = partial.groupBy("run_id", "item").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+        sent.unpersist()
+        got = items.loc[active, ["run_id", "item"]].merge(sums, on=["run_id", "item"], how="left")
+        counts = got[columns].to_numpy()
+        old = items.loc[active, "a"].to_numpy()
+        a, b = kernels.newton(counts[:, :nodes], counts[:, nodes:], old, items.loc[active, "b"].to_numpy(), theta, BOUNDS_A, BOUNDS_B)
+        items.loc[active, "a"], items.loc[active, "b"], items.loc[active, "iterations"] = a, b, done
+        change = pd.Series(np.abs(a - old)).groupby(items.loc[active, "run_id"].to_numpy()).transform("max").to_numpy()
+        items.loc[active, "converged"] = change < tolerance
+        active[active] = change >= tolerance
+    return items
 
 
 def variance_proxy(binary: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,22 +96,27 @@ def _node_weights(seen, right, a, b, theta, prior):
     return post / post.sum(axis=1, keepdims=True)
 
 
-def _posterior(part, theta, prior):
-    names = list(part["param_item"].iloc[0])
-    a = np.asarray(part["param_a"].iloc[0], dtype=float)
-    b = np.asarray(part["param_b"].iloc[0], dtype=float)
+def _posterior(part, theta, prior, parameters=None):
+    """Parameters come with the rows unless they are given: (names, a, b)."""
+    names, a, b = parameters or [part[c].iloc[0] for c in ("param_item", "param_a", "param_b")]
+    names = list(names)
     seen, right = _answers(part, names)
-    return names, seen, right, _node_weights(seen, right, a, b, theta, prior)
+    return names, seen, right, _node_weights(seen, right, np.asarray(a, dtype=float), np.asarray(b, dtype=float), theta, prior)
 
 
-def expected_counts(nodes: int, span: float):
-    """E-step over response patterns: expected answers and right answers per item and node."""
+def expected_counts(nodes: int, span: float, sent=None):
+    """E-step over response patterns: expected answers and right answers per item and node.
+
+    `sent` is a broadcast of {run: (items, a, b)}; runs it lacks give nothing.
+    """
     theta, prior = quadrature(nodes, span)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for run_id, part in pdf.groupby("run_id", sort=False):
-                names, seen, right, post = _posterior(part, theta, prior)
+                if sent is not None and run_id not in sent.value:
+                    continue
+                names, seen, right, post = _posterior(part, theta, prior, sent.value[run_id] if sent is not None else None)
                 post = post * part["n"].to_numpy(dtype=float)[:, None]
                 n, r = seen.T @ post, right.T @ post
                 out = {"run_id": run_id, "item": names}
@@ -135,8 +139,8 @@ def abilities(nodes: int, span: float):
     return step
 
 
-def _newton(r, n, a, b, theta, bounds_a, bounds_b, rounds=6):
-    """Newton on slope and intercept of every item at once, kept inside the bounds."""
+def newton(r, n, a, b, theta, bounds_a, bounds_b, rounds=6):
+    """M-step: Newton on slope and intercept of every item at once, kept inside the bounds."""
     for _ in range(rounds):
         p = _probabilities(a, b, theta)
         miss, info = r - n * p, n * p * (1 - p)
@@ -147,92 +151,3 @@ def _newton(r, n, a, b, theta, bounds_a, bounds_b, rounds=6):
         a = np.clip(a + np.clip((h_cc * g_a - h_ac * g_c) / det, -1.0, 1.0), *bounds_a)
         b = np.clip(-c / a, *bounds_b)
     return a, b
-
-
-def newton_update(nodes: int, span: float, bounds_a, bounds_b):
-    """M-step over item rows holding their expected counts."""
-    theta, _ = quadrature(nodes, span)
-
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            r = pdf[[f"r{q}" for q in range(nodes)]].to_numpy()
-            n = pdf[[f"n{q}" for q in range(nodes)]].to_numpy()
-            old = pdf["a"].to_numpy(dtype=float)
-            a, b = _newton(r, n, old, pdf["b"].to_numpy(dtype=float), theta, bounds_a, bounds_b)
-            yield pd.DataFrame(
-                {"run_id": pdf["run_id"], "item": pdf["item"], "a": a, "b": b, "delta": np.abs(a - old)}
-            )
-
-    return step
-
-
-def fit_run(nodes: int, span: float, bounds_a, bounds_b, max_iterations: int, tolerance: float):
-    """Whole fit of one run whose pattern count was checked to be small."""
-    theta, prior = quadrature(nodes, span)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = list(pdf["param_item"].iloc[0])
-        a = np.asarray(pdf["param_a"].iloc[0], dtype=float)
-        b = np.asarray(pdf["param_b"].iloc[0], dtype=float)
-        seen, right = _answers(pdf, names)
-        weight = pdf["n"].to_numpy(dtype=float)[:, None]
-        change, iterations = np.full(len(names), np.inf), 0
-        while iterations < max_iterations and change.max() >= tolerance:
-            post = _node_weights(seen, right, a, b, theta, prior) * weight
-            new_a, new_b = _newton(right.T @ post, seen.T @ post, a, b, theta, bounds_a, bounds_b)
-            change, a, b, iterations = np.abs(new_a - a), new_a, new_b, iterations + 1
-        return pd.DataFrame(
-            {"run_id": pdf["run_id"].iloc[0], "item": names, "a": a, "b": b,
-             "iterations": iterations, "converged": bool(change.max() < tolerance)}
-        )
-
-    return fit
-
-
-def signed_cells(answers: dict, sign: int) -> list[tuple]:
-    """Histogram cells of one respondent's answers, to add or to take back."""
-    return [(len(answers), int(k), held[2], sign) for k, held in answers.items()]
-
-
-class Breaker:
-    """State of one caller's failure alarm while its calls are replayed in order."""
-
-    def __init__(self, window: int, ratio: float, cool_down: float, probes: int, saved: dict | None = None):
-        self.window, self.ratio, self.cool_down, self.probes = window, ratio, cool_down, probes
-        saved = saved or {}
-        self.recent = deque(saved.get("recent", []), maxlen=window)
-        self.state = saved.get("state", "closed")
-        self.opened_at = saved.get("opened_at", 0.0)
-        self.good_probes = saved.get("good_probes", 0)
-
-    def saved(self) -> dict:
-        return {
-            "recent": list(self.recent), "state": self.state,
-            "opened_at": self.opened_at, "good_probes": self.good_probes,
-        }
-
-    def call(self, at: float, ok: bool) -> tuple[bool, str]:
-        """Returns (admitted, state afterwards); a refused call leaves no outcome."""
-        if self.state == "open":
-            if at - self.opened_at < self.cool_down:
-                return False, self.state
-            self.state, self.good_probes = "half_open", 0
-        self.recent.append(ok)
-        if ok and self.state == "half_open":
-            self.good_probes += 1
-            if self.good_probes >= self.probes:
-                self.state = "closed"
-        elif not ok:
-            full = len(self.recent) == self.window
-            tripped = full and self.recent.count(False) / self.window >= self.ratio
-            if self.state == "half_open" or tripped:
-                self.state, self.opened_at = "open", at
-        return True, self.state
-
-
-def replay(pdf: pd.DataFrame, breaker: Breaker) -> pd.DataFrame:
-    moves = [breaker.call(t, bool(k)) for t, k in zip(pdf["at"], pdf["ok"])]
-    out = pdf.copy()
-    out["admitted"] = [m[0] for m in moves]
-    out["state"] = [m[1] for m in moves]
-    return out

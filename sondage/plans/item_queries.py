@@ -183,6 +183,40 @@ def irt_ability(spark, sf_dir):
     return out.withColumn("theta", F.round("theta", 5))
 
 
+def _em_steps(steps: int) -> str:
+    """SQL of whole EM steps: the posterior over 21 nodes, expected counts, then six Newton rounds inside the bounds."""
+    node = "exp(-0.5 * t * t)"
+    clip = lambda x, lo, hi: f"least(greatest({x}, {lo}), {hi})"
+    p = lambda a, b: clip(f"1.0::DOUBLE / (1.0::DOUBLE + exp(-{clip(f'{a} * (t - {b})', -30, 30)}))", "1e-9", "(1 - 1e-9)")
+    parts = [f"""grid AS (SELECT q, t, {node} / sum({node}) OVER () AS w FROM (SELECT q, -4.0::DOUBLE + q * 0.4::DOUBLE AS t FROM range(21) r(q))),
+big AS (SELECT run_id FROM binary_items GROUP BY 1 HAVING count(DISTINCT persona_id) >= {config.IRT_MIN_PERSONS} AND count(DISTINCT item) >= {config.IRT_MIN_ITEMS}),
+bin AS (SELECT run_id, persona_id, item, y FROM binary_items WHERE run_id IN (SELECT run_id FROM big)),
+p0 AS (SELECT run_id, item, 1.0::DOUBLE AS a, -ln({clip('avg(y)', 0.01, 0.99)} / (1 - {clip('avg(y)', 0.01, 0.99)})) AS b FROM bin GROUP BY 1, 2)"""]
+    for k in range(steps):
+        parts.append(f"""ll{k} AS MATERIALIZED (SELECT run_id, persona_id, q, ln(w) + sum(CASE WHEN y = 1 THEN ln(pr) ELSE ln(1 - pr) END) AS ll FROM (
+  SELECT bin.*, q, w, {p('a', 'b')} AS pr FROM bin JOIN p{k} USING (run_id, item), grid) GROUP BY run_id, persona_id, q, w),
+po{k} AS (SELECT run_id, persona_id, q, exp(ll - m) / sum(exp(ll - m)) OVER (PARTITION BY run_id, persona_id) AS po
+  FROM (SELECT *, max(ll) OVER (PARTITION BY run_id, persona_id) AS m FROM ll{k})),
+c{k} AS MATERIALIZED (SELECT run_id, item, q, t, sum(po) AS n, sum(y * po) AS r FROM bin JOIN po{k} USING (run_id, persona_id) JOIN grid USING (q) GROUP BY 1, 2, 3, 4),
+m{k}_0 AS (SELECT * FROM p{k})""")
+        for j in range(6):
+            parts.append(f"""g{k}_{j} AS (SELECT run_id, item, a, b, sum((r - n * pr) * t) AS ga, sum(r - n * pr) AS gc, sum(i * t * t) + 1e-9 AS haa,
+  sum(i * t) AS hac, sum(i) + 1e-9 AS hcc FROM (SELECT *, n * pr * (1 - pr) AS i FROM (
+    SELECT *, {p('a', 'b')} AS pr FROM c{k} JOIN m{k}_{j} USING (run_id, item))) GROUP BY 1, 2, 3, 4),
+s{k}_{j} AS (SELECT run_id, item, {clip(f"a + {clip('(hcc * ga - hac * gc) / det', -1.0, 1.0)}", 0.05, 4.0)} AS a,
+  -a * b + {clip('(haa * gc - hac * ga) / det', -1.5, 1.5)} AS c FROM (SELECT *, greatest(haa * hcc - hac * hac, 1e-12) AS det FROM g{k}_{j})),
+m{k}_{j + 1} AS MATERIALIZED (SELECT run_id, item, a, {clip('-c / a', -5.0, 5.0)} AS b FROM s{k}_{j})""")
+        parts.append(f"p{k + 1} AS (SELECT * FROM m{k}_6)")
+    return ", " + ", ".join(parts) + f" SELECT run_id, CAST(item AS VARCHAR) AS item, {rnd('a', 4)} AS a, {rnd('b', 4)} AS b FROM p{steps}"
+
+
+@query("irt_em_steps", with_views(V, BINARY, "").rstrip() + _em_steps(3))
+def irt_em_steps(spark, sf_dir):
+    """The fit, stopped after three whole steps."""
+    fit = irt.fit_discrimination(binary_items(spark, sf_dir), max_iterations=3, tolerance=0.0)
+    return fit.select("run_id", "item", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+
+
 @query("irt_discrimination")
 def irt_discrimination(spark, sf_dir):
     flags = irt.irt_flags(irt.fit_discrimination(binary_items(spark, sf_dir)))

@@ -90,18 +90,24 @@ def rank_agreement(a, fit):
     return np.corrcoef(average_ranks(a), average_ranks(found))[0, 1]
 
 
-def test_fit_recovers_planted_order_and_both_paths_agree(spark):
+def test_fit_recovers_planted_order(spark):
     a = [0.2, 0.4, 0.6, 0.9, 1.2, 1.5, 1.8, 2.0]
     binary = planted(spark, a, missing=0.05).unionByName(planted(spark, [1.0, 1.0], n=20, run="tiny"))
     local = irt.fit_discrimination(binary).collect()
     assert {r["run_id"] for r in local} == {"r"} and all(r["converged"] for r in local)
     by_item = {r["item"]: r["a"] for r in local}
     assert rank_agreement(a, by_item) >= 0.9
-    spread = irt.fit_discrimination(binary, small_run=10, max_iterations=6, tolerance=0.0).collect()
-    again = irt.fit_discrimination(binary, max_iterations=6, tolerance=0.0).collect()
-    want = {r["item"]: (r["a"], r["b"]) for r in again}
-    for r in spread:
-        assert (r["a"], r["b"]) == (pytest.approx(want[r["item"]][0], abs=1e-6), pytest.approx(want[r["item"]][1], abs=1e-6))
+
+
+def test_a_run_gets_one_answer_whatever_its_neighbours_and_blocks(spark):
+    quick, slow = planted(spark, [0.5, 1.0, 1.5, 2.0], n=300, run="quick"), planted(spark, [0.2, 3.5, 0.3, 3.0], n=900, seed=9, run="slow")
+    fit = lambda df, **more: {(r["run_id"], r["item"]): (r["a"], r["b"], r["iterations"]) for r in irt.fit_discrimination(df, **more).collect()}
+    alone = fit(quick) | fit(slow.repartition(7))
+    assert len({i for *_, i in alone.values()}) > 1
+    for together in (fit(quick.unionByName(slow)), fit(quick.unionByName(slow).repartition(5), block_items=1)):
+        assert together.keys() == alone.keys()
+        for k, (a, b, n) in together.items():
+            assert (a, b, n) == (pytest.approx(alone[k][0], abs=1e-6), pytest.approx(alone[k][1], abs=1e-6), alone[k][2])
 
 
 def test_unsettled_fit_falls_back_to_variance(spark):
