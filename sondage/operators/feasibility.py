@@ -19,7 +19,7 @@ from sondage.session import cut_lineage
 
 KEY = ["age", "sex_key", "st_key", "edu_key", "known_key"]
 MODE = ["any_sex", "any_state", "edu_key", "known_key"]
-BUCKET, TOP = 5_000.0, 1.0e12
+BUCKET, TOP = 5_000.0, float("inf")  # an open bound lies above every income
 ANY = -1
 
 
@@ -113,15 +113,21 @@ def _probes(boxes: DataFrame) -> DataFrame:
 
 def box_totals(population: DataFrame, boxes: DataFrame) -> DataFrame:
     """(box_id, weight, people) for every box; boxes nobody fits get zeros."""
-    boxes = cut_lineage(boxes)
     probes = cut_lineage(_probes(boxes))
     # at most 2 x 2 x 5 x 2 ways to leave attributes open, whatever the data
     modes = [tuple(r) for r in probes.select(*MODE).distinct().collect()]
-    profile = population.groupBy(
+    bucket = F.floor(F.least(F.col("x"), F.lit(1.0e9)) / BUCKET).alias("bucket")
+    # incomes are told apart only by the points asked for: people between two points are one row before anything is expanded
+    cuts = probes.select("x", bucket).distinct().groupBy("bucket").agg(F.collect_list("x").alias("cuts"))
+    rows = population.select(
         F.col("AGEP").alias("age"), F.col("SEX").alias("sex"), F.col("ST").alias("st"),
         people.education_rank(F.col("SCHL")).alias("edu"), F.col("PINCP").isNotNull().alias("known"),
-        F.coalesce(F.col("PINCP"), F.lit(0.0)).cast("double").alias("x"),
-    ).agg(F.sum("PWGTP").cast("double").alias("weight"), F.count(F.lit(1)).cast("double").alias("people"))
+        F.coalesce(F.col("PINCP"), F.lit(0.0)).cast("double").alias("x"), "PWGTP",
+    ).withColumn("bucket", bucket).join(cuts, "bucket", "left")
+    below = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("x"))), F.lit(0))
+    profile = rows.groupBy(
+        "age", "sex", "st", "edu", "known", "bucket", below.alias("below"), F.coalesce(F.array_contains("cuts", F.col("x")), F.lit(False)).alias("at_cut"),
+    ).agg(F.min("x").alias("x"), F.sum("PWGTP").cast("double").alias("weight"), F.count(F.lit(1)).cast("double").alias("people"))
     options = [
         F.when(
             (F.lit(edu == 0) | (F.col("edu") >= edu)) & (F.lit(not known) | F.col("known")),
@@ -138,7 +144,6 @@ def box_totals(population: DataFrame, boxes: DataFrame) -> DataFrame:
     stock = keyed.groupBy("age", "k.sex_key", "k.st_key", "k.edu_key", "k.known_key", "x").agg(
         F.sum("weight").alias("weight"), F.sum("people").alias("people")
     )
-    bucket = F.floor(F.least(F.col("x"), F.lit(1.0e9)) / BUCKET).alias("bucket")
     points = probes.select(*KEY, "x", "side").distinct()
     line = stock.select(*KEY, "x", F.lit(0).alias("side"), "weight", "people", bucket).unionByName(
         points.select(*KEY, "x", "side", F.lit(0.0).alias("weight"), F.lit(0.0).alias("people"), bucket)

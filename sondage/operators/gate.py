@@ -18,10 +18,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _grouped(vectors: DataFrame, k: int) -> DataFrame:
-    """One row per question: the original and its variants 1..k, k being fixed by contract."""
-    inside = vectors.where(F.col("idx").between(0, k))
-    table = inside.groupBy("question_id").agg(
+def _grouped(vectors: DataFrame) -> DataFrame:
+    """One row per question: the original, at 0, and all of its variants, a handful by nature."""
+    table = vectors.where(F.col("idx") >= 0).groupBy("question_id").agg(
         F.array_sort(F.collect_list(F.struct("idx", "embedding"))).alias("all")
     )
     return table.select(
@@ -31,16 +30,16 @@ def _grouped(vectors: DataFrame, k: int) -> DataFrame:
     )
 
 
-def variant_equivalence(vectors: DataFrame, k: int = config.K_VARIANTS) -> DataFrame:
+def variant_equivalence(vectors: DataFrame) -> DataFrame:
     """Cosine of every variant to its original."""
-    rows = _grouped(vectors, k).where("original IS NOT NULL")
+    rows = _grouped(vectors).where("original IS NOT NULL")
     return rows.select("question_id", "original", F.explode("variants").alias("v")).select(
         "question_id", F.col("v.idx").alias("idx"), cosine(F.col("original"), F.col("v.embedding")).alias("cosine")
     )
 
 
 def _pairs(variants: Column) -> Column:
-    """Cosines of the at most k(k-1)/2 variant pairs of one question."""
+    """Cosines of all variant pairs of one question."""
     return F.flatten(
         F.transform(
             variants,
@@ -54,18 +53,18 @@ def _pairs(variants: Column) -> Column:
     )
 
 
-def variant_diversity(vectors: DataFrame, k: int = config.K_VARIANTS) -> DataFrame:
+def variant_diversity(vectors: DataFrame) -> DataFrame:
     """Cosine of every pair of variants of a question."""
-    rows = _grouped(vectors, k).select("question_id", F.explode(_pairs(F.col("variants"))).alias("p"))
+    rows = _grouped(vectors).select("question_id", F.explode(_pairs(F.col("variants"))).alias("p"))
     return rows.select("question_id", "p.idx_a", "p.idx_b", "p.cosine")
 
 
 def variant_gate(
-    vectors: DataFrame, k: int = config.K_VARIANTS, floor: float = config.EQUIVALENCE_FLOOR,
+    vectors: DataFrame, floor: float = config.EQUIVALENCE_FLOOR,
     too_similar: float = config.DIVERSITY_CEIL, too_divergent: float = config.DIVERSITY_FLOOR,
 ) -> DataFrame:
-    """First failing reason per question, else ok."""
-    rows = _grouped(vectors, k)
+    """First failing reason per question, else ok. Every variant present is judged, however many there are."""
+    rows = _grouped(vectors)
     closeness = F.transform("variants", lambda v: cosine(F.col("original"), v["embedding"]))
     spread = F.transform(_pairs(F.col("variants")), lambda p: p["cosine"])
     rows = rows.select(
@@ -109,20 +108,26 @@ def cache_lookup(questions: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def insert_absent(cache: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """First write wins: cached rows stay, new keys come in once, by lowest `order`."""
+    """What a cache holds after an insert where the first write wins."""
+    payload = [c for c in cache.columns if c != key]
+    return cache.select(key, *payload).unionByName(absent_rows(cache, rows, key, order))
+
+
+def absent_rows(cache: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The rows an insert adds to a cache: keys it lacks, once each, by lowest `order`. A cache appends only these."""
     payload = [c for c in cache.columns if c != key]
     first = rows.groupBy(key).agg(F.min(F.struct(order, *payload)).alias("_f"))
-    fresh = first.join(cache.select(key), key, "left_anti").select(key, *[F.col(f"_f.{c}").alias(c) for c in payload])
-    return cache.select(key, *payload).unionByName(fresh)
+    return first.join(cache.select(key), key, "left_anti").select(key, *[F.col(f"_f.{c}").alias(c) for c in payload])
 
 
 def variant_texts(questions: DataFrame, cache: DataFrame, k: int = config.K_VARIANTS) -> DataFrame:
-    """Text shown for every variant index; 0 is the original, a missing text is a placeholder.
+    """Text shown for every variant index; 0 is the original, a missing one of the first k is a placeholder, and
+    cached texts beyond k are shown as well.
 
     `cache`: question_hash and paraphrases, an array of structs with `text`.
     """
     joined = with_hash(questions).join(cache, "question_hash", "left")
-    rows = joined.select("question_id", "text", "paraphrases", F.explode(F.sequence(F.lit(0), F.lit(k))).alias("idx"))
+    rows = joined.select("question_id", "text", "paraphrases", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(k), F.size("paraphrases")))).alias("idx"))
     cached = F.try_element_at("paraphrases", F.greatest("idx", F.lit(1)))["text"]
     return rows.select(
         "question_id", "idx",

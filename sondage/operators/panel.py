@@ -111,7 +111,6 @@ def weighted_sample(population: DataFrame, n: int, seed: int = config.SEED, pers
 
 
 LEVELS = 40
-FEW_AUDIENCES = 1_000
 
 
 def _candidates(keyed: DataFrame, audiences: DataFrame, n: int) -> DataFrame:
@@ -152,20 +151,17 @@ def _candidates(keyed: DataFrame, audiences: DataFrame, n: int) -> DataFrame:
 
 def build_panels(
     population: DataFrame, audiences: DataFrame, n: int, seed: int = config.SEED, person: str = "person_id",
-    styles: dict | None = None, few_audiences: int = FEW_AUDIENCES,
+    styles: dict | None = None,
 ) -> DataFrame:
     """A weighted panel of persona rows for every audience at once.
 
-    With few audiences everybody is tested against each; with many, only likely
-    candidates are, with an exact second pass where they run short. The rank
+    Only likely candidates are tested against an audience, with an exact second
+    pass where they run short. The rank
     filter lets Spark keep n rows per audience in each task before the shuffle,
     so a large audience sends no more than that to one task.
     """
     keyed = population.where("PWGTP > 0").withColumn("_key", sampling_key(F.col(person), F.col("PWGTP"), seed))
-    if audiences.limit(few_audiences + 1).count() <= few_audiences:
-        members = audience_members(keyed, audiences)
-    else:
-        members = _candidates(keyed, audiences, n)
+    members = _candidates(keyed, audiences, n)
     order = Window.partitionBy("audience_id").orderBy("_key", person)
     ranked = members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     suffix = F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "audience_id", F.col(person).cast("string"))), 1, 8)

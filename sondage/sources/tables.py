@@ -9,14 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.operators.gate import absent_rows
 from sondage.operators.responses import KEY
 
 BUCKETS = 64
-FEW_PARTITIONS = 5_000
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64("question_id", "persona_id"), F.lit(buckets)).cast("int"))
+    """The number of buckets is part of the table: it is written with the rows and read back from them."""
+    bucket = F.pmod(F.xxhash64("question_id", "persona_id"), F.lit(buckets)).cast("int")
+    return rows.withColumn("bucket", bucket).withColumn("buckets", F.lit(buckets))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return None
 
 
 def _replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
@@ -34,28 +45,26 @@ def _replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
 def upsert_responses(spark: SparkSession, path: str, new: DataFrame, buckets: int = BUCKETS) -> None:
     """Last write per response key wins; partitions the batch does not touch stay as they are.
 
-    `new` carries ts and seq as the write order. The rewritten partitions are
-    staged by the writer and moved in place on commit. A batch that touches few
-    partitions also reads only those.
+    `new` carries ts and seq as the write order; it is read once. `buckets` holds for a new table, an existing one keeps
+    its own number. The partitions to rewrite are a semi-join on the partition columns, which prunes the scan. They are
+    staged by the writer and moved in place on commit: one writer at a time, and a reader during the move may miss rows.
     """
-    incoming = _bucketed(new, buckets)
+    stored = _stored(spark, path)
+    held = stored.select("buckets").first() if stored is not None else None
+    incoming = _bucketed(new, held["buckets"] if held else buckets).persist()
     try:
-        stored = spark.read.parquet(path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
         merged = incoming
-    else:
-        touched = incoming.select("run_id", "bucket").distinct()
-        few = touched.limit(FEW_PARTITIONS + 1).collect()
-        if len(few) <= FEW_PARTITIONS:
-            runs, used = {r["run_id"] for r in few}, {r["bucket"] for r in few}
-            stored = stored.where(F.col("run_id").isin(list(runs)) & F.col("bucket").isin(list(used)))
-        current = stored.join(touched, ["run_id", "bucket"], "left_semi").select(*incoming.columns)
-        merged = current.unionByName(incoming)
-    kept = [c for c in new.columns if c not in KEY]
-    newest = merged.groupBy(*KEY, "bucket").agg(F.max(F.struct("ts", "seq", *[c for c in kept if c not in ("ts", "seq")])).alias("z"))
-    _replace_partitions(newest.select(*KEY, *[F.col(f"z.{c}").alias(c) for c in kept], "bucket"), path, ["run_id", "bucket"])
+        if held:
+            touched = incoming.select("run_id", "bucket").distinct()
+            current = stored.join(touched, ["run_id", "bucket"], "left_semi").select(*incoming.columns)
+            merged = current.unionByName(incoming)
+        kept = [c for c in new.columns if c not in KEY]
+        newest = merged.groupBy(*KEY, "bucket", "buckets").agg(
+            F.max(F.struct("ts", "seq", *[c for c in kept if c not in ("ts", "seq")])).alias("z"))
+        rows = newest.select(*KEY, *[F.col(f"z.{c}").alias(c) for c in kept], "buckets", "bucket")
+        _replace_partitions(rows, path, ["run_id", "bucket"])
+    finally:
+        incoming.unpersist()
 
 
 def read_responses(spark: SparkSession, path: str, run_id: str | None = None, questions: list[str] | None = None) -> DataFrame:
@@ -65,7 +74,18 @@ def read_responses(spark: SparkSession, path: str, run_id: str | None = None, qu
         rows = rows.where(F.col("run_id") == run_id)
     if questions is not None:
         rows = rows.where(F.col("question_id").isin(questions))
-    return rows.drop("bucket")
+    return rows.drop("bucket", "buckets")
+
+
+def append_absent(spark: SparkSession, path: str, rows: DataFrame, key: str, order: str) -> None:
+    """Cache sink where the first write wins: only keys the cache lacks are appended, cached rows are never rewritten.
+
+    `rows` has the cache's columns and `order`; of rows with one key, the lowest `order` is the first.
+    """
+    cache = _stored(spark, path)
+    if cache is None:
+        cache = rows.drop(order).limit(0)
+    absent_rows(cache, rows, key, order).write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

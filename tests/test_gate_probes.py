@@ -65,6 +65,25 @@ def test_first_write_wins(spark):
     assert sorted(map(tuple, gate.insert_absent(cache, rows, "k", "seq").collect())) == [("a", "old"), ("b", "early")]
 
 
+def test_cache_sink_only_appends(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for rows in ([("a", "old", 1)], [("a", "new", 1), ("b", "late", 9), ("b", "early", 2)], [("b", "again", 0)]):
+        tables.append_absent(spark, path, spark.createDataFrame(rows, "k string, v string, seq int"), "k", "seq")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", "old"), ("b", "early")]
+
+
+def test_variants_beyond_the_usual_number_are_judged_and_shown(spark):
+    unit = lambda angle: [float(np.cos(angle)), float(np.sin(angle))]
+    vectors = [("q", 0, unit(0.0)), *[("q", i, unit(0.55 * (-1) ** i * (1 + i / 50))) for i in range(1, 6)], ("q", 6, unit(np.pi / 2))]
+    df = spark.createDataFrame(vectors, "question_id string, idx int, embedding array<double>")
+    row = gate.variant_gate(df).first()
+    assert row["reason"] == "equivalence_below_floor" and row["min_equivalence"] == pytest.approx(0.0, abs=1e-9)
+    assert gate.variant_equivalence(df).count() == 6
+    asked = spark.createDataFrame([("q", "Really?")], "question_id string, text string")
+    cache = gate.with_hash(asked).select("question_hash", F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct(i.cast("string").alias("text"))).alias("paraphrases"))
+    assert [r["shown"] for r in gate.variant_texts(asked, cache).orderBy("idx").collect()] == ["Really?", *"1234567"]
+
+
 def test_plan_size_and_resume(spark):
     panel = spark.createDataFrame([("r", i, f"p{i}") for i in range(1, 31)], "run_id string, rank int, persona_id string")
     questions = spark.createDataFrame([("r", f"q{i}") for i in range(6)], "run_id string, question_id string")
@@ -113,8 +132,9 @@ def test_upserts_converge(spark, tmp_path):
         [(f"r{rng.randint(0, 2)}", f"p{rng.randint(0, 9)}", "q", rng.randint(0, 1), float(rng.randint(1, 5)), b, i) for i in range(60)] for b in range(3)
     ]
     path = str(tmp_path / "responses")
-    for batch in [*batches, batches[2], batches[0]]:
-        tables.upsert_responses(spark, path, spark.createDataFrame(batch, RESPONSES), buckets=4)
+    for k, batch in enumerate([*batches, batches[2], batches[0]]):  # a table keeps the number of buckets it began with
+        tables.upsert_responses(spark, path, spark.createDataFrame(batch, RESPONSES), buckets=4 + 3 * k)
+    assert spark.read.parquet(path).select("buckets").distinct().count() == 1
     want = {}
     for batch in batches:
         for *key, value, ts, seq in batch:

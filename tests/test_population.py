@@ -81,12 +81,27 @@ def test_sample_size_determinism_and_weights(spark, pop):
         panel.weighted_sample(pop.drop("PWGTP"), 5)
 
 
-def test_panels_with_few_and_many_audiences_are_the_same(spark, pop):
+def test_no_income_is_too_high_to_count(spark, pop):
+    rich = pop.limit(1).withColumn("PINCP", F.lit(2e12)).withColumn("AGEP", F.lit(40)).withColumn("person_id", F.lit(-1).cast(pop.schema["person_id"].dataType))
+    table = audiences(spark, CASES["ages"][0], CASES["income"][0])
+    before = {r["audience_id"]: r["people"] for r in feasibility.audience_match_counts(pop, table).collect()}
+    both = pop.unionByName(rich)
+    members = {r["audience_id"]: r["count"] for r in panel.audience_members(both, table).groupBy("audience_id").count().collect()}
+    after = {r["audience_id"]: r["people"] for r in feasibility.audience_match_counts(both, table).collect()}
+    assert after == members and after["ages"] == before["ages"] + 1
+
+
+def test_panels_hold_the_smallest_keys_of_their_members(spark, pop):
     table = audiences(spark, *[c[0] for c in CASES.values()])
     few = panel.build_panels(pop, table, 25).collect()
-    many = panel.build_panels(pop, table, 25, few_audiences=0).collect()
-    key = lambda r: (r["audience_id"], r["rank"])
-    assert sorted(few, key=key) == sorted(many, key=key)
+    keyed = pop.where("PWGTP > 0").withColumn("_key", panel.sampling_key(F.col("person_id"), F.col("PWGTP"), config.SEED))
+    want = {}
+    for r in panel.audience_members(keyed, table).orderBy("_key", "person_id").select("audience_id", "person_id").collect():
+        want.setdefault(r["audience_id"], []).append(r["person_id"])
+    got = {}
+    for r in sorted(few, key=lambda r: r["rank"]):
+        got.setdefault(r["audience_id"], []).append(r["person_id"])
+    assert got == {k: v[:25] for k, v in want.items()}
     assert max(r["rank"] for r in few) == 25
     assert [r["audience_id"] for r in panel.empty_audiences(pop, table).collect()] == ["nobody"]
 
