@@ -1,4 +1,4 @@
-"""Call ledger, alarm replay and status logs."""
+"""Call ledger, failure alarm and status logs."""
 
 from __future__ import annotations
 
@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from sondage import config
 from sondage.functions.scalars import call_cost
-from sondage.operators import kernels
-from sondage.operators.ordered import largest_group, over_order, with_place
-from sondage.session import cut_lineage, literal_table, ship_by_value
-
-ship_by_value(kernels)
+from sondage.operators.ordered import over_order
+from sondage.session import literal_table
 
 
 def price_list(spark: SparkSession, prices: dict | None = None) -> DataFrame:
@@ -93,69 +90,6 @@ def rolling_failures(
     return rows.withColumn("alarm", alarm)
 
 
-_REPLAY = "key string, call_id bigint, at double, ok boolean, segment bigint"
-
-
-def breaker_replay(
-    calls: DataFrame, window: int = config.ALARM_WINDOW, ratio: float = config.ALARM_RATIO,
-    cool_down: float = config.COOL_DOWN_SECONDS, probes: int = config.HALF_OPEN_PROBES,
-    max_group: int = config.MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Replay the failure breaker over a call log: (key, call_id, at, ok).
-
-    The replay is sequential per key. A long key is cut where its state is known
-    whatever came before: after `window` successes in a row that all lie at least
-    one cool-down past the last failure, the breaker is closed and its window all
-    good. Pieces between such points replay in parallel.
-    """
-    if largest_group(calls, ["key"]) <= max_group:
-        cut = calls.withColumn("segment", F.lit(-1).cast("bigint"))
-    else:
-        cut = _segments(calls, window, cool_down, max_group)
-
-    def run(key, batches):
-        known_good = {"recent": [True] * window} if int(key[1]) >= 0 else None
-        breaker, last = kernels.Breaker(window, ratio, cool_down, probes, known_good), None
-        for pdf in batches:
-            if len(pdf) and last is not None and (pdf["at"].iloc[0], pdf["call_id"].iloc[0]) < last:
-                raise ValueError("calls reached the replay out of order")
-            if len(pdf):
-                last = (pdf["at"].iloc[-1], pdf["call_id"].iloc[-1])
-                yield kernels.replay(pdf, breaker)
-
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    run.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    placed = cut.select("key", "call_id", "at", "ok", "segment").repartition("key", "segment")
-    ordered = placed.sortWithinPartitions("key", "segment", "at", "call_id")
-    return ordered.groupBy("key", "segment").applyInPandas(run, _REPLAY + ", admitted boolean, state string").drop("segment")
-
-
-def _segments(calls: DataFrame, window: int, cool_down: float, max_group: int) -> DataFrame:
-    """Number the pieces of every key; -1 is the piece from the start of its log."""
-    look_back = min(max_group, 16 * window)
-
-    def columns(spec):
-        past = spec.rowsBetween(-look_back, -1)
-        failed_at = F.max(F.when(~F.col("ok"), F.col("at"))).over(past)
-        # with no failure in sight the oldest row in sight bounds it from above
-        bound = F.coalesce(failed_at, F.lag("at", look_back).over(spec))
-        return {"_known": F.coalesce(F.lag("at", window).over(spec) >= bound + cool_down, F.lit(False))}
-
-    placed = cut_lineage(with_place(calls, ["key"], ["at", "call_id"]))
-    marked = over_order(placed.withColumnRenamed("_place", "_at_place"), ["key"], ["at", "call_id"], columns, before=look_back, max_group=max_group)
-    marked = marked.withColumn("_block", F.floor(F.col("_at_place") / max_group))
-    marked = cut_lineage(marked)
-    starts = marked.groupBy("key", "_block").agg(F.min(F.when(F.col("_known"), F.col("_at_place"))).alias("_start"))
-    earlier = Window.partitionBy("key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    current = F.when(F.col("_start").isNotNull(), F.col("_block"))
-    starts = starts.withColumn("_earlier", F.coalesce(F.max(current).over(earlier), F.lit(-1)))
-    segment = F.when(F.col("_at_place") >= F.col("_start"), F.col("_block")).otherwise(F.col("_earlier"))
-    return marked.join(starts, ["key", "_block"]).withColumn("segment", segment.cast("bigint"))
-
-
 def allowed_pairs(spark: SparkSession, transitions: dict | None = None) -> DataFrame:
     table = (transitions or config.RUN_TRANSITIONS).items()
     pairs = [{"from_status": a, "to_status": b} for a, bs in table for b in bs]

@@ -17,12 +17,13 @@ KEY = ["run_id", "persona_id", "question_id", "paraphrase_idx"]
 def latest_responses(rows: DataFrame, version: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """Last write per key.
 
-    An aggregate rather than a ranked window: duplicates of a hot key collapse
-    before the shuffle.
+    An aggregate rather than a ranked window. Rows are dealt by respondent and
+    question, which serves this grouping and the per-respondent windows after
+    it, so the answers are shuffled once.
     """
     payload = [c for c in rows.columns if c not in KEY and c not in version]
     newest = F.max(F.struct(*version, *payload)).alias("_newest")
-    return rows.groupBy(*KEY).agg(newest).select(*KEY, *[F.col(f"_newest.{c}").alias(c) for c in payload])
+    return rows.repartition(*KEY[:3]).groupBy(*KEY).agg(newest).select(*KEY, *[F.col(f"_newest.{c}").alias(c) for c in payload])
 
 
 def respondent_answers(responses: DataFrame) -> DataFrame:

@@ -94,21 +94,6 @@ def rolling_failure(spark, sf_dir):
     return out.select("key", "call_id", "in_window", F.round("failure_ratio", 6).alias("failure_ratio"), "alarm")
 
 
-def breaker_calls(spark, sf_dir):
-    """Ten callers; timestamps are compressed so that cool-downs span several calls."""
-    seconds = F.unix_micros(F.to_timestamp("ts")) / F.lit(1e6) / F.lit(500.0)
-    return v.table(spark, sf_dir, "events").select(
-        F.concat(F.lit("k"), F.col("user_id") % 10).alias("key"), F.col("event_id").alias("call_id"),
-        seconds.alias("at"), (~F.col("event_type").isin("error", "signup", "view")).alias("ok"),
-    )
-
-
-@query("breaker_replay")
-def breaker_replay(spark, sf_dir):
-    out = logs.breaker_replay(breaker_calls(spark, sf_dir))
-    return out.groupBy("key", "state", "admitted").agg(F.count(F.lit(1)).alias("calls"))
-
-
 # --- status logs: one per user ---------------------------------------------
 _NEXT = {"view": ["click", "signup", "error"], "click": ["view", "purchase", "error"], "signup": ["view", "click"],
          "purchase": ["view"], "error": ["view", "click", "signup"]}

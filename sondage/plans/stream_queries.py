@@ -19,7 +19,7 @@ def event_stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def _fresh(spark) -> str:
+def fresh_folder(spark) -> str:
     return f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
@@ -29,15 +29,15 @@ def _micros(column):
 
 @query("stream_shift", with_views(v.VIEWS, sq.FLAGS, f"SELECT {sq.FLAG_COLUMNS} FROM shift_flags"))
 def stream_shift(spark, sf_dir):
-    folder = _fresh(spark)
-    rows = v.raw_from_events(event_stream(spark, sf_dir)).withColumn("at", _micros("ts")).drop("ts")
-    ingest.keep_histogram(rows, f"{folder}/changes", f"{folder}/progress").awaitTermination()
-    return sq.flag_columns(ingest.current_flags(spark, f"{folder}/changes", v.questions(spark)))
+    folder = fresh_folder(spark)
+    rows = v.raw_from_events(event_stream(spark, sf_dir))
+    ingest.keep_responses(rows, f"{folder}/responses", f"{folder}/progress", buckets=4).awaitTermination()
+    return sq.flag_columns(ingest.current_flags(spark, f"{folder}/responses", v.questions(spark)))
 
 
 def _to_table(spark, stream, schema):
     """Run a stream to the end of its input into a table in the shared folder."""
-    folder = _fresh(spark)
+    folder = fresh_folder(spark)
     job = (
         stream.writeStream.format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/progress").outputMode("append").trigger(availableNow=True).start()
@@ -55,15 +55,3 @@ def stream_status_changes(spark, sf_dir):
         _micros("ts").alias("at"), F.col("event_id").alias("seq"),
     )
     return _to_table(spark, monitors.status_change_stream(log), "run_id string, status string, seq bigint")
-
-
-@query("stream_breaker")
-def stream_breaker(spark, sf_dir):
-    calls = event_stream(spark, sf_dir).select(
-        F.concat(F.lit("k"), F.col("user_id") % 10).alias("key"), F.col("event_id").alias("call_id"),
-        (_micros("ts") / F.lit(1e6) / F.lit(500.0)).alias("at"), (~F.col("event_type").isin("error", "signup", "view")).alias("ok"),
-    )
-    out = _to_table(
-        spark, monitors.breaker_stream(calls), "key string, call_id bigint, at double, ok boolean, admitted boolean, state string"
-    )
-    return out.groupBy("key", "state", "admitted").agg(F.count(F.lit(1)).alias("calls"))

@@ -1,71 +1,16 @@
-"""Streaming responses: keep the answer histogram current without rescanning.
+"""Streaming responses: a stored table of the latest answers, from which flags are computed.
 
-State is held per (run, question, respondent), at most one answer per wording.
-A new or changed answer retracts the respondent's old cells and adds the new
-ones, so the sum of all changes is always the histogram of the latest answers.
+There is no state in executors: the table is the state. It holds one row per response key, is rewritten only in the
+partitions that a batch touches, and takes rows in any order, since (ts, seq) decides which answer is the latest. So
+rows may be as late as they like, and a replayed batch changes nothing.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from sondage.operators import kernels
-from sondage.operators.responses import matched_cells
-from sondage.operators.shift import flags_from_histogram
-from sondage.session import ship_by_value
-from sondage.sources.tables import BUCKETS, upsert_responses
-
-ship_by_value(kernels)
-CHANGES = "run_id string, question_id string, present int, paraphrase_idx bigint, value double, n bigint"
-
-
-def histogram_changes(responses: DataFrame) -> DataFrame:
-    """Stream of cell changes from a stream of (key, value, at, seq) rows."""
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = json.loads(state.get[0]) if state.exists else {}
-        new = dict(old)
-        for pdf in batches:
-            for k, value, at, seq in zip(pdf["paraphrase_idx"], pdf["value"], pdf["at"], pdf["seq"]):
-                entry = [int(at), int(seq), None if pd.isna(value) else float(value)]
-                held = new.get(str(k))
-                if held is None or entry[:2] > held[:2]:
-                    new[str(k)] = entry
-        if new != old:
-            state.update((json.dumps(new),))
-            rows = kernels.signed_cells(old, -1) + kernels.signed_cells(new, 1)
-            out = pd.DataFrame(rows, columns=["present", "paraphrase_idx", "value", "n"])
-            out["value"] = out["value"].astype("float64")
-            out.insert(0, "run_id", key[0])
-            out.insert(1, "question_id", key[1])
-            yield out
-
-    return responses.groupBy("run_id", "question_id", "persona_id").applyInPandasWithState(
-        update, CHANGES, "answers string", "append", GroupStateTimeout.NoTimeout
-    )
-
 
-def keep_histogram(responses: DataFrame, path: str, checkpoint: str):
-    """Start the stream; every batch is totalled and written under its own id, so a replay overwrites itself."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        totals = batch.groupBy("run_id", "question_id", "present", "paraphrase_idx", "value").agg(F.sum("n").alias("n"))
-        totals.where("n <> 0").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return (
-        histogram_changes(responses)
-        .writeStream.foreachBatch(write)
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+from sondage.operators.shift import shift_flags
+from sondage.sources.tables import BUCKETS, read_responses, upsert_responses
 
 
 def keep_responses(responses: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
@@ -85,8 +30,6 @@ def keep_responses(responses: DataFrame, path: str, checkpoint: str, buckets: in
     )
 
 
-def current_flags(spark: SparkSession, path: str, questions: DataFrame) -> DataFrame:
-    """Shift flags from the stored changes alone; null values keep their own cell."""
-    changes = spark.read.schema(CHANGES + ", batch bigint").parquet(path)
-    cells = changes.groupBy("run_id", "question_id", "present", "paraphrase_idx", "value").agg(F.sum("n").alias("n"))
-    return flags_from_histogram(matched_cells(cells.where("n > 0")), questions)
+def current_flags(spark: SparkSession, path: str, questions: DataFrame, run_id: str | None = None, only: list[str] | None = None) -> DataFrame:
+    """Shift flags of the stored answers; a run and questions restrict the scan to their partitions and rows."""
+    return shift_flags(read_responses(spark, path, run_id, only), questions)

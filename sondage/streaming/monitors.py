@@ -1,8 +1,7 @@
-"""Streaming monitors: failure breaker, status changes and failed-job routing."""
+"""Streaming monitors: status changes and failed-job routing."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,31 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sondage import config
-from sondage.operators import kernels
 from sondage.operators.logs import route_failures
-from sondage.session import ship_by_value
-
-ship_by_value(kernels)
-
-
-def breaker_stream(
-    calls: DataFrame, window: int = config.ALARM_WINDOW, ratio: float = config.ALARM_RATIO,
-    cool_down: float = config.COOL_DOWN_SECONDS, probes: int = config.HALF_OPEN_PROBES,
-) -> DataFrame:
-    """Breaker state after every call of (key, call_id, at, ok); state is the window, not the log."""
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        saved = json.loads(state.get[0]) if state.exists else None
-        breaker = kernels.Breaker(window, ratio, cool_down, probes, saved)
-        arrived = pd.concat(list(batches)).sort_values(["at", "call_id"], kind="stable")
-        out = kernels.replay(arrived[["key", "call_id", "at", "ok"]], breaker)
-        state.update((json.dumps(breaker.saved()),))
-        yield out
-
-    return calls.groupBy("key").applyInPandasWithState(
-        update, "key string, call_id bigint, at double, ok boolean, admitted boolean, state string",
-        "saved string", "append", GroupStateTimeout.NoTimeout,
-    )
 
 
 def status_change_stream(log: DataFrame, terminal: list[str] = config.TERMINAL_STATUSES) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ordered work, breaker, status logs, spend and streams."""
+"""Ordered work, failure alarm, status logs, spend and streams."""
 
 import random
 from collections import deque
@@ -46,44 +46,6 @@ def test_rolling_failures_with_and_without_chunks(spark, chunk):
         assert (r["failure_ratio"], r["alarm"]) == (pytest.approx(want[r["call_id"]][0]), want[r["call_id"]][1])
 
 
-def simple_breaker(rows, window=30, ratio=0.5, cool=30.0, probes=3):
-    state, opened, good, recent, out = "closed", 0.0, 0, [], {}
-    for _, i, at, ok in rows:
-        if state == "open" and at - opened < cool:
-            out[i] = (False, "open")
-            continue
-        if state == "open":
-            state, good = "half_open", 0
-        recent = (recent + [ok])[-window:]
-        if ok and state == "half_open":
-            good += 1
-            state = "closed" if good == probes else state
-        elif not ok and (state == "half_open" or (len(recent) == window and recent.count(False) / window >= ratio)):
-            state, opened = "open", at
-        out[i] = (True, state)
-    return out
-
-
-@pytest.mark.parametrize("max_group", [60, 1_000_000])
-def test_breaker_replay_whole_and_in_pieces(spark, max_group):
-    rows = log_rows(2400, fail=0.7)
-    want = simple_breaker(rows)
-    assert {s for _, s in want.values()} == {"closed", "open", "half_open"}
-    out = logs.breaker_replay(frame(spark, rows).repartition(6), max_group=max_group).collect()
-    assert {r["call_id"]: (r["admitted"], r["state"]) for r in out} == want
-
-
-def test_breaker_replay_really_cuts_long_logs(spark):
-    cut = logs._segments(frame(spark, log_rows(2400, fail=0.7)), 30, 30.0, 60)
-    assert cut.select("segment").distinct().count() > 3
-
-
-def test_breaker_opens_and_half_opens(spark):
-    rows = [("k", i, float(i), i % 2 == 0) for i in range(10)] + [("k", 10 + i, 50.0 + i, True) for i in range(4)]
-    out = logs.breaker_replay(frame(spark, rows), window=10, cool_down=5.0).orderBy("call_id").collect()
-    assert [r["state"] for r in out][8:] == ["closed", "open", "half_open", "half_open", "closed", "closed"]
-
-
 STATUS = "run_id string, status string, ts timestamp, seq int"
 
 
@@ -150,18 +112,19 @@ def drain(spark, stream, folder):
     return spark.read.parquet(f"{folder}/out")
 
 
-def test_stream_histogram_follows_changed_answers(spark, tmp_path):
+def test_stream_flags_follow_late_and_changed_answers(spark, tmp_path):
     from sondage.operators.responses import latest_responses
     from sondage.operators.shift import shift_flags
 
     rng = random.Random(3)
-    rows = [("r", f"p{rng.randint(0, 11)}", rng.choice("ab"), rng.randint(0, 2), rng.choice([None, 1.0, 2.0, 3.0, 4.0, 5.0]), i, i) for i in range(900)]
-    df = spark.createDataFrame(rows, "run_id string, persona_id string, question_id string, paraphrase_idx int, value double, at bigint, seq bigint")
+    rows = [("r", f"p{rng.randint(0, 11)}", rng.choice("ab"), rng.randint(0, 2), rng.choice([None, 1.0, 2.0, 3.0, 4.0, 5.0]), i * 7919 % 900, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "run_id string, persona_id string, question_id string, paraphrase_idx int, value double, ts bigint, seq bigint")
     asked = spark.createDataFrame([("r", "a", "likert_5", 0), ("r", "b", "single_choice", 6)], "run_id string, question_id string, type string, n_options int")
-    stream = feed(spark, df, f"{tmp_path}/in", 3, ["at"])
-    ingest.keep_histogram(stream, f"{tmp_path}/changes", f"{tmp_path}/cp").awaitTermination()
-    want = shift_flags(latest_responses(df, ("at", "seq")), asked).orderBy("question_id").collect()
-    assert ingest.current_flags(spark, f"{tmp_path}/changes", asked).orderBy("question_id").collect() == want
+    stream = feed(spark, df, f"{tmp_path}/in", 3, ["seq"])
+    ingest.keep_responses(stream, f"{tmp_path}/table", f"{tmp_path}/cp", buckets=2).awaitTermination()
+    want = shift_flags(latest_responses(df), asked).orderBy("question_id").collect()
+    assert ingest.current_flags(spark, f"{tmp_path}/table", asked).orderBy("question_id").collect() == want
+    assert ingest.current_flags(spark, f"{tmp_path}/table", asked.where("question_id = 'a'"), "r", ["a"]).collect() == want[:1]
     assert {r["metric"] for r in want} == {"wasserstein", "jensen_shannon"}
 
 
@@ -179,13 +142,6 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_stream_breaker_equals_batch(spark, tmp_path):
-    df = frame(spark, log_rows(900, fail=0.7))
-    out = drain(spark, monitors.breaker_stream(feed(spark, df, f"{tmp_path}/in", 3, ["at", "call_id"])), tmp_path)
-    want = simple_breaker(log_rows(900, fail=0.7))
-    assert {r["call_id"]: (r["admitted"], r["state"]) for r in out.collect()} == want
-
-
 def test_stream_status_changes(spark, tmp_path):
     log = statuses(spark, ["pending", "pending", "probing", "probing", "completed", "failed"]).select("run_id", "status", F.col("seq").cast("bigint").alias("at"), F.col("seq").cast("bigint").alias("seq"))
     out = drain(spark, monitors.status_change_stream(feed(spark, log, f"{tmp_path}/in", 3, ["at"])), tmp_path)
