@@ -249,5 +249,6 @@ HISTORY_LENGTH = 20
 # --- defaults of ours ------------------------------------------------------
 SEED = 42
 # a per-key ordered window runs in one task, so larger groups are cut in chunks
+DEFAULT_COUNTRY = "US"
 MAX_GROUP_ROWS = 2_000_000
 JOIN_SALTS = 16

@@ -41,18 +41,24 @@ def pick(options: Sequence[str], *parts: Column | str | int) -> Column:
 def audience_hash(
     age_min: Column, age_max: Column, genders: Column, income_min: Column, income_max: Column,
     education_min: Column, states: Column, n: int, seed: int, version: str = config.HASH_VERSION,
+    country: Column | None = None, tags: Column | None = None, styles: dict | None = None,
 ) -> Column:
-    """Stable identity of an audience, its style table, the pool size and the seed."""
-    styles = ";".join(
+    """Stable identity of an audience with its country and behavioural tags, its style table, the pool size and the seed.
+
+    Anything missing is marked as such, so that no field can slide into another's place.
+    """
+    weights = ";".join(
         f"{trait}:" + ",".join(f"{level}={weight}" for level, weight in sorted(levels.items()))
-        for trait, levels in sorted(config.TRAITS.items())
+        for trait, levels in sorted((styles or config.TRAITS).items())
     )
     text = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    joined = lambda c: F.concat(F.lit("["), F.array_join(F.array_sort(c), ","), F.lit("]"))
+    joined = lambda c: F.coalesce(F.concat(F.lit("["), F.array_join(F.array_sort(c), ",", "null"), F.lit("]")), F.lit("null"))
+    country = F.lit(config.DEFAULT_COUNTRY) if country is None else country
+    tags = F.array().cast("array<string>") if tags is None else tags
     return F.sha2(
         F.concat_ws(
             "|", text(age_min), text(age_max), joined(genders), text(income_min), text(income_max),
-            text(education_min), joined(states), F.lit(styles), F.lit(str(n)), F.lit(str(seed)), F.lit(version),
+            text(education_min), joined(states), text(country), joined(tags), F.lit(weights), F.lit(str(n)), F.lit(str(seed)), F.lit(version),
         ),
         256,
     )

@@ -310,6 +310,7 @@ _STYLES = ";".join(
 SELECT audience_id, sha256(concat_ws('|', coalesce(age_min::VARCHAR, 'null'), coalesce(age_max::VARCHAR, 'null'),
   '[' || array_to_string(list_sort(genders), ',') || ']', coalesce(income_min::VARCHAR, 'null'),
   coalesce(income_max::VARCHAR, 'null'), education_min, '[' || array_to_string(list_sort(states), ',') || ']',
+  CASE WHEN audience_id % 10 = 0 THEN 'CA' ELSE 'US' END, CASE WHEN audience_id % 8 = 0 THEN '[gamer,parent]' WHEN audience_id % 8 = 1 THEN 'null' ELSE '[]' END,
   '{_STYLES}', '1000', '42', 'v1')) AS audience_hash FROM customer_audiences"""))
 def audience_hash(spark, sf_dir):
     key = F.col("c_custkey")
@@ -320,5 +321,7 @@ def audience_hash(spark, sf_dir):
         F.when(key % 2 == 0, key * 10), F.when(key % 4 == 0, key * 90),
         F.when(key % 5 == 0, "hs").otherwise("any"),
         F.when(key % 6 == 0, F.array(F.lit("TX"), F.lit("CA"))).otherwise(none), n=1000, seed=42,
+        country=F.when(key % 10 == 0, "CA").otherwise("US"),
+        tags=F.when(key % 8 == 0, F.array(F.lit("parent"), F.lit("gamer"))).when(key % 8 != 1, none),
     )
     return v.table(spark, sf_dir, "customer").select(key.alias("audience_id"), digest.alias("audience_hash"))

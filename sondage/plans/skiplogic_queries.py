@@ -153,7 +153,7 @@ def documents(spark, sf_dir):
     n = F.col("p_partkey")
     condition = F.when(
         n % 3 == 0,
-        F.concat(F.lit(', "conditional_on": {"q_id": "A", "operator": "'), F.when(n % 9 == 0, "~").otherwise("=="), F.lit('", "value": 3}')),
+        F.concat(F.lit(', "conditional_on": {"q_id": "A", "operator": "'), F.when(n % 9 == 0, "~").otherwise("=="), F.when(n % 29 == 0, '"}').otherwise('", "value": 3}')),
     ).otherwise("")
     doc = F.concat(
         F.lit('{"id": "s'), key, F.lit('"'),
@@ -161,9 +161,11 @@ def documents(spark, sf_dir):
         F.when(n % 7 != 0, ', "brief": {"objectives": ["track"], "audience_criteria": "adults"}').otherwise(""),
         F.lit(', "audience": {"age_range": {"min": 18, "max": '), F.when(n % 17 == 0, "200").otherwise("60"), F.lit("}}"),
         F.lit(', "questions": [{"id": "A", "type": "'), F.when(n % 13 == 0, "matrix").otherwise("likert_5"),
-        F.lit('", "text": "Rate '), F.col("p_name"), F.lit('"}, {"id": "B", "type": "single_choice", "text": "Pick", "options": ["x", "y"]'),
+        F.lit('", "text": "Rate '), F.col("p_name"), F.lit('"}, {"id": "B", "type": "single_choice", "text": "Pick", "options": '),
+        F.when(n % 31 == 0, "[1, 2]").otherwise('["x", "y"]'), F.when(n % 37 == 0, ', "stimulus": {"kind": "ad"}').otherwise(""),
         condition, F.when(n % 19 == 0, ', "hue": "red"').otherwise(""), F.lit("}]"),
         F.lit(', "quotas": [{"cell": {"age_bucket": "18-24"}, "target_n": '), F.col("p_size").cast("string"), F.lit("}]"),
+        F.when(n % 41 == 0, ', "fielding": {"target_n": "many"}').when(n % 43 == 0, ', "fielding": {"target_n": "500"}').otherwise(""),
         F.when(n % 23 == 0, "").otherwise("}"),
     )
     return v.table(spark, sf_dir, "part").select(F.concat(F.lit("s"), key).alias("slug"), doc.alias("doc"))
@@ -172,7 +174,8 @@ def documents(spark, sf_dir):
 _REASON = """CASE WHEN p_partkey % 23 = 0 THEN 'not a JSON object' WHEN p_partkey % 11 = 0 THEN 'unknown top-level field'
  WHEN p_partkey % 7 = 0 THEN 'missing required field' WHEN p_partkey % 13 = 0 THEN 'unknown question type'
  WHEN p_partkey % 19 = 0 THEN 'unknown question field' WHEN p_partkey % 9 = 0 THEN 'bad condition'
- WHEN p_partkey % 17 = 0 THEN 'age out of range' END"""
+ WHEN p_partkey % 3 = 0 AND p_partkey % 29 = 0 THEN 'bad condition' WHEN p_partkey % 37 = 0 THEN 'stimulus without description'
+ WHEN p_partkey % 17 = 0 THEN 'age out of range' WHEN p_partkey % 31 = 0 OR p_partkey % 41 = 0 THEN 'wrong type' END"""
 
 
 @query("survey_validate", f"SELECT 's' || p_partkey AS slug, {_REASON} AS reject_reason, ({_REASON}) IS NULL AS valid FROM part")
