@@ -16,7 +16,7 @@ HEADLINE = [
     "responses_upsert", "matched_panel", "wasserstein_shift", "js_shift", "shift_flags", "jaccard_shift",
     "redundancy_flags", "irt_posterior_step", "irt_discrimination", "audience_match_counts", "panel_build",
     "quota_feasibility", "persona_prompt", "variant_gate", "probe_plan", "skip_logic_flags", "inject_fanout",
-    "calibration_f1", "question_severity", "spend_rollup", "spend_cap_breach", "rolling_failure", "breaker_replay",
+    "calibration_f1", "question_severity", "spend_rollup", "spend_cap_breach", "rolling_failure", "report_card", "report_findings", "skip_cycles", "rule_contradictions", "quota_share", "stream_shift",
     "transition_audit", "best_run_per_survey",
 ]
 

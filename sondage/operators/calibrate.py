@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from sondage import config
 from sondage.functions.hashing import gaussian, uniform
 from sondage.functions.scalars import lookup
-from sondage.operators import evaluate, inject, irt, redundancy
+from sondage.operators import evaluate, feasibility, inject, irt, redundancy
 from sondage.operators.inject import clip_scale
 from sondage.operators.shift import shift_flags
+from sondage.operators.skiplogic import skip_logic_flags
 from sondage.session import cut_lineage
 
 SIGNATURES = {
@@ -21,6 +22,10 @@ SIGNATURES = {
 }
 
 
+#: Cells that were planted are named by this and their severity.
+PLANTED = "planted_"
+
+
 def _run_id() -> Column:
     return F.concat_ws("|", "survey_id", "defect_class", "severity")
 
@@ -63,11 +68,37 @@ def variant_responses(variants: DataFrame, recorded: DataFrame, seed: int = conf
     return rows.select("run_id", "persona_id", "question_id", "paraphrase_idx", shown.cast("double").alias("value"))
 
 
+def variant_quota_flags(variants: DataFrame, population: DataFrame, audiences: DataFrame, quotas: DataFrame) -> DataFrame:
+    """(run_id, cell_id, severity) of each variant's quota cells: the survey's own, and the planted one where there is one.
+
+    `audiences` and `quotas` name a survey as audience_id. A cell's share does not depend on the variant, so each
+    survey's own and planted cells are analysed once and then handed to the variants that have them.
+    """
+    surveys = variants.select("survey_id").distinct()
+    cells = quotas.select("audience_id", "cell_id", "cell", "target_n")
+    for severity in config.DEFECT_SEVERITIES:
+        planted = inject.inject_quota(surveys, severity)
+        cells = cells.unionByName(planted.select(
+            F.col("survey_id").alias("audience_id"), F.lit(f"{PLANTED}{severity}").alias("cell_id"), "cell", "target_n"))
+    flags = feasibility.quota_feasibility(feasibility.quota_share(population, audiences, cells)).select(
+        F.col("audience_id").alias("survey_id"), "cell_id", F.col("severity").alias("found"))
+    runs = variants.select("run_id", "survey_id", "defect_class", "severity").distinct()
+    own = ~F.col("cell_id").startswith(PLANTED)
+    here = (F.col("defect_class") == "infeasible_screener") & (F.col("cell_id") == F.concat(F.lit(PLANTED), "severity"))
+    return runs.join(flags, "survey_id").where(own | here).select("run_id", "cell_id", F.col("found").alias("severity"))
+
+
+def variant_screener_flags(variants: DataFrame, conditions: DataFrame, rules: DataFrame) -> DataFrame:
+    """(run_id, flag, severity): skip logic is a survey's own in every variant, so it is analysed once per survey."""
+    flags = skip_logic_flags(conditions, rules).select("survey_id", "flag", "severity")
+    return variants.select("run_id", "survey_id").distinct().join(flags, "survey_id").drop("survey_id")
+
+
 def run_calibration(
     spark: SparkSession, questions: DataFrame, recorded: DataFrame, quota_flags: DataFrame | None = None,
-    options: int = 5, seed: int = config.SEED,
+    options: int = 5, seed: int = config.SEED, screener_flags: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(scores, outcomes). `quota_flags`: run_id and severity of the variants' quota cells, if they were analysed."""
+    """(scores, outcomes). `quota_flags` and `screener_flags`: run_id and severity, as the functions above give them."""
     variants = cut_lineage(variant_questions(questions, seed))
     answers = cut_lineage(variant_responses(variants, recorded, seed))
     asked = variants.select(
@@ -79,7 +110,8 @@ def run_calibration(
     fit = irt.fit_discrimination(irt.dichotomize(named.select("run_id", "persona_id", "item", "value")))
     nothing = variants.limit(0).select("run_id", F.lit("none").alias("severity"))
     bag = evaluate.observed_classes(
-        shift_flags(answers, asked), irt.irt_flags(fit), redundant, nothing, nothing if quota_flags is None else quota_flags
+        shift_flags(answers, asked), irt.irt_flags(fit), redundant, nothing if screener_flags is None else screener_flags,
+        nothing if quota_flags is None else quota_flags,
     )
     # a run's bag holds at most one entry per question and flag kind
     bags = bag.groupBy("run_id").agg(F.collect_list("defect_class").alias("observed"))

@@ -50,6 +50,10 @@ def report_cards(
     """
     key = ["run_id", "question_id"]
     severities = question_severity(questions, shift, irt)
+    if "text" in questions.columns:
+        severities = severities.join(questions.select(*key, F.col("text").alias("question_text")), key)
+    else:
+        severities = severities.withColumn("question_text", F.lit(None).cast("string"))
     if examples is not None:
         listed = F.array_sort(F.collect_list(F.struct("paraphrase_idx", "text", "mean_response", "n")))
         shift = shift.join(examples.groupBy(*key).agg(listed.alias("examples")), key, "left")
@@ -59,7 +63,7 @@ def report_cards(
     )
     per_question = rows.groupBy("run_id").agg(
         F.array_sort(
-            F.collect_list(F.struct("position", "question_id", "type", "severity", "paraphrase_shift", "irt"))
+            F.collect_list(F.struct("position", "question_id", "question_text", "type", "severity", "paraphrase_shift", "irt"))
         ).alias("per_question")
     )
     exposure = report_exposure(severities)
@@ -67,8 +71,12 @@ def report_cards(
     card = per_question.join(exposure.select("run_id", F.struct(*counts).alias("estimated_panel_exposure")), "run_id")
     for flags, name in ((redundancy, "redundancy_pairs"), (screener, "screener_issues"), (quota, "quota_feasibility")):
         card = card.join(_listed(flags, name), "run_id", "left")
+    if "survey_id" in questions.columns:
+        card = card.join(questions.groupBy("run_id").agg(F.min("survey_id").alias("survey_id")), "run_id")
+    else:
+        card = card.withColumn("survey_id", F.col("run_id"))
     body = F.struct(
-        "run_id", "per_question",
+        "run_id", "survey_id", "per_question",
         *[F.coalesce(F.col(n), F.array()).alias(n) for n in ("redundancy_pairs", "screener_issues", "quota_feasibility")],
         "estimated_panel_exposure",
         F.lit(f1_overall).cast("double").alias("calibration_f1"), F.lit(DISCLAIMER).alias("framing_disclaimer"),
@@ -76,6 +84,27 @@ def report_cards(
     return card.select("run_id", F.to_json(body).alias("report"))
 
 
+def report_findings(shift: DataFrame, redundancy: DataFrame, screener: DataFrame, quota: DataFrame, irt: DataFrame | None = None) -> DataFrame:
+    """Everything a report says, a row per finding: run_id, survey_id (of survey-level findings), kind, subject, severity
+    and summary. For runs whose findings are too many for one document."""
+    row = lambda df, kind, subject, survey=None: df.select(
+        "run_id", (F.lit(None) if survey is None else F.col(survey)).cast("string").alias("survey_id"), F.lit(kind).alias("kind"),
+        subject.cast("string").alias("subject"), "severity", "summary",
+    )
+    both = F.concat_ws("|", "q_id_a", "q_id_b")
+    parts = [
+        row(shift, "paraphrase_shift", F.col("question_id")), row(redundancy, "redundant_pair", both),
+        row(screener, "screener", F.concat_ws("|", "flag", "subject", "detail"), "survey_id"),
+        row(quota, "quota", F.col("cell_id"), "audience_id"),
+    ]
+    if irt is not None:
+        parts.append(row(irt, "discrimination", F.col("question_id")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def latest_runs(runs: DataFrame, n: int = config.HISTORY_LENGTH) -> DataFrame:
     """The n most recently completed runs: a top-n, not a sort of the history."""
     return runs.where("completed_at IS NOT NULL").orderBy(F.desc("completed_at"), F.desc("run_id")).limit(n)

@@ -16,6 +16,7 @@ MODULES = [
     "defect_queries",
     "report_queries",
     "stream_queries",
+    "sink_queries",
 ]
 for _name in MODULES:
     importlib.import_module(f"sondage.plans.{_name}")

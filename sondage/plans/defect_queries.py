@@ -198,3 +198,54 @@ LEFT JOIN (SELECT a.run_id, avg(a.value) AS mean FROM responses a JOIN responses
     AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1) m ON m.run_id = r.run_id"""))
 def perturb_correlate(spark, sf_dir):
     return inject.perturb_correlate(v.responses(spark, sf_dir), "click", "view")
+
+
+# --- quota cells of planted variants, against the population -----------------
+def _cell_sql(cell):
+    tests = []
+    for key, value in cell.items():
+        if key == "age_bucket":
+            lo, hi = config.AGE_BUCKETS[value]
+            tests.append(f"AGEP BETWEEN {lo} AND {hi}")
+        elif key == "state":
+            tests.append(f"ST = {next(code for code, usps in config.STATES.items() if usps == value)}")
+        elif key == "income_bracket":
+            lo, hi = config.INCOME_BRACKETS[value]
+            tests.append(f"PINCP >= {lo} AND PINCP < '{hi}'::DOUBLE")
+    return " AND ".join(tests)
+
+
+_NOTABLE = lambda c: f"(100 * coalesce({c}, 0) / total < {config.QUOTA_MARGINAL_PCT})"
+V["survey_reach"] = f"""
+SELECT survey_id, sum(PWGTP)::DOUBLE AS total, sum(PWGTP) FILTER (SEX = 1) AS own, {', '.join(
+    f"sum(PWGTP) FILTER ({_cell_sql(config.INFEASIBLE_CELLS[s])}) AS {s}" for s in config.DEFECT_SEVERITIES)}
+FROM (SELECT DISTINCT survey_id, substr(survey_id, 2)::INT AS k FROM instrument) s
+JOIN population p ON p.AGEP BETWEEN 18 + s.k % 10 AND 40 + s.k % 25 GROUP BY 1"""
+
+
+@query("calibration_quota", with_views(V, ["instrument", "population", "survey_reach"], " UNION ALL ".join(
+    f"SELECT survey_id, '{d}' AS defect_class, '{s}' AS severity, {_NOTABLE('own')}"
+    + (f" OR {_NOTABLE(s)}" if d == "infeasible_screener" else "") + " AS flagged FROM survey_reach"
+    for d, s in [("clean", "none"), *inject.VARIANTS])))
+def calibration_quota(spark, sf_dir):
+    """Which of a survey's nineteen variants the quota analysis flags."""
+    from sondage.operators import calibrate
+    from sondage.plans.population_queries import population
+
+    questions = instrument(spark, sf_dir)
+    k = F.substring("survey_id", 2, 9).cast("int")
+    surveys = questions.select("survey_id").distinct()
+    audiences = surveys.select(
+        F.col("survey_id").alias("audience_id"), (18 + k % 10).alias("age_min"), (40 + k % 25).alias("age_max"),
+        F.array(F.lit("any")).alias("genders"), F.lit(None).cast("int").alias("income_min"), F.lit(None).cast("int").alias("income_max"),
+        F.lit("any").alias("education_min"), F.array().cast("array<string>").alias("states"),
+    )
+    quotas = surveys.select(
+        F.col("survey_id").alias("audience_id"), F.lit("q0").alias("cell_id"), F.create_map(F.lit("gender"), F.lit("male")).alias("cell"),
+        F.lit(100).alias("target_n"),
+    )
+    variants = calibrate.variant_questions(questions)
+    flags = calibrate.variant_quota_flags(variants, population(spark, sf_dir), audiences, quotas)
+    runs = variants.select("run_id", "survey_id", "defect_class", "severity").distinct()
+    worst = flags.groupBy("run_id").agg(F.max(F.col("severity").isin("medium", "high")).alias("flagged"))
+    return runs.join(worst, "run_id").drop("run_id")

@@ -75,8 +75,13 @@ def variant_fallback(spark, sf_dir):
 
 # --- texts and caches, from part -------------------------------------------
 V["part_texts"] = "SELECT p_partkey AS question_id, p_name || ' ' || p_brand || ' ' || p_size % 7 AS text FROM part"
+# cached already: texts of the parts that sell more than parts do on average
+V["good_sellers"] = """
+SELECT l_partkey AS question_id FROM lineitem GROUP BY 1
+HAVING sum(l_quantity) > (SELECT sum(l_quantity) / count(DISTINCT l_partkey) FROM lineitem)"""
 V["part_cache"] = """
-SELECT sha256('v1|' || text) AS question_hash, min(question_id) AS owner FROM part_texts WHERE question_id % 3 = 0 GROUP BY 1"""
+SELECT sha256('v1|' || text) AS question_hash, min(question_id) AS owner FROM part_texts JOIN good_sellers USING (question_id) GROUP BY 1"""
+CACHE = ["part_texts", "good_sellers", "part_cache"]
 
 
 def part_texts(spark, sf_dir):
@@ -85,7 +90,10 @@ def part_texts(spark, sf_dir):
 
 
 def part_cache(spark, sf_dir):
-    rows = gate.with_hash(part_texts(spark, sf_dir).where("question_id % 3 = 0"))
+    sold = v.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("question_id")).agg(F.sum("l_quantity").alias("sold"))
+    average = sold.agg(F.avg("sold").alias("average"))  # one row
+    good = sold.join(F.broadcast(average), F.col("sold") > F.col("average"))
+    rows = gate.with_hash(part_texts(spark, sf_dir).join(good, "question_id", "left_semi"))
     return rows.groupBy("question_hash").agg(F.min("question_id").alias("owner"))
 
 
@@ -94,14 +102,14 @@ def question_hash(spark, sf_dir):
     return part_texts(spark, sf_dir).select("question_id", hashing.question_hash(F.col("text")).alias("question_hash"))
 
 
-@query("cache_hit_miss", with_views(V, ["part_texts", "part_cache"], """
+@query("cache_hit_miss", with_views(V, CACHE, """
 SELECT sha256('v1|' || text) AS question_hash, count(*) AS n_questions, min(question_id) AS first_question,
   sha256('v1|' || text) IN (SELECT question_hash FROM part_cache) AS hit FROM part_texts GROUP BY text"""))
 def cache_hit_miss(spark, sf_dir):
     return gate.cache_lookup(part_texts(spark, sf_dir), part_cache(spark, sf_dir))
 
 
-@query("cache_insert_new", with_views(V, ["part_texts", "part_cache"], """
+@query("cache_insert_new", with_views(V, CACHE, """
 SELECT question_hash, owner FROM part_cache UNION ALL
 SELECT sha256('v1|' || text), min(question_id) FROM part_texts
 WHERE sha256('v1|' || text) NOT IN (SELECT question_hash FROM part_cache) GROUP BY 1"""))
@@ -110,7 +118,7 @@ def cache_insert_new(spark, sf_dir):
     return gate.insert_absent(part_cache(spark, sf_dir), rows, "question_hash", "seq")
 
 
-@query("variant_text", with_views(V, ["part_texts", "part_cache"], f"""
+@query("variant_text", with_views(V, CACHE, f"""
 SELECT t.question_id, i::INT AS idx, CASE WHEN i = 0 THEN t.text
   WHEN c.owner IS NOT NULL AND i <= 1 + c.owner % {config.K_VARIANTS} THEN 'wording ' || i || ' of ' || c.owner
   ELSE '{config.VARIANT_PLACEHOLDER}' END AS shown
@@ -127,9 +135,9 @@ def variant_text(spark, sf_dir):
 
 
 # --- work lists: panels asked about suppliers ------------------------------
-_RUNS = ["all", "young_women", "graduates"]
+_RUNS = [a[0] for a in pop._AUDIENCES]
 V["asked"] = f"""
-SELECT {sql_list(_RUNS)}[1 + s_suppkey % 3] AS run_id, 's' || s_suppkey AS question_id FROM supplier"""
+SELECT {sql_list(_RUNS)}[1 + s_suppkey % {len(_RUNS)}] AS run_id, 's' || s_suppkey AS question_id FROM supplier"""
 SUB = 8
 V["plan"] = f"""
 SELECT q.run_id, p.persona_id, q.question_id, k::INT AS paraphrase_idx
@@ -145,7 +153,7 @@ def _plan(spark, sf_dir):
     panel = build_panels(pop.population(spark, sf_dir), pop.audiences(spark), pop.PANEL_SIZE)
     panel = panel.select(F.col("audience_id").alias("run_id"), "rank", "persona_id")
     key = F.col("s_suppkey")
-    run = F.element_at(F.array(*[F.lit(r) for r in _RUNS]), (1 + key % 3).cast("int"))
+    run = F.element_at(F.array(*[F.lit(r) for r in _RUNS]), (1 + key % len(_RUNS)).cast("int"))
     questions = v.table(spark, sf_dir, "supplier").select(run.alias("run_id"), F.concat(F.lit("s"), key).alias("question_id"))
     return probes.probe_plan(panel, questions, baseline_n=pop.PANEL_SIZE, subpanel_n=SUB)
 

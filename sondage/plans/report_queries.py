@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage import config
-from sondage.operators import evaluate, feasibility, irt, redundancy, report, skiplogic
+from sondage.operators import evaluate, feasibility, irt, redundancy, report, responses, shift, skiplogic
 from sondage.plans import population_queries as pop
 from sondage.plans import shift_queries as sq
 from sondage.plans import skiplogic_queries as skip
 from sondage.plans import views as v
-from sondage.plans.registry import query, rnd, sql_in, sql_list, with_views
+from sondage.plans.registry import query, rnd, sql_case, sql_in, sql_list, sql_signed2, with_views
+from sondage.session import cut_lineage
 
 V = v.VIEWS
 V["base_items"] = f"""
@@ -55,10 +56,9 @@ _FIRST = ["all", "young_women", "graduates", "unknown_state"]
 
 
 def _survey_level(spark, sf_dir):
-    """Screener findings by kind and quota flags of all surveys and audiences, keyed by run."""
+    """Screener findings and quota flags of all surveys and audiences, keyed by run."""
     found = skiplogic.skip_logic_flags(skip.skip_questions(spark, sf_dir), skip.rules(spark, sf_dir))
-    run = F.concat(F.lit("r"), F.col("survey_id") % 2).alias("run_id")
-    screener = found.groupBy(run, "flag", "severity").agg(F.count(F.lit(1)).alias("findings"))
+    screener = found.withColumn("run_id", F.concat(F.lit("r"), F.col("survey_id") % 2))
     shares = feasibility.quota_share(pop.population(spark, sf_dir), pop.audiences(spark), pop.cells(spark))
     quota = pop.cell_text(feasibility.quota_feasibility(shares)).select(
         F.when(F.col("audience_id").isin(_FIRST), "r0").otherwise("r1").alias("run_id"), "audience_id", "cell_id", "cell", "pct", "severity", "summary"
@@ -73,13 +73,42 @@ def _redundant(spark, sf_dir):
 
 @query("report_card")
 def report_card(spark, sf_dir):
+    """The answers are read and brought up to date once, for all analyses."""
     screener, quota = _survey_level(spark, sf_dir)
+    answers = cut_lineage(v.responses(spark, sf_dir))
+    asked = v.questions(spark).withColumn("text", F.concat(F.lit("How was the "), F.col("question_id"), F.lit("?")))
+    items = redundancy.baseline_items(answers, asked)
+    names = asked.select("run_id", "position", F.col("question_id").alias("item"))
+    binary = irt.dichotomize(items.join(names, ["run_id", "position"]).select("run_id", "persona_id", "item", "value"))
     return report.report_cards(
-        v.questions(spark), sq.flags(spark, sf_dir), proxy_flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota,
-        examples=sq.shift_examples(spark, sf_dir),
+        asked, shift.shift_flags(answers, asked), irt.irt_flags(irt.fit_discrimination(binary)),
+        redundancy.redundancy_flags(redundancy.redundancy_pairs(items), asked), screener, quota,
+        examples=shift.flag_examples(responses.matched_histogram(answers), asked),
     )
 
 
+V["pair_flags"] = f"""
+SELECT run_id, qa AS q_id_a, qb AS q_id_b, CASE WHEN abs(r) >= {config.PEARSON_HIGH} THEN 'high' ELSE 'medium' END AS severity,
+  qa || ' and ' || qb || CASE WHEN abs(r) >= {config.PEARSON_HIGH} THEN ' measure ' || CASE WHEN r > 0 THEN 'the same' ELSE 'opposite' END
+    || ' thing (' || {sql_signed2('r')} || '); drop one' ELSE ' are correlated ' || {sql_signed2('r')} END AS summary FROM (
+  SELECT a.run_id, qa.question_id AS qa, qb.question_id AS qb, corr(a.value, b.value) AS r
+  FROM base_items a JOIN base_items b ON a.run_id = b.run_id AND a.persona_id = b.persona_id
+  JOIN questions qa ON qa.run_id = a.run_id AND qa.question_id = a.item JOIN questions qb ON qb.run_id = b.run_id AND qb.question_id = b.item
+  WHERE qa.position < qb.position GROUP BY 1, 2, 3
+  HAVING count(*) >= {config.MIN_PAIRS} AND stddev_pop(a.value) > 0 AND stddev_pop(b.value) > 0) WHERE abs(r) >= {config.PEARSON_MED}"""
+
+
+@query("report_findings", skip.recursive([*SEVERITY, "pair_flags", *skip.SKIP, *pop.SHARES, "quota_flags"], f"""
+SELECT run_id, NULL::VARCHAR AS survey_id, 'paraphrase_shift' AS kind, question_id AS subject, severity, {sq.SHIFT_SUMMARY} AS summary FROM shift_flags
+UNION ALL SELECT run_id, NULL, 'redundant_pair', q_id_a || '|' || q_id_b, severity, summary FROM pair_flags
+UNION ALL SELECT 'r' || survey_id % 2, survey_id::VARCHAR, 'screener', flag || '|' || subject || '|' || detail, 'high',
+  'question ' || subject || ' ' || {sql_case('flag', skiplogic.SUMMARIES)} FROM skip_flags
+UNION ALL SELECT CASE WHEN audience_id IN {sql_in(_FIRST)} THEN 'r0' ELSE 'r1' END, audience_id, 'quota', cell_id, severity, summary FROM quota_flags"""))
+def report_findings(spark, sf_dir):
+    screener, quota = _survey_level(spark, sf_dir)
+    return report.report_findings(sq.flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota)
+
+
 V["base_pairs"] = f"""
 SELECT a.run_id FROM base_items a JOIN base_items b ON a.run_id = b.run_id AND a.persona_id = b.persona_id AND a.item < b.item
 GROUP BY a.run_id, a.item, b.item

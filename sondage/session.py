@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
 
 from pyspark import cloudpickle
@@ -45,14 +47,18 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only if none is named."""
+    """The shared folder that the cluster names. Where none is named, a local session makes one of its own, which goes
+    with the process, and any other master is refused: its executors would not see this machine's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     fallback = tempfile.mkdtemp(prefix="sondage-ckpt-")
+    atexit.register(shutil.rmtree, fallback, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 
