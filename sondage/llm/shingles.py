@@ -30,7 +30,7 @@ class WordHashes(dict):
     """Hashes of words, each computed once; emptied now and then, so that it stays small."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
