@@ -17,11 +17,11 @@ from sondage.llm.components import components
 from sondage.session import ship_by_value
 
 #: Text of which one bucket holds the shingles' fingerprints.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Shingles that a task gathers before it deals them to the buckets.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Documents of a block that one search task indexes, and queries that it answers.
-SLICE = 2_000
+SLICE = 500
 
 
 def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -85,6 +85,10 @@ def survey_sets(source: DataFrame, words: int) -> DataFrame:
                 pa.array([None] * n + names, pa.binary()), pa.array([None] * n + sizes, pa.int64()), pa.array([None] * n + direct.tolist(), pa.int64()),
             ], names=["bucket", "prints", "who", "names", "doc_id", "mark", "name", "n", "shared"])
 
+        def rows(column, start, end):
+            """A copy, which does not keep the texts of its batch in memory."""
+            return column.take(pa.array(range(start, end), pa.int64()))
+
         for batch in batches:
             first = 0
             for k, value in enumerate(batch.column(2)):
@@ -94,13 +98,13 @@ def survey_sets(source: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(found))
                 size += len(found)
                 if size >= FLUSH or len(sets) >= FLUSH:
-                    ids.append(batch.column(0).slice(first, k + 1 - first))
-                    marks.append(batch.column(1).slice(first, k + 1 - first))
+                    ids.append(rows(batch.column(0), first, k + 1))
+                    marks.append(rows(batch.column(1), first, k + 1))
                     first = k + 1
                     yield from flush()
                     ids, marks, names, sizes, sets, size = [], [], [], [], [], 0
-            ids.append(batch.column(0).slice(first))
-            marks.append(batch.column(1).slice(first))
+            ids.append(rows(batch.column(0), first, batch.num_rows))
+            marks.append(rows(batch.column(1), first, batch.num_rows))
         if sets:
             yield from flush()
 
