@@ -190,4 +190,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, keys: tuple[str, ...] = ("
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their sequence and place. Null text is an empty document: the end id alone."""
-    return pack(stage(token_pieces(docs, doc_id, text, capacity), "pieces"), capacity)
+    pieces = stage(token_pieces(docs, doc_id, text, capacity), "pieces")
+    return pack(pieces, capacity, keys=("doc_id", "piece", "ids_crc32"))  # the checksum spreads rows whose ids are missing
