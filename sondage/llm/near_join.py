@@ -262,7 +262,9 @@ def _search_blocks(blocks: DataFrame, percent: int) -> DataFrame:
                     links.append((r["name"], docs[other]["name"]))
         return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
-    found = indexed.unionByName(queries).groupBy("block", "slice", "round").applyInArrow(search, "a binary, b binary")
+    # dealt by all three: what is dealt by block alone would keep the slices of a large block in one task
+    tasks = indexed.unionByName(queries).repartition("block", "slice", "round")
+    found = tasks.groupBy("block", "slice", "round").applyInArrow(search, "a binary, b binary")
     return stars.unionByName(found)
 
 
