@@ -38,6 +38,16 @@ def release(spark: SparkSession) -> int:
     return gone
 
 
+def rows_with_text(df: DataFrame, keep: list[str] | None, text: str) -> tuple[DataFrame, int]:
+    """The columns `keep` (all by default) as one struct `row`, ready for a task that reads the text, and the place of
+    the text in it. A text that is not among them is added last, so that no task gets it twice."""
+    names = df.columns if keep is None else list(keep)
+    fields = [F.col(f"`{c}`") for c in names]
+    if text not in names:
+        fields.append(F.col(f"`{text}`"))
+    return df.select(F.struct(*fields).alias("row")), names.index(text) if text in names else len(names)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII text takes the quick way with the same result."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

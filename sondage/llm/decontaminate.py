@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sondage.llm import wu_manber
+from sondage.llm.common import rows_with_text
 from sondage.session import ship_by_value
 
 #: Bytes of benchmark text that one pass over the documents searches for; a larger benchmark takes more passes.
@@ -45,12 +46,11 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, ke
     empty text has no words and hits nothing; an empty benchmark hits nothing; an item without id counts as item ''.
     """
     ship_by_value(wu_manber, sys.modules[__name__])
-    names = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").cast("binary").alias("text"))
+    rows, place = rows_with_text(docs, keep, text)
     found = "n_words long, spans array<struct<start: long, end: long>>, item_ids array<string>"
     rows = rows.select("*", F.expr("cast(null as long) n_words"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>) spans"),
                        F.expr("cast(array() as array<string>) item_ids"))
-    schema = StructType(rows.schema.fields[:2])
+    schema = StructType(rows.schema.fields[:1])
     for extra in StructType.fromDDL(found):
         schema = schema.add(extra.name, extra.dataType)
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
@@ -60,7 +60,8 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, ke
             matchers = wu_manber.build(sent.value, window)
             for batch in batches:
                 counts, spans, items = [], [], []
-                for body, old_spans, old_items in zip(batch.column(1), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                texts = batch.column(0).field(place).cast(pa.binary())
+                for body, old_spans, old_items in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                     words = wu_manber.words_of(body.as_py())
                     hit, who = [(s["start"], s["end"]) for s in old_spans], set(old_items)
                     for matcher in matchers:
@@ -71,11 +72,12 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, window: int = 13, ke
                     spans.append([{"start": a, "end": b} for a, b in wu_manber.merge(hit)])
                     items.append(sorted(who))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, SPANS),
-                     pa.array(items, pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "item_ids"])
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))],
+                    names=["row", "n_words", "spans", "item_ids"])
 
         rows = rows.mapInArrow(search, schema)
-    return rows.drop("text")
+    kept = F.col("row") if keep is None or text in keep else F.struct(*[F.col("row").getField(c).alias(c) for c in keep])
+    return rows.withColumn("row", kept)
 
 
 def hit_words(spans: str = "spans"):

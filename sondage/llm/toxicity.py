@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sondage.llm import toxicity_model
+from sondage.llm.common import rows_with_text
 from sondage.session import ship_by_value
 
 #: Labelled rows of each label that the model is fitted on, at most: the smallest hashes of their ids.
@@ -105,17 +106,17 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """`row`, a struct of the columns `keep` (all by default), and `score` from 0 to 1 of each whole text. Null is empty."""
     ship_by_value(toxicity_model, sys.modules[__name__])
-    names = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
+    rows, place = rows_with_text(docs, keep, text)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # FEATURES words at most, and the names
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [toxicity_model.score(*sent.value, body.as_py()) for body in batch.column(1)]
+            scores = [toxicity_model.score(*sent.value, body.as_py()) for body in batch.column(0).field(place)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["row", "score"])
 
     schema = StructType(rows.schema.fields[:1]).add("score", "double")
-    return rows.mapInArrow(score, schema)
+    kept = F.col("row") if keep is None or text in keep else F.struct(*[F.col("row").getField(c).alias(c) for c in keep])
+    return rows.mapInArrow(score, schema).withColumn("row", kept)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
