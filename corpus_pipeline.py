@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sondage.llm.common import stage
 from sondage.llm.decontaminate import drop_contaminated
-from sondage.llm.line_dedup import drop_repeated_lines
+from sondage.llm.line_dedup import LINE_WORDS, drop_repeated_lines
 from sondage.llm.near_join import keep_one_of_each
 from sondage.llm.packing import pack_documents
 from sondage.llm.toxicity import drop_toxic, fit_toxicity, training_ids
@@ -18,8 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of several lines that occur earlier; a document of nothing else goes."""
-    return drop_repeated_lines(docs)
+    """Cuts passages of lines that occur earlier; a document of nothing else goes."""
+    return drop_repeated_lines(docs, line_words=LINE_WORDS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,18 +44,24 @@ def cut_points(text: bytes, average_bits: int = 5, least: int = 16, most: int =
     return cuts
 
 
-def line_cuts(lines: list[bytes], window: int = 2, one_in: int = 2, least: int = 2, most: int = 64) -> list[tuple[int, int]]:
+def line_cuts(lines: list[bytes], window: int = 2, one_in: int = 2, least: int = 2, most: int = 64,
+              words: int | None = None) -> list[tuple[int, int]]:
     """Chunks of lines as half-open ranges. A chunk ends where the rolling hash over the hashes of the last `window`
-    lines says so, once it has `least` lines that are not blank, and at `most` lines in any case."""
+    lines says so, once it has `least` lines that are not blank, and at `most` lines in any case. A line of `words`
+    words or more, if given, is a chunk of its own, whatever stands around it."""
     chunks, first, filled, recent = [], 0, 0, [0] * window
     top = pow(LINE_FACTOR, window, 1 << 64)
     roll = 0
     for k, line in enumerate(lines):
+        alone = words is not None and len(line.split()) >= words
+        if alone and k > first:
+            chunks.append((first, k))
+            first, filled = k, 0
         value = xxhash.xxh3_64_intdigest(line)
         roll = (roll * LINE_FACTOR + value - recent[k % window] * top) & MASK
         recent[k % window] = value
         filled += bool(line.strip())
-        if (filled >= least and (roll >> 40) % one_in == 0) or k + 1 - first >= most:
+        if alone or (filled >= least and (roll >> 40) % one_in == 0) or k + 1 - first >= most:
             chunks.append((first, k + 1))
             first, filled = k + 1, 0
     if first < len(lines):
@@ -63,9 +69,11 @@ def line_cuts(lines: list[bytes], window: int = 2, one_in: int = 2, least: int =
     return chunks
 
 
-def repeatable(lines: list[bytes], first: int, end: int, least: int = 2) -> bool:
-    """Only chunks of several lines with text count as repeats."""
-    return sum(bool(line.strip()) for line in lines[first:end]) >= least
+def repeatable(lines: list[bytes], first: int, end: int, least: int = 2, words: int | None = None) -> bool:
+    """Only chunks of several lines with text count as repeats, and lines of `words` words or more, if given."""
+    if sum(bool(line.strip()) for line in lines[first:end]) >= least:
+        return True
+    return words is not None and any(len(line.split()) >= words for line in lines[first:end])
 
 
 def digests(parts: list[bytes]) -> np.ndarray:

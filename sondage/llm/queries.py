@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sondage.llm.decontaminate import find_occurrences, hit_words, is_contaminated
 from sondage.llm.exact import exact_groups
 from sondage.llm.language_model import fit_and_score
-from sondage.llm.line_dedup import remove_repeated_lines
+from sondage.llm.line_dedup import LINE_WORDS, remove_repeated_lines
 from sondage.llm.near_join import near_groups
 from sondage.llm.packing import pack_documents
 from sondage.llm.sharding import shard_by_size
@@ -78,7 +78,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "n_lines", "removed", "text")
+    cut = remove_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"], line_words=LINE_WORDS)
+    return cut.select("row.doc_id", "n_lines", "removed", "text")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
