@@ -29,15 +29,19 @@ FROM questions q LEFT JOIN shift_flags s USING (run_id, question_id) LEFT JOIN p
 SEVERITY = [*sq.FLAGS, "base_items", "proxy", "severities"]
 
 
-def proxy_flags(spark, sf_dir):
-    items = redundancy.baseline_items(v.responses(spark, sf_dir), v.questions(spark))
-    names = v.questions(spark).select("run_id", "position", F.col("question_id").alias("item"))
+def discrimination_flags(items, questions):
+    """Flags of the real fit; the variance proxy stands in only where it did not converge. Too small runs have none."""
+    names = questions.select("run_id", "position", F.col("question_id").alias("item"))
     binary = irt.dichotomize(items.join(names, ["run_id", "position"]).select("run_id", "persona_id", "item", "value"))
-    return irt.variance_proxy(binary).withColumnRenamed("item", "question_id")
+    return irt.irt_flags(irt.fit_discrimination(binary))
+
+
+def fitted_flags(spark, sf_dir):
+    return discrimination_flags(redundancy.baseline_items(v.responses(spark, sf_dir), v.questions(spark)), v.questions(spark))
 
 
 def severities(spark, sf_dir):
-    return report.question_severity(v.questions(spark), sq.flags(spark, sf_dir), proxy_flags(spark, sf_dir))
+    return report.question_severity(v.questions(spark), sq.flags(spark, sf_dir), fitted_flags(spark, sf_dir))
 
 
 @query("question_severity", with_views(V, SEVERITY, "SELECT * FROM severities"))
@@ -78,10 +82,8 @@ def report_card(spark, sf_dir):
     answers = cut_lineage(v.responses(spark, sf_dir))
     asked = v.questions(spark).withColumn("text", F.concat(F.lit("How was the "), F.col("question_id"), F.lit("?")))
     items = redundancy.baseline_items(answers, asked)
-    names = asked.select("run_id", "position", F.col("question_id").alias("item"))
-    binary = irt.dichotomize(items.join(names, ["run_id", "position"]).select("run_id", "persona_id", "item", "value"))
     return report.report_cards(
-        asked, shift.shift_flags(answers, asked), irt.irt_flags(irt.fit_discrimination(binary)),
+        asked, shift.shift_flags(answers, asked), discrimination_flags(items, asked),
         redundancy.redundancy_flags(redundancy.redundancy_pairs(items), asked), screener, quota,
         examples=shift.flag_examples(responses.matched_histogram(answers), asked),
     )
@@ -106,7 +108,7 @@ UNION ALL SELECT 'r' || survey_id % 2, survey_id::VARCHAR, 'screener', flag || '
 UNION ALL SELECT CASE WHEN audience_id IN {sql_in(_FIRST)} THEN 'r0' ELSE 'r1' END, audience_id, 'quota', cell_id, severity, summary FROM quota_flags"""))
 def report_findings(spark, sf_dir):
     screener, quota = _survey_level(spark, sf_dir)
-    return report.report_findings(sq.flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota)
+    return report.report_findings(sq.flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota, fitted_flags(spark, sf_dir))
 
 
 V["base_pairs"] = f"""
@@ -128,7 +130,7 @@ SELECT run_id, defect_class, count(*) AS flags FROM (
 def observed_classes(spark, sf_dir):
     screener, quota = _survey_level(spark, sf_dir)
     bag = evaluate.observed_classes(
-        sq.flags(spark, sf_dir), proxy_flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota
+        sq.flags(spark, sf_dir), fitted_flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota
     )
     return bag.groupBy("run_id", "defect_class").agg(F.count(F.lit(1)).alias("flags"))
 
