@@ -29,12 +29,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, staged: str) -> bool:
+    """Deletes one staged table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    if staged in STAGED:
+        STAGED.remove(staged)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def release(spark: SparkSession) -> int:
     """Deletes what this process has staged, once results that read it are written elsewhere; returns how many."""
     gone = 0
     while STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(STAGED.pop())
-        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        gone += discard(spark, STAGED[-1])
     return gone
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.llm.ball_codes import compress_vectors
 from sondage.llm.decontaminate import find_occurrences, hit_words, is_contaminated
+from sondage.llm.common import stage
 from sondage.llm.exact import exact_groups
 from sondage.llm.language_model import fit_and_score
 from sondage.llm.line_dedup import LINE_WORDS, remove_repeated_lines
@@ -88,6 +91,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, entries = compress_vectors(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    coded = stage(coded, "codes")
+    digest = hashlib.sha256(",".join(map(str, entries.ravel().tolist())).encode()).hexdigest()
+    # labels may be few and very common: sums are combined before the shuffle and come back in copies, one for each salt
+    salts = 16
+    sums = coded.groupBy("row.label").agg(F.sum("error").alias("label_error")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = coded.select("row.*", "codes", "error").withColumn("salt", F.pmod(F.xxhash64("vec_id", "codes"), F.lit(salts)).cast("int"))
+    joined = rows.join(sums.withColumnRenamed("label", "of"), F.col("label").eqNullSafe(F.col("of")) & (rows["salt"] == sums["salt"]))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return joined.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -99,8 +115,29 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
 }
 
+def _codebook_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Plain rounds over all entries, one after the other."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, part, m.d AS d, m.entry AS entry FROM (SELECT r, part, min({{'d': d, 'entry': entry}}) AS m FROM (
+  SELECT r, part, entry, sum((v.x - e.x) * (v.x - e.x)) AS d FROM v JOIN e{k} e USING (part, pos) GROUP BY r, part, entry) GROUP BY r, part))""")
+        if k < rounds:
+            steps.append(f"""e{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce((s - ((s % n) + n) % n) // n, x)::BIGINT AS x FROM e{k} LEFT JOIN (
+  SELECT part, entry, pos, sum(x) AS s, count(*) AS n FROM v JOIN a{k} USING (r, part) GROUP BY part, entry, pos) USING (part, entry, pos))""")
+    return f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x)::BIGINT) AS x
+           FROM embeddings WHERE list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+v AS MATERIALIZED (SELECT r, (i - 1) // (len(x) // {parts}) AS part, (i - 1) % (len(x) // {parts}) AS pos, x[i] AS x FROM (SELECT r, x, unnest(range(1, len(x) + 1)) AS i FROM k)),
+e0 AS MATERIALIZED (SELECT part, r - 1 AS entry, pos, x FROM v WHERE r <= {entries}), {", ".join(steps)},
+s AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM e{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r) JOIN k USING (r), s
+"""
+
+
 CHECKS: dict[str, str] = {
     "op5_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, {AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -145,6 +182,7 @@ SELECT dw.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
 FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN who USING (doc_id)
 """,
+    "op11_vector_codes": _codebook_sql(),
     "op10_sharding": """
 WITH RECURSIVE rounds AS (
   SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
