@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.llm.ball_codes import compress_vectors
+from sondage.llm.conversations import damage, repair_digests
 from sondage.llm.decontaminate import find_occurrences, hit_words, is_contaminated
 from sondage.llm.common import stage
 from sondage.llm.exact import exact_groups
@@ -104,6 +105,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(damage(table(spark, sf_dir, "conversations")), present="present")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -116,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
     "op11_vector_codes": op11_vector_codes,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 def _codebook_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
@@ -138,6 +144,48 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
+CRC_TABLE = """rounds AS (
+  SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM rounds WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS t FROM rounds WHERE k = 8)"""
+
+
+def _repair_sql() -> str:
+    """One turn after the other: for each state the least (cost, letters) with the text they leave."""
+    never = "{'c': 1000000000, 'a': '', 'x': ''}"
+    least = lambda *options: f"list_min([{', '.join(options)}])"
+    edit = lambda s, cost, letter, line="''": f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'x': {s}.x || {line}}}"
+    add = lambda s, role: edit(s, 3, "I", f"chr(10) || '{role}:'")
+    added = lambda source: f"""(SELECT * EXCLUDE (s0, s1, s2, s3, t2), s0 AS t0, s1 AS t1, t2, {least('s3', add('t2', 'assistant'))} AS t3 FROM (
+      SELECT *, {least('s2', add('s0', 'user'), add('s1', 'user'), add('s3', 'user'))} AS t2 FROM {source}))"""
+    more = "CASE WHEN row.fault = 't' THEN 3 ELSE 0 END"
+    keep = lambda s, initial: f"CASE WHEN row.fault IN ('', 't') AND row.role[1] = '{initial}' THEN {edit(s, more, 'K', 'chr(10) || row.role || chr(58) || row.text')} ELSE {never} END"
+    name = lambda s, role: f"CASE WHEN row.fault IN ('', 't') THEN {edit(s, f'3 + {more}', 'R', f'chr(10) || {chr(39)}{role}:{chr(39)} || row.text')} ELSE {never} END"
+    drop = lambda s: edit(s, 4, "D")
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+kinds AS (SELECT * EXCLUDE (h, t), xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(h) // 2), lambda p: ('0x' || h[2 * p + 1 : 2 * p + 2])::BIGINT)),
+            lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS k FROM keyed, t),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE k <> 0),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM damaged),
+marked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM placed),
+faults AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+           lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM marked),
+whole AS (SELECT row_number() OVER () AS g, o.conv_id, coalesce(list({{'role': role, 'text': text, 'fault': fault}} ORDER BY i) FILTER (i IS NOT NULL), []) AS rows,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM o.conv_id GROUP BY o.conv_id),
+dp AS (SELECT g, 0::BIGINT AS i, {{'c': 0, 'a': '', 'x': ''}} AS s0, {never} AS s1, {never} AS s2, {never} AS s3 FROM whole
+  UNION ALL SELECT g, i + 1, {drop('t0')}, {least(drop('t1'), keep('t0', 's'))},
+    {least(drop('t2'), keep('tx', 'u'), name('tx', 'user'))}, {least(drop('t3'), keep('t2', 'a'), name('t2', 'assistant'))} FROM (
+    SELECT *, {least('t0', 't1', 't3')} AS tx FROM {added('(SELECT dp.*, rows[i + 1] AS row FROM dp JOIN whole USING (g) WHERE i < len(rows))')})),
+done AS (SELECT g, {least('t0', 't3')} AS b FROM {added('(SELECT dp.* FROM dp JOIN whole USING (g) WHERE i = len(rows))')})
+SELECT conv_id, gaps, blank, duplicate, truncated, illegal, b.c::BIGINT AS cost, b.a AS audit, sha256(substr(b.x, 2)) AS repaired_sha256 FROM done JOIN whole USING (g)
+"""
+
+
 CHECKS: dict[str, str] = {
     "op5_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, {AZ}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -183,6 +231,7 @@ SELECT dw.doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN who USING (doc_id)
 """,
     "op11_vector_codes": _codebook_sql(),
+    "op12_conversation_repair": _repair_sql(),
     "op10_sharding": """
 WITH RECURSIVE rounds AS (
   SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
