@@ -17,6 +17,7 @@ from sondage.llm.language_model import fit_and_score
 from sondage.llm.line_dedup import LINE_WORDS, remove_repeated_lines
 from sondage.llm.near_join import near_groups
 from sondage.llm.packing import pack_documents
+from sondage.llm.pii import find_personal_data, listed
 from sondage.llm.sharding import shard_by_size
 from sondage.llm.substring_dedup import repeated_spans
 from sondage.llm.toxicity import fit_toxicity, score_toxicity, training_ids
@@ -109,6 +110,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(damage(table(spark, sf_dir, "conversations")), present="present")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select("row.doc_id", *[count(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")],
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_lm_scoring": op2_lm_scoring,
@@ -122,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op10_sharding": op10_sharding,
     "op11_vector_codes": op11_vector_codes,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_personal_data": op13_personal_data,
 }
 
 def _codebook_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
