@@ -1,17 +1,15 @@
 """Item discrimination: dichotomised items and a two-parameter logistic fit.
 
 The fit is marginal maximum likelihood by expectation-maximisation, all surveys
-at once. Respondents collapse to counted answer patterns that do not move again:
-each iteration broadcasts the item parameters of a bounded block of runs and
-sums expected counts per item and node.
+at once. Respondents collapse to counted answer patterns, which are partitioned
+by run once and do not move again: each iteration joins the parameters of all
+open runs to them in place, and only expected counts per item and node move.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +22,11 @@ from sondage.session import checkpoint_root, cut_lineage, ship_by_value
 ship_by_value(kernels)
 BOUNDS_A, BOUNDS_B = (0.05, 4.0), (-5.0, 5.0)
 NODES, SPAN = 21, 4.0
-BLOCK_ITEMS = 20_000
 TASK_PATTERNS = 20_000  # patterns that a task sums in an iteration
-FITTED = "run_id string, item string, a double, b double, iterations int, converged boolean"
+STATE = (
+    "run_id string, param_item array<string>, param_a array<double>, param_b array<double>, slices int, "
+    "iterations int, converged boolean, open boolean"
+)
 
 
 def item_medians(items: DataFrame) -> DataFrame:
@@ -126,65 +126,68 @@ def starting_values(patterns: DataFrame) -> DataFrame:
     )
 
 
+def spread_patterns(patterns: DataFrame, task_patterns: int = TASK_PATTERNS) -> DataFrame:
+    """The patterns with the number of slices of their run and their own slice, partitioned by both.
+
+    A run is cut into slices of about `task_patterns`, so one very large run is many tasks and a small one is a single key.
+    """
+    sizes = patterns.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / task_patterns).cast("int").alias("slices"))
+    sliced = patterns.join(sizes, "run_id").withColumn("slice", F.pmod(F.xxhash64("items", "ys"), F.col("slices")).cast("int"))
+    tasks = max(1, -(-patterns.count() // task_patterns))
+    return sliced.repartition(tasks, "run_id", "slice").sortWithinPartitions("run_id", "slice")
+
+
 def fit_discrimination(
     binary: DataFrame,
     max_iterations: int = 200,
     tolerance: float = 0.005,
     nodes: int = NODES,
     span: float = SPAN,
-    block_items: int = BLOCK_ITEMS,
+    task_patterns: int = TASK_PATTERNS,
 ) -> DataFrame:
     """(run, item, a, b, iterations, converged, n_personas, variance) per fitted item.
 
-    Runs below the minimum shape are left out. Answers become counted patterns once and stay where they are. Each
-    iteration sends the item parameters to them, sums expected counts per item, and improves the items. A run's
-    parameters and its number of iterations are frozen when it settles itself, whatever the other runs do.
-
-    Runs are dealt to blocks by hash, so that the parameters of a block are about `block_items` rows; the driver holds
-    and broadcasts those of one block at a time. Blocks have no influence on any run's result.
+    Runs below the minimum shape are left out. Answers become counted patterns, partitioned once by run and slice. A job
+    takes a step for all runs that are still open: their parameters, one row a run, are dealt to the slices and joined
+    where the patterns lie; a run of one slice goes on there until it settles, the sums of the others are added up per run
+    and its items improve. So the patterns are scanned as often as the slowest of the large runs takes steps, however many
+    runs there are, and nothing passes through the driver. The parameters of each step are a table in the shared folder.
+    A run closes when it settles itself, whatever the other runs do.
     """
     spark = binary.sparkSession
     counted = answer_patterns(binary).persist(StorageLevel.MEMORY_AND_DISK)
-    patterns = counted.coalesce(max(1, -(-counted.count() // TASK_PATTERNS)))
-    start = cut_lineage(starting_values(patterns))
-    blocks = max(1, -(-start.count() // block_items))
-    block = F.pmod(F.xxhash64("run_id"), F.lit(blocks))
-    path = f"{checkpoint_root(spark)}/fit-{uuid.uuid4().hex}"
-    for k in range(blocks):
-        own = start.where(block == k).select("run_id", "item", "a", "b").toPandas()
-        fitted = _fit_block(patterns.where(block == k), own, max_iterations, tolerance, nodes, span)
-        spark.createDataFrame(fitted, FITTED).write.mode("append").parquet(path)
+    # stored once with their partitioning, so an iteration neither recomputes nor shuffles them; kept at hand as well
+    patterns = cut_lineage(spread_patterns(counted, task_patterns)).persist(StorageLevel.MEMORY_AND_DISK)
+    start = cut_lineage(starting_values(counted))
     counted.unpersist()
-    return spark.read.schema(FITTED).parquet(path).join(start.drop("a", "b"), ["run_id", "item"])
-
-
-def _fit_block(patterns: DataFrame, items: pd.DataFrame, max_iterations: int, tolerance: float, nodes: int, span: float) -> pd.DataFrame:
-    """Expectation-maximisation for the runs of one block, one job per iteration."""
-    context = patterns.sparkSession.sparkContext
-    theta, _ = kernels.quadrature(nodes, span)
-    columns = [f"r{q}" for q in range(nodes)] + [f"n{q}" for q in range(nodes)]
-    schema = "run_id string, item string, " + ", ".join(f"{c} double" for c in columns)
-    items = items.sort_values(["run_id", "item"], ignore_index=True).assign(iterations=0, converged=False)
-    active = np.ones(len(items), dtype=bool)
-    for done in range(1, max_iterations + 1):
-        if not active.any():
+    path = f"{checkpoint_root(spark)}/fit-{uuid.uuid4().hex}"
+    slices = patterns.groupBy("run_id").agg(F.max("slices").alias("slices"))
+    _packed(start).join(slices, "run_id").select(
+        "*", F.lit(0).alias("iterations"), F.lit(False).alias("converged"), F.lit(True).alias("open")
+    ).write.parquet(f"{path}/step=0")
+    stored = lambda step: spark.read.schema(STATE).parquet(f"{path}/step={step}")
+    done = 0
+    while done < max_iterations:
+        live = stored(done).where(F.col("open") & (F.col("iterations") < max_iterations))
+        if live.isEmpty():
             break
-        sent = context.broadcast({
-            run: (part["item"].tolist(), part["a"].to_numpy(), part["b"].to_numpy())
-            for run, part in items[active].groupby("run_id", sort=False)
-        })
-        partial = patterns.mapInPandas(kernels.expected_counts(nodes, span, sent), schema)
-        sums = partial.groupBy("run_id", "item").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
-        sent.unpersist()
-        got = items.loc[active, ["run_id", "item"]].merge(sums, on=["run_id", "item"], how="left")
-        counts = got[columns].to_numpy()
-        old = items.loc[active, "a"].to_numpy()
-        a, b = kernels.newton(counts[:, :nodes], counts[:, nodes:], old, items.loc[active, "b"].to_numpy(), theta, BOUNDS_A, BOUNDS_B)
-        items.loc[active, "a"], items.loc[active, "b"], items.loc[active, "iterations"] = a, b, done
-        change = pd.Series(np.abs(a - old)).groupby(items.loc[active, "run_id"].to_numpy()).transform("max").to_numpy()
-        items.loc[active, "converged"] = change < tolerance
-        active[active] = change >= tolerance
-    return items
+        dealt = live.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        joined = patterns.drop("slices").join(dealt, ["run_id", "slice"]).sortWithinPartitions("run_id")
+        counts = joined.mapInPandas(
+            kernels.run_steps(nodes, span, tolerance, max_iterations, BOUNDS_A, BOUNDS_B), f"{STATE}, counts array<double>")
+        same = [F.first(c).alias(c) for c in kernels.STATE[1:]]
+        runs = counts.groupBy("run_id").agg(F.collect_list("counts").alias("counts"), *same)
+        done += 1
+        runs.mapInPandas(
+            kernels.improve_runs(nodes, span, tolerance, BOUNDS_A, BOUNDS_B), STATE
+        ).write.parquet(f"{path}/step={done}")
+    patterns.unpersist()
+    steps = spark.read.schema(f"{STATE}, step int").parquet(path)
+    fitted = steps.where(~F.col("open") | (F.col("step") == done) | (F.col("iterations") == max_iterations)).select(
+        "run_id", F.explode(F.arrays_zip("param_item", "param_a", "param_b")).alias("p"), "iterations", "converged")
+    return fitted.select(
+        "run_id", F.col("p.param_item").alias("item"), F.col("p.param_a").alias("a"), F.col("p.param_b").alias("b"), "iterations", "converged"
+    ).join(start.drop("a", "b"), ["run_id", "item"])
 
 
 def variance_proxy(binary: DataFrame) -> DataFrame:

@@ -96,27 +96,22 @@ def _node_weights(seen, right, a, b, theta, prior):
     return post / post.sum(axis=1, keepdims=True)
 
 
-def _posterior(part, theta, prior, parameters=None):
-    """Parameters come with the rows unless they are given: (names, a, b)."""
-    names, a, b = parameters or [part[c].iloc[0] for c in ("param_item", "param_a", "param_b")]
+def _posterior(part, theta, prior):
+    """The run's parameters come with the rows."""
+    names, a, b = [part[c].iloc[0] for c in ("param_item", "param_a", "param_b")]
     names = list(names)
     seen, right = _answers(part, names)
     return names, seen, right, _node_weights(seen, right, np.asarray(a, dtype=float), np.asarray(b, dtype=float), theta, prior)
 
 
-def expected_counts(nodes: int, span: float, sent=None):
-    """E-step over response patterns: expected answers and right answers per item and node.
-
-    `sent` is a broadcast of {run: (items, a, b)}; runs it lacks give nothing.
-    """
+def expected_counts(nodes: int, span: float):
+    """E-step over response patterns: expected answers and right answers per item and node."""
     theta, prior = quadrature(nodes, span)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for run_id, part in pdf.groupby("run_id", sort=False):
-                if sent is not None and run_id not in sent.value:
-                    continue
-                names, seen, right, post = _posterior(part, theta, prior, sent.value[run_id] if sent is not None else None)
+                names, seen, right, post = _posterior(part, theta, prior)
                 post = post * part["n"].to_numpy(dtype=float)[:, None]
                 n, r = seen.T @ post, right.T @ post
                 out = {"run_id": run_id, "item": names}
@@ -126,6 +121,92 @@ def expected_counts(nodes: int, span: float, sent=None):
     return step
 
 
+HELD_RUNS = 1000
+STATE = ["run_id", "param_item", "param_a", "param_b", "slices", "iterations", "converged", "open"]
+
+
+def _sums(seen, right, n, a, b, theta, prior):
+    """Expected right answers and answers, by item and node."""
+    post = _node_weights(seen, right, a, b, theta, prior) * n[:, None]
+    return np.stack([right.T @ post, seen.T @ post])
+
+
+def run_steps(nodes: int, span: float, tolerance: float, max_iterations: int, bounds_a, bounds_b):
+    """E-step for rows that carry their run's parameters and follow each other by run; one row per run and task.
+
+    A slice of a run gives the sums of its patterns. A run of one slice lies here whole, at most the patterns of a slice:
+    its further steps need nobody else, so they are taken at once, and it has no sums.
+    """
+    theta, prior = quadrature(nodes, span)
+
+    def settle(head, seen, right, n):
+        a, b = np.asarray(head["param_a"], dtype=float), np.asarray(head["param_b"], dtype=float)
+        while head["open"] and head["iterations"] < max_iterations:
+            r, answered = _sums(seen, right, n, a, b, theta, prior)
+            old = a
+            a, b = newton(r, answered, a, b, theta, bounds_a, bounds_b)
+            settled = bool(np.max(np.abs(a - old)) < tolerance)
+            head |= {"iterations": head["iterations"] + 1, "converged": settled, "open": not settled}
+        return {**head, "param_a": a, "param_b": b, "counts": None}
+
+    def parts_of(batches):
+        for pdf in batches:
+            for run_id, part in pdf.groupby("run_id", sort=False):
+                names, head = list(part["param_item"].iloc[0]), part.iloc[0][STATE].to_dict()
+                yield run_id, head, *_answers(part, names), part["n"].to_numpy(dtype=float)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, sums, current, whole = [], None, None, []
+
+        def close():
+            if whole:
+                done.append(settle(current[1], *[np.concatenate(x) for x in zip(*whole)]))
+            elif current is not None:
+                done.append({**current[1], "counts": sums.ravel()})
+
+        for run_id, head, seen, right, n in parts_of(batches):
+            if current is None or run_id != current[0]:
+                close()
+                current, sums, whole = (run_id, head), 0.0, []
+                if len(done) >= HELD_RUNS:
+                    yield pd.DataFrame(done)
+                    done = []
+            if head["slices"] == 1:
+                whole.append((seen, right, n))
+            else:
+                sums = sums + _sums(seen, right, n, np.asarray(head["param_a"]), np.asarray(head["param_b"]), theta, prior)
+        close()
+        if done:
+            yield pd.DataFrame(done)
+
+    return step
+
+
+def improve_runs(nodes: int, span: float, tolerance: float, bounds_a, bounds_b):
+    """M-step for runs of several slices, a batch of runs at once; a run closes when none of its slopes moves by
+    `tolerance`. Runs without sums have taken their steps."""
+    theta, _ = quadrature(nodes, span)
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            summed = pdf["counts"].map(len) > 0
+            yield pdf.loc[~summed, STATE]
+            pdf = pdf[summed]
+            if pdf.empty:
+                continue
+            sizes = pdf["param_item"].map(len).to_numpy()
+            counts = [np.sum([np.asarray(c) for c in parts], axis=0).reshape(2, m, nodes) for parts, m in zip(pdf["counts"], sizes)]
+            r, n = np.concatenate(counts, axis=1)
+            old = np.concatenate(pdf["param_a"].tolist())
+            a, b = newton(r, n, old, np.concatenate(pdf["param_b"].tolist()), theta, bounds_a, bounds_b)
+            cuts = np.cumsum(sizes)[:-1]
+            settled = np.array([np.max(c) < tolerance for c in np.split(np.abs(a - old), cuts)])
+            yield pdf[STATE].assign(
+                param_a=np.split(a, cuts), param_b=np.split(b, cuts), iterations=pdf["iterations"] + 1, converged=settled, open=~settled)
+
+    return step
+
+
 def abilities(nodes: int, span: float):
     """Posterior mean of the latent trait per response pattern."""
     theta, prior = quadrature(nodes, span)

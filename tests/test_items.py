@@ -99,12 +99,12 @@ def test_fit_recovers_planted_order(spark):
     assert rank_agreement(a, by_item) >= 0.9
 
 
-def test_a_run_gets_one_answer_whatever_its_neighbours_and_blocks(spark):
+def test_a_run_gets_one_answer_whatever_its_neighbours_and_slices(spark):
     quick, slow = planted(spark, [0.5, 1.0, 1.5, 2.0], n=300, run="quick"), planted(spark, [0.2, 3.5, 0.3, 3.0], n=900, seed=9, run="slow")
     fit = lambda df, **more: {(r["run_id"], r["item"]): (r["a"], r["b"], r["iterations"]) for r in irt.fit_discrimination(df, **more).collect()}
     alone = fit(quick) | fit(slow.repartition(7))
     assert len({i for *_, i in alone.values()}) > 1
-    for together in (fit(quick.unionByName(slow)), fit(quick.unionByName(slow).repartition(5), block_items=1)):
+    for together in (fit(quick.unionByName(slow)), fit(quick.unionByName(slow).repartition(5), task_patterns=7)):
         assert together.keys() == alone.keys()
         for k, (a, b, n) in together.items():
             assert (a, b, n) == (pytest.approx(alone[k][0], abs=1e-6), pytest.approx(alone[k][1], abs=1e-6), alone[k][2])
