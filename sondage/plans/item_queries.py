@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sondage import config
 from sondage.operators import irt, redundancy
 from sondage.plans import views as v
+from sondage.plans.fit_sql import add_fit_views
 from sondage.plans.registry import query, rnd, sql_bits, sql_signed2, with_views
 from sondage.session import literal_table
 
@@ -217,7 +218,10 @@ def irt_em_steps(spark, sf_dir):
     return fit.select("run_id", "item", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
 
 
-@query("irt_discrimination")
+FIT = [*BINARY, *add_fit_views(V, "item_fit", "binary_items")]
+
+
+@query("irt_discrimination", with_views(V, FIT, f"SELECT * REPLACE ({rnd('discrimination', 4)} AS discrimination) FROM item_fit").replace("WITH ", "WITH RECURSIVE ", 1))
 def irt_discrimination(spark, sf_dir):
     flags = irt.irt_flags(irt.fit_discrimination(binary_items(spark, sf_dir)))
     return flags.withColumn("discrimination", F.round("discrimination", 4))

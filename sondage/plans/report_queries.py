@@ -10,6 +10,7 @@ from sondage.plans import population_queries as pop
 from sondage.plans import shift_queries as sq
 from sondage.plans import skiplogic_queries as skip
 from sondage.plans import views as v
+from sondage.plans.fit_sql import add_fit_views
 from sondage.plans.registry import query, rnd, sql_case, sql_in, sql_list, sql_signed2, with_views
 from sondage.session import cut_lineage
 
@@ -17,16 +18,16 @@ V = v.VIEWS
 V["base_items"] = f"""
 SELECT r.run_id, r.persona_id, r.question_id AS item, r.value FROM responses r JOIN questions q USING (run_id, question_id)
 WHERE r.paraphrase_idx = 0 AND r.value IS NOT NULL AND q.type IN {sql_in(config.ORDINAL_TYPES)}"""
-V["proxy"] = f"""
-SELECT run_id, item AS question_id, CASE WHEN coalesce(var_samp(y), 0) < {config.PROXY_LOW_VARIANCE} THEN 'high' ELSE 'none' END AS severity
-FROM (SELECT b.run_id, b.item, CASE WHEN b.value > m.med THEN 1 ELSE 0 END AS y FROM base_items b
-      JOIN (SELECT run_id, item, median(value) AS med FROM base_items GROUP BY 1, 2) m USING (run_id, item)) GROUP BY 1, 2"""
+V["base_binary"] = """
+SELECT b.run_id, b.persona_id, b.item, CASE WHEN b.value > m.med THEN 1 ELSE 0 END AS y FROM base_items b
+JOIN (SELECT run_id, item, median(value) AS med FROM base_items GROUP BY 1, 2) m USING (run_id, item)"""
+FITTED = ["base_items", "base_binary", *add_fit_views(V, "fitted", "base_binary")]
 _RANK = lambda c: f"coalesce(list_position({sql_list(config.SEVERITIES)}, {c}), 1)"
 V["severities"] = f"""
 SELECT q.run_id, q.question_id, q.position, q.type, s.severity AS shift_severity, p.severity AS irt_severity,
   {sql_list(config.SEVERITIES)}[greatest({_RANK('s.severity')}, {_RANK('p.severity')})] AS severity
-FROM questions q LEFT JOIN shift_flags s USING (run_id, question_id) LEFT JOIN proxy p USING (run_id, question_id)"""
-SEVERITY = [*sq.FLAGS, "base_items", "proxy", "severities"]
+FROM questions q LEFT JOIN shift_flags s USING (run_id, question_id) LEFT JOIN fitted p USING (run_id, question_id)"""
+SEVERITY = [*sq.FLAGS, *FITTED, "severities"]
 
 
 def discrimination_flags(items, questions):
@@ -36,20 +37,26 @@ def discrimination_flags(items, questions):
     return irt.irt_flags(irt.fit_discrimination(binary))
 
 
-def fitted_flags(spark, sf_dir):
-    return discrimination_flags(redundancy.baseline_items(v.responses(spark, sf_dir), v.questions(spark)), v.questions(spark))
+def answers_once(spark, sf_dir):
+    """The answers, read and brought up to date once for all analyses of a report."""
+    return cut_lineage(v.responses(spark, sf_dir))
+
+
+def fitted_flags(answers, questions):
+    return discrimination_flags(redundancy.baseline_items(answers, questions), questions)
 
 
 def severities(spark, sf_dir):
-    return report.question_severity(v.questions(spark), sq.flags(spark, sf_dir), fitted_flags(spark, sf_dir))
+    answers, asked = answers_once(spark, sf_dir), v.questions(spark)
+    return report.question_severity(asked, shift.shift_flags(answers, asked), fitted_flags(answers, asked))
 
 
-@query("question_severity", with_views(V, SEVERITY, "SELECT * FROM severities"))
+@query("question_severity", skip.recursive(SEVERITY, "SELECT * FROM severities"))
 def question_severity(spark, sf_dir):
     return severities(spark, sf_dir)
 
 
-@query("report_exposure", with_views(V, SEVERITY, """
+@query("report_exposure", skip.recursive(SEVERITY, """
 SELECT run_id, count(*) FILTER (severity = 'high') AS high_severity_questions, count(*) FILTER (severity = 'medium') AS medium_severity_questions,
   count(*) FILTER (severity IN ('high', 'medium')) AS flagged_question_count FROM severities GROUP BY 1"""))
 def report_exposure(spark, sf_dir):
@@ -70,23 +77,8 @@ def _survey_level(spark, sf_dir):
     return screener, quota
 
 
-def _redundant(spark, sf_dir):
-    items = redundancy.baseline_items(v.responses(spark, sf_dir), v.questions(spark))
-    return redundancy.redundancy_flags(redundancy.redundancy_pairs(items), v.questions(spark))
-
-
-@query("report_card")
-def report_card(spark, sf_dir):
-    """The answers are read and brought up to date once, for all analyses."""
-    screener, quota = _survey_level(spark, sf_dir)
-    answers = cut_lineage(v.responses(spark, sf_dir))
-    asked = v.questions(spark).withColumn("text", F.concat(F.lit("How was the "), F.col("question_id"), F.lit("?")))
-    items = redundancy.baseline_items(answers, asked)
-    return report.report_cards(
-        asked, shift.shift_flags(answers, asked), discrimination_flags(items, asked),
-        redundancy.redundancy_flags(redundancy.redundancy_pairs(items), asked), screener, quota,
-        examples=shift.flag_examples(responses.matched_histogram(answers), asked),
-    )
+def _redundant(answers, questions):
+    return redundancy.redundancy_flags(redundancy.redundancy_pairs(redundancy.baseline_items(answers, questions)), questions)
 
 
 V["pair_flags"] = f"""
@@ -102,13 +94,68 @@ SELECT run_id, qa AS q_id_a, qb AS q_id_b, CASE WHEN abs(r) >= {config.PEARSON_H
 
 @query("report_findings", skip.recursive([*SEVERITY, "pair_flags", *skip.SKIP, *pop.SHARES, "quota_flags"], f"""
 SELECT run_id, NULL::VARCHAR AS survey_id, 'paraphrase_shift' AS kind, question_id AS subject, severity, {sq.SHIFT_SUMMARY} AS summary FROM shift_flags
+UNION ALL SELECT run_id, NULL, 'discrimination', question_id, severity, summary FROM fitted
 UNION ALL SELECT run_id, NULL, 'redundant_pair', q_id_a || '|' || q_id_b, severity, summary FROM pair_flags
 UNION ALL SELECT 'r' || survey_id % 2, survey_id::VARCHAR, 'screener', flag || '|' || subject || '|' || detail, 'high',
   'question ' || subject || ' ' || {sql_case('flag', skiplogic.SUMMARIES)} FROM skip_flags
 UNION ALL SELECT CASE WHEN audience_id IN {sql_in(_FIRST)} THEN 'r0' ELSE 'r1' END, audience_id, 'quota', cell_id, severity, summary FROM quota_flags"""))
 def report_findings(spark, sf_dir):
     screener, quota = _survey_level(spark, sf_dir)
-    return report.report_findings(sq.flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota, fitted_flags(spark, sf_dir))
+    answers, asked = answers_once(spark, sf_dir), v.questions(spark)
+    return report.report_findings(
+        shift.shift_flags(answers, asked), _redundant(answers, asked), screener, quota, fitted_flags(answers, asked))
+
+
+def report_cards(spark, sf_dir):
+    """Every run's report as one document."""
+    screener, quota = _survey_level(spark, sf_dir)
+    answers = answers_once(spark, sf_dir)
+    asked = v.questions(spark).withColumn("text", F.concat(F.lit("How was the "), F.col("question_id"), F.lit("?")))
+    return report.report_cards(
+        asked, shift.shift_flags(answers, asked), fitted_flags(answers, asked), _redundant(answers, asked), screener, quota,
+        examples=shift.flag_examples(responses.matched_histogram(answers), asked),
+    )
+
+
+_CARD = """struct<run_id: string, per_question: array<struct<position: int, question_id: string, question_text: string, type: string, severity: string,
+  paraphrase_shift: struct<severity: string, summary: string, examples: array<struct<paraphrase_idx: int, n: long>>>, irt: struct<severity: string, summary: string>>>,
+  redundancy_pairs: array<struct<q_id_a: string, q_id_b: string, severity: string, summary: string>>,
+  screener_issues: array<struct<survey_id: string, flag: string, subject: string, detail: string, summary: string>>,
+  quota_feasibility: array<struct<audience_id: string, cell_id: string, severity: string, summary: string>>,
+  estimated_panel_exposure: struct<high_severity_questions: long, medium_severity_questions: long, flagged_question_count: long>>"""
+
+
+@query("report_card", skip.recursive([*SEVERITY, "pair_flags", *skip.SKIP, *pop.SHARES, "quota_flags"], f"""
+SELECT s.run_id, 'question' AS section, s.position || '|' || s.question_id AS subject, s.severity,
+  concat_ws('|', 'How was the ' || s.question_id || '?', s.type, f.severity, f.summary, i.severity, i.summary) AS body
+FROM severities s LEFT JOIN (SELECT *, {sq.SHIFT_SUMMARY} AS summary FROM shift_flags) f USING (run_id, question_id) LEFT JOIN fitted i USING (run_id, question_id)
+UNION ALL SELECT run_id, 'redundancy_pairs', q_id_a || '|' || q_id_b, severity, summary FROM pair_flags
+UNION ALL SELECT 'r' || survey_id % 2, 'screener_issues', survey_id || '|' || flag || '|' || subject || '|' || detail, NULL,
+  'question ' || subject || ' ' || {sql_case('flag', skiplogic.SUMMARIES)} FROM skip_flags
+UNION ALL SELECT CASE WHEN audience_id IN {sql_in(_FIRST)} THEN 'r0' ELSE 'r1' END, 'quota_feasibility', audience_id || '|' || cell_id, severity, summary FROM quota_flags
+UNION ALL SELECT run_id, 'exposure', count(*) FILTER (severity = 'high') || '|' || count(*) FILTER (severity = 'medium') || '|'
+  || count(*) FILTER (severity IN ('high', 'medium')), NULL, NULL FROM severities GROUP BY run_id"""))
+def report_card(spark, sf_dir):
+    """The reports' documents, read again: a row for each question, pair, issue, cell and for the counts."""
+    card = report_cards(spark, sf_dir).select(F.from_json("report", _CARD).alias("c")).select("c.*")
+    text = lambda *columns: F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+    row = lambda x, section, subject, severity, body: x.select(
+        "run_id", F.lit(section).alias("section"), subject.alias("subject"), severity.cast("string").alias("severity"), body.cast("string").alias("body"))
+    each = lambda c: card.select("run_id", F.explode(c).alias("x")).select("run_id", "x.*")
+    none = F.lit(None)
+    parts = [
+        row(each("per_question"), "question", text("position", "question_id"), F.col("severity"), text(
+            "question_text", "type", "paraphrase_shift.severity", "paraphrase_shift.summary", "irt.severity", "irt.summary")),
+        row(each("redundancy_pairs"), "redundancy_pairs", text("q_id_a", "q_id_b"), F.col("severity"), F.col("summary")),
+        row(each("screener_issues"), "screener_issues", text("survey_id", "flag", "subject", "detail"), none, F.col("summary")),
+        row(each("quota_feasibility"), "quota_feasibility", text("audience_id", "cell_id"), F.col("severity"), F.col("summary")),
+        row(card.select("run_id", "estimated_panel_exposure.*"), "exposure",
+            text("high_severity_questions", "medium_severity_questions", "flagged_question_count"), none, none),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 V["base_pairs"] = f"""
@@ -122,15 +169,16 @@ OBSERVED = [*SEVERITY, "base_pairs", *skip.SKIP, *pop.SHARES, "quota_flags"]
 @query("observed_classes", skip.recursive(OBSERVED, f"""
 SELECT run_id, defect_class, count(*) AS flags FROM (
   SELECT run_id, 'leading_wording' AS defect_class FROM shift_flags WHERE severity IN ('medium', 'high')
-  UNION ALL SELECT run_id, 'double_barreled' FROM proxy WHERE severity IN ('medium', 'high')
+  UNION ALL SELECT run_id, 'double_barreled' FROM fitted WHERE severity IN ('medium', 'high')
   UNION ALL SELECT DISTINCT run_id, 'redundant_pair' FROM base_pairs
   UNION ALL SELECT DISTINCT 'r' || survey_id % 2, 'infeasible_screener' FROM skip_flags
   UNION ALL SELECT DISTINCT CASE WHEN audience_id IN {sql_in(_FIRST)} THEN 'r0' ELSE 'r1' END, 'infeasible_screener' FROM quota_flags
     WHERE severity IN ('medium', 'high')) GROUP BY 1, 2"""))
 def observed_classes(spark, sf_dir):
     screener, quota = _survey_level(spark, sf_dir)
+    answers, asked = answers_once(spark, sf_dir), v.questions(spark)
     bag = evaluate.observed_classes(
-        sq.flags(spark, sf_dir), fitted_flags(spark, sf_dir), _redundant(spark, sf_dir), screener, quota
+        shift.shift_flags(answers, asked), fitted_flags(answers, asked), _redundant(answers, asked), screener, quota
     )
     return bag.groupBy("run_id", "defect_class").agg(F.count(F.lit(1)).alias("flags"))
 

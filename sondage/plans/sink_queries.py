@@ -9,6 +9,7 @@ from sondage.plans import report_queries as rq
 from sondage.plans import views as v
 from sondage.plans.registry import CHECKS, query, with_views
 from sondage.plans.stream_queries import fresh_folder
+from sondage.session import cut_lineage
 from sondage.sources import population as microdata
 from sondage.sources import tables
 
@@ -57,11 +58,11 @@ def cache_sink(spark, sf_dir):
     return spark.read.parquet(f"{folder}/cache")
 
 
-@query("report_sink", with_views(V, rq.SEVERITY, "SELECT run_id, question_id, severity FROM severities"))
+@query("report_sink", rq.skip.recursive(rq.SEVERITY, "SELECT run_id, question_id, severity FROM severities"))
 def report_sink(spark, sf_dir):
     """Reports of both runs, one of them replaced, read back as rows per question."""
     folder = fresh_folder(spark)
-    cards = rq.severities(spark, sf_dir).groupBy("run_id").agg(
+    cards = cut_lineage(rq.severities(spark, sf_dir)).groupBy("run_id").agg(
         F.to_json(F.array_sort(F.collect_list(F.struct("question_id", "severity")))).alias("report"))
     tables.write_reports(cards.withColumn("report", F.lit("[]")), f"{folder}/reports")
     tables.write_reports(cards, f"{folder}/reports")

@@ -1,72 +1,30 @@
-"""Reports stand on the real discrimination fit; their other rows agree with the SQL, which knows the variance proxy only."""
+"""Reports stand on the real discrimination fit, at a size where runs have enough respondents for one."""
 
 import pytest
-from compare import duck
+from compare import compare
 from pyspark.sql import functions as F
 
 from sondage.operators import irt
 from sondage.plans import report_queries as rq
 from sondage.plans.catalog import CHECKS, QUERIES
 
-SF = "/root/testdata/sf0.01"  # its runs have enough respondents for a fit
+SF = "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def fit(spark):
-    flags = {(r["run_id"], r["question_id"]): r for r in rq.fitted_flags(spark, SF).collect()}
-    assert flags and all(r["convergence_ok"] for r in flags.values()) and {r["severity"] for r in flags.values()} == {"medium", "high"}
-    return flags
+def test_runs_are_fitted(spark):
+    answers, asked = rq.answers_once(spark, SF), rq.v.questions(spark)
+    flags = rq.fitted_flags(answers, asked).collect()
+    assert flags and all(r["convergence_ok"] for r in flags) and {r["severity"] for r in flags} == {"medium", "high"}
 
 
-def sql(name):
-    result = duck(SF).execute(CHECKS[name])
-    columns = [d[0] for d in result.description]
-    return [dict(zip(columns, row)) for row in result.fetchall()]
-
-
-def rows(spark, name):
-    return [r.asDict() for r in QUERIES[name](spark, SF).collect()]
-
-
-def same(a, b):
-    key = lambda r: sorted((k, str(x)) for k, x in r.items())
-    return sorted(map(key, a)) == sorted(map(key, b))
-
-
-def test_findings_list_the_fit_and_all_that_sql_lists(spark, fit):
-    got = rows(spark, "report_findings")
-    assert same([r for r in got if r["kind"] != "discrimination"], sql("report_findings"))
-    own = {(r["run_id"], r["subject"]): (r["severity"], r["summary"]) for r in got if r["kind"] == "discrimination"}
-    assert own == {k: (r["severity"], r["summary"]) for k, r in fit.items()}
-
-
-def test_severities_and_exposure_take_the_worst_of_shift_and_fit(spark, fit):
-    got, base = rows(spark, "question_severity"), sql("question_severity")
-    others = ("run_id", "question_id", "position", "type", "shift_severity")
-    assert same([{k: r[k] for k in others} for r in got], [{k: r[k] for k in others} for r in base])
-    order = [None, "none", "low", "medium", "high"]
-    count = {}
-    for r in got:
-        own = fit.get((r["run_id"], r["question_id"]))
-        assert r["irt_severity"] == (own and own["severity"])
-        assert order.index(r["severity"]) == max(1, order.index(r["shift_severity"]), order.index(r["irt_severity"]))
-        many = count.setdefault(r["run_id"], {"high": 0, "medium": 0})
-        if r["severity"] in many:
-            many[r["severity"]] += 1
-    assert {r["run_id"]: (r["high_severity_questions"], r["medium_severity_questions"]) for r in rows(spark, "report_exposure")} == {
-        k: (n["high"], n["medium"]) for k, n in count.items()}
-
-
-def test_observed_classes_count_the_fit(spark, fit):
-    split = lambda rs: [r for r in rs if r["defect_class"] != "double_barreled"]
-    got = rows(spark, "observed_classes")
-    assert same(split(got), split(sql("observed_classes")))
-    many = {r["run_id"]: r["flags"] for r in got if r["defect_class"] == "double_barreled"}
-    assert many == {run: sum(k[0] == run and r["severity"] in ("medium", "high") for k, r in fit.items()) for run in {k[0] for k in fit}}
+@pytest.mark.parametrize("name", ["question_severity", "report_exposure", "report_findings", "report_card", "observed_classes", "report_sink"])
+def test_reports_agree_with_the_sql_of_the_fit(spark, name):
+    n, problems = compare(spark, SF, QUERIES[name], CHECKS[name])
+    assert n and not problems, problems
 
 
 def test_proxy_only_without_convergence(spark, monkeypatch):
-    stopped = irt.fit_discrimination
-    monkeypatch.setattr(irt, "fit_discrimination", lambda binary: stopped(binary, max_iterations=1))
+    whole = irt.fit_discrimination
+    monkeypatch.setattr(irt, "fit_discrimination", lambda binary: whole(binary, max_iterations=1))
     flags = rq.severities(spark, SF).where(F.col("irt_severity").isNotNull())
     assert {r["irt_severity"] for r in flags.collect()} == {"none"}
