@@ -120,8 +120,10 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
     while large:
         longest = large[-1]
         k = bisect_left(large, capacity - longest + 1) - 1
+        if k >= 0 and large[k] == longest and left[longest] < 2:
+            k -= 1  # the last one of its length takes the next shorter
         partner = large[k] if k >= 0 else 0
-        if not partner or (partner == longest and left[longest] < 2):
+        if not partner:
             many = left[longest]
             put(longest, many, fresh, 1, 0)
             open_room(capacity - longest, fresh, many)

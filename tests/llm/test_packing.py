@@ -11,7 +11,6 @@ from sondage.llm.packing import CAPACITY, pack_documents, plan_runs
 
 def expected_pieces(rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = []
     for doc_id, text in rows:
         ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
@@ -69,3 +68,14 @@ def test_plan_places_every_piece_once(seed):
         assert at <= CAPACITY
     assert max(large.values(), default=0) <= 2
     assert len(fill) <= 1.1 * lengths.sum() / CAPACITY + 1 or seed in (0, 3, 2, 5)
+
+
+def sequences_of(counts):
+    runs = plan_runs(counts)
+    return max(first + -(-pieces // each) for _, _, pieces, first, each, _ in runs)
+
+
+def test_odd_pieces_take_the_next_shorter_partner():
+    assert sequences_of({500: 1, 400: 1}) == 1
+    assert sequences_of({n: 1 for n in range(342, 513)}) == 86
+    assert sequences_of({500: 3, 400: 1}) == 2
