@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from sondage.llm.components import components
 from sondage.session import ship_by_value
 
 #: Text of which one bucket holds the shingles' fingerprints.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 #: Shingles that a task gathers before it deals them to the buckets.
 FLUSH = 1 << 18
 #: Documents of a block that one search task indexes, and queries that it answers.
@@ -29,61 +30,70 @@ def _source(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("text"))
 
 
-SURVEYED = "doc_id {kind}, mark long, name binary, n long, shared long"
+def _coded(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as differences in one, two or four bytes each."""
+    steps = np.diff(numbers, prepend=0)
+    top = int(steps.max(initial=0))
+    kind = np.dtype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4")
+    return bytes([kind.itemsize]) + steps.astype(kind).tobytes()
 
 
-def survey_sets(source: DataFrame, words: int) -> DataFrame:
-    """doc_id, mark, name (of the shingle set), n (its size) of each document, and in further rows, at most one for each
-    set, how many of its shingles occur in other documents too. The sum of `shared` over a name is never too small.
+def _decoded(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(blob, f"<u{blob[0]}", offset=1), dtype=np.int64)
+
 
-    Shingles go to buckets by hash as 32-bit fingerprints, gathered by task: a shingle that a task has met in two
-    documents is known to be shared, and is sent once instead of for each. A bucket thus gets no more than one entry for
-    each task and shingle, however common that is, and its tasks read bucket after bucket. What buckets find out about
-    a set is dealt by the set's name and summed there.
+def survey_sets(source: DataFrame, words: int) -> DataFrame:
+    """doc_id, mark, name (of the shingle set), n (its size) and shared of each document: how many of its shingles occur in
+    other documents too. The sum of `shared` over a name is never too small.
+
+    A task gathers documents up to FLUSH shingles (a flush) and numbers them. Their shingles go to buckets by hash, as
+    32-bit fingerprints with the document's number in the flush, ordered by it and delta-coded: about five bytes each,
+    however many buckets there are. A shingle that a flush has met in two documents is known to be shared and is sent
+    once, without a number, so a bucket gets no more than one entry for each flush and shingle, however common that is. Buckets send counts back
+    to the flush, where its documents wait.
     """
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = max(partitions(source), -(-total // BUCKET_BYTES))
+    total_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = max(partitions(source), -(-total_bytes // BUCKET_BYTES))
     kind = source.schema["doc_id"].dataType.simpleString()
+    plain = ["doc_id", "mark", "name", "n", "shared", "number"]
+    plain_kind = f"doc_id {kind}, mark long, name binary, n long, shared long, number long"
 
-    def entries(hashes: list[np.ndarray], names: list[bytes], direct: np.ndarray):
-        """Rows for the buckets; adds to `direct` what is known already."""
+    def entries(hashes: list[np.ndarray], direct: np.ndarray):
+        """(bucket, fingerprints, coded numbers); fingerprints beyond the numbers are known to be shared, which `direct` counts."""
         values = np.concatenate(hashes)
-        who = np.repeat(np.arange(len(hashes), dtype=np.uint32), [len(h) for h in hashes])
+        who = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
         order = np.argsort(values, kind="stable")
         values, who = values[order], who[order]
-        first = np.r_[True, values[1:] != values[:-1]]
-        starts = np.flatnonzero(first)
+        starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
         many = np.diff(np.r_[starts, len(values)])
-        known = np.repeat(many > 1, many)
-        np.add.at(direct, who[known], 1)
-        values, who = values[starts], np.where(many > 1, np.uint32(0xFFFFFFFF), who[starts])
+        np.add.at(direct, who[np.repeat(many > 1, many)], 1)
+        values, who = values[starts], np.where(many > 1, len(hashes), who[starts])
         bucket = ((values >> np.uint64(32)) * np.uint64(width) >> np.uint64(32)).astype(np.int64)
-        prints = values.astype(np.uint32)
+        order = np.argsort(bucket * (len(hashes) + 1) + who, kind="stable")
+        prints, who, bucket = values.astype(np.uint32)[order], who[order], bucket[order]
         ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True]) + 1
         start = 0
         for end in ends.tolist():
-            own, local = np.unique(who[start:end], return_inverse=True)
-            if own[-1] == 0xFFFFFFFF:
-                own = own[:-1]
-            yield int(bucket[start]), prints[start:end].tobytes(), local.astype(np.uint32).tobytes(), b"".join(names[k] for k in own.tolist())
+            named = int(np.searchsorted(who[start:end], len(hashes)))
+            yield int(bucket[start]), prints[start:end].tobytes(), _coded(who[start : start + named])
             start = end
 
-    row_kind = f"bucket long, prints binary, who binary, names binary, doc_id {kind}, mark long, name binary, n long, shared long"
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, ids, marks, names, sizes, sets, size = sh.WordHashes(), [], [], [], [], [], 0
+        home = TaskContext.get().partitionId() << 32
 
         def flush():
             direct = np.zeros(len(sets), dtype=np.int64)
-            blobs = list(entries(sets, names, direct)) if size else []
+            blobs = list(entries(sets, direct)) if size else []
             n, m = len(blobs), len(sets)
-            spread = [k % width for k in range(m)]
+            spread = [(home + k) % width for k in range(m)]
             yield pa.RecordBatch.from_arrays([
-                pa.array([b[0] for b in blobs] + spread, pa.int64()),
-                *[pa.array([b[k] for b in blobs] + [None] * m, pa.binary()) for k in (1, 2, 3)],
+                pa.array([b[0] for b in blobs] + spread, pa.int64()), pa.array([home] * (n + m), pa.int64()),
+                *[pa.array([b[k] for b in blobs] + [None] * m, pa.binary()) for k in (1, 2)],
                 pa.concat_arrays([pa.nulls(n, ids[0].type), *ids]), pa.concat_arrays([pa.nulls(n, pa.int64()), *marks]),
-                pa.array([None] * n + names, pa.binary()), pa.array([None] * n + sizes, pa.int64()), pa.array([None] * n + direct.tolist(), pa.int64()),
-            ], names=["bucket", "prints", "who", "names", "doc_id", "mark", "name", "n", "shared"])
+                pa.array([None] * n + names, pa.binary()), pa.array([None] * n + sizes, pa.int64()),
+                pa.array([None] * n + direct.tolist(), pa.int64()), pa.array([None] * n + list(range(m)), pa.int64()),
+            ], names=["bucket", "home", "prints", "who", *plain])
 
         def rows(column, start, end):
             """A copy, which does not keep the texts of its batch in memory."""
@@ -102,101 +112,95 @@ def survey_sets(source: DataFrame, words: int) -> DataFrame:
                     marks.append(rows(batch.column(1), first, k + 1))
                     first = k + 1
                     yield from flush()
+                    home += 1
                     ids, marks, names, sizes, sets, size = [], [], [], [], [], 0
             ids.append(rows(batch.column(0), first, batch.num_rows))
             marks.append(rows(batch.column(1), first, batch.num_rows))
         if sets:
             yield from flush()
 
-    def answer(prints: list[bytes], who: list[bytes], names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The names, as rows of two longs, of which entries are shared in this bucket, and how many."""
+    def answer(homes: list[int], prints: list[bytes], who: list[bytes]) -> tuple[list[int], list[bytes], list[bytes]]:
+        """For each flush with entries that are shared in this bucket: its documents' coded numbers and how many they have."""
         values = np.concatenate([np.frombuffer(p, np.uint32) for p in prints])
-        base, keys = [], 0
-        for w, x in zip(who, names):
-            local, own = np.frombuffer(w, np.uint32).astype(np.int64), len(x) // 16
-            base.append(np.where(local < own, local + keys, -1))
-            keys += own
-        asked = np.concatenate(base)
+        asked, bases, base = [], [], 0
+        for p, w in zip(prints, who):
+            numbers = _decoded(w)
+            bases.append(base)
+            asked += [numbers + base, np.full(len(p) // 4 - len(numbers), -1)]
+            base += int(numbers[-1]) + 1 if len(numbers) else 0
+        asked = np.concatenate(asked)
         order = np.argsort(values, kind="stable")
         sorted_values = values[order]
         starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
         weight = np.add.reduceat(np.where(asked[order] < 0, 2, 1), starts)
         shared = np.empty(len(values), dtype=bool)
         shared[order] = np.repeat(weight > 1, np.diff(np.r_[starts, len(values)]))
-        hits = np.bincount(asked[shared & (asked >= 0)], minlength=keys)
-        found = np.flatnonzero(hits)
-        return np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)[found], hits[found]
-
-    def summed(names: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, place = np.unique(names, axis=0, return_inverse=True)
-        return own, np.bincount(place.reshape(-1), many, len(own)).astype(np.int64)
-
-    known_row = f"slice long, held binary, many binary, {SURVEYED.format(kind=kind)}"
-    plain_columns = ["doc_id", "mark", "name", "n", "shared"]
+        own, hits = np.unique(asked[shared & (asked >= 0)], return_counts=True)
+        cuts = np.searchsorted(own, [*bases, base])
+        out = [(homes[k], _coded(own[a:b] - bases[k]), hits[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        return tuple(map(list, zip(*out))) if out else ([], [], [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, prints, who, names = None, [], [], []
-
-        def counted(kind):
-            own, many = summed(*answer(prints, who, names))
-            slices = (own[:, 0].astype(np.uint64) % np.uint64(width)).astype(np.int64)
-            order = np.argsort(slices, kind="stable")
-            own, many, slices = own[order], many[order], slices[order]
-            ends = (np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist() + [len(slices)] * bool(len(slices))
-            parts = list(zip([0, *ends[:-1]], ends))
-            m = len(parts)
-            return pa.RecordBatch.from_arrays([
-                pa.array([int(slices[x]) for x, _ in parts], pa.int64()), pa.array([own[x:y].tobytes() for x, y in parts], pa.binary()),
-                pa.array([many[x:y].tobytes() for x, y in parts], pa.binary()), pa.nulls(m, kind), pa.nulls(m, pa.int64()),
-                pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=["slice", "held", "many", *plain_columns])
+        current, homes, prints, who = None, [], [], []
+
+        def counted(arrow):
+            at, numbers, hits = answer(homes, prints, who)
+            m = len(at)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int64()), pa.array(numbers, pa.binary()), pa.array(hits, pa.binary()), pa.nulls(m, arrow), pa.nulls(m, pa.int64()),
+                 pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 3], names=["home", "found", "many", *plain])
 
         arrow = None
         for batch in batches:
             arrow = batch.schema.field("doc_id").type
-            plain = batch.filter(pc.is_valid(batch.column(6)))
-            if m := plain.num_rows:
-                yield pa.RecordBatch.from_arrays([plain.column(0), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), *plain.select(plain_columns).columns],
-                                                 names=["slice", "held", "many", *plain_columns])
-            held = batch.filter(pc.is_valid(batch.column(1)))
-            for bucket, p, w, x in zip(*[held.column(k).to_pylist() for k in range(4)]):
+            waiting = batch.filter(pc.is_valid(batch.column(6)))
+            if m := waiting.num_rows:
+                yield pa.RecordBatch.from_arrays([waiting.column(1), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), *waiting.select(plain).columns],
+                                                 names=["home", "found", "many", *plain])
+            held = batch.filter(pc.is_valid(batch.column(2)))
+            for bucket, home, p, w in zip(*[held.column(k).to_pylist() for k in range(4)]):
                 if bucket != current and prints:
                     yield counted(arrow)
-                    prints, who, names = [], [], []
+                    homes, prints, who = [], [], []
                 current = bucket
+                homes.append(home)
                 prints.append(p)
                 who.append(w)
-                names.append(x)
         if prints:
             yield counted(arrow)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, many = None, [], []
+        current, waiting, blobs = None, [], []
 
-        def done(kind):
-            own, sums = summed(np.concatenate(held), np.concatenate(many))
-            m = len(own)
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.array([row.tobytes() for row in own], pa.binary()), pa.nulls(m, pa.int64()),
-                 pa.array(sums)], names=plain_columns)
+        def done():
+            rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            numbers = rows.column(5).to_numpy()
+            sums = np.zeros(int(numbers.max()) + 1, dtype=np.int64)
+            for found, many in blobs:
+                np.add.at(sums, _decoded(found), np.frombuffer(many, "<u4"))
+            return pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(rows.column(4).to_numpy() + sums[numbers])], names=plain[:5])
 
-        arrow = None
         for batch in batches:
-            arrow = batch.schema.field("doc_id").type
-            yield batch.filter(pc.is_valid(batch.column(5))).select(plain_columns)
-            blobs = batch.filter(pc.is_valid(batch.column(1)))
-            for at, names, counts in zip(*[blobs.column(k).to_pylist() for k in range(3)]):
-                if at != current and held:
-                    yield done(arrow)
-                    held, many = [], []
-                current = at
-                held.append(np.frombuffer(names, np.int64).reshape(-1, 2))
-                many.append(np.frombuffer(counts, np.int64))
-        if held:
-            yield done(arrow)
-
-    dealt = source.mapInArrow(deal, row_kind).repartition(width, "bucket").sortWithinPartitions("bucket")
-    counts = dealt.mapInArrow(count, known_row).repartition(width, "slice").sortWithinPartitions("slice")
-    return counts.mapInArrow(total, SURVEYED.format(kind=kind))
+            homes = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(homes[1:] != homes[:-1]) + 1).tolist(), len(homes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if homes[a] != current and waiting:
+                    yield done()
+                    waiting, blobs = [], []
+                current, part = homes[a], batch.slice(a, b - a)
+                own = part.filter(pc.is_valid(part.column(5))).select(plain)
+                if own.num_rows:
+                    waiting.append(own)
+                sent = part.filter(pc.is_valid(part.column(1)))
+                blobs += zip(sent.column(1).to_pylist(), sent.column(2).to_pylist())
+        if waiting:
+            yield done()
+
+    dealt = source.mapInArrow(deal, f"bucket long, home long, prints binary, who binary, {plain_kind}").repartition(width, "bucket").sortWithinPartitions("bucket")
+    counts = dealt.mapInArrow(count, f"home long, found binary, many binary, {plain_kind}").repartition(width, "home").sortWithinPartitions("home")
+    return counts.mapInArrow(total, f"doc_id {kind}, mark long, name binary, n long, shared long")
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
@@ -283,7 +287,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
     ship_by_value(sh, sys.modules[__name__])
     source = _source(docs, doc_id, text)
     surveyed = stage(survey_sets(source, words), "surveyed")
-    rows = surveyed.where("n is not null").select("doc_id", "mark", "name", F.col("n").alias("n_shingles"))
+    rows = surveyed.select("doc_id", "mark", "name", F.col("n").alias("n_shingles"))
     sets = surveyed.groupBy("name").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("doc_id").alias("rep")).where("n > 0")
     hopeful = stage(sets.where(F.col("shared") * 100 >= F.col("n") * percent).select("name", "rep"), "hopeful")
     # one text for each set: the row of its smallest id
