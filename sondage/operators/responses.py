@@ -37,7 +37,7 @@ def respondent_answers(responses: DataFrame) -> DataFrame:
     )
 
 
-def _cells(responses: DataFrame) -> DataFrame:
+def answer_cells(responses: DataFrame) -> DataFrame:
     """Answer counts split by how many wordings the respondent answered.
 
     The window holds one respondent's wordings of one question; the counts that
@@ -69,7 +69,7 @@ def matched_cells(cells: DataFrame) -> DataFrame:
 
 def matched_histogram(responses: DataFrame) -> DataFrame:
     """(run, question, variant, value, n, n_matched) over matched respondents."""
-    return matched_cells(_cells(responses))
+    return matched_cells(answer_cells(responses))
 
 
 def matched_panel(responses: DataFrame) -> DataFrame:

@@ -23,16 +23,25 @@ def fresh_folder(spark) -> str:
     return f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def in_files(spark, df, part, folder):
+    """The rows as a stream that takes the files of one part, in the order of `part`, per batch."""
+    numbered = df.withColumn("part", part.cast("int"))
+    for k in sorted(r["part"] for r in numbered.select("part").distinct().collect()):
+        numbered.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def _micros(column):
     return F.unix_micros(F.to_timestamp(column))
 
 
 @query("stream_shift", with_views(v.VIEWS, sq.FLAGS, f"SELECT {sq.FLAG_COLUMNS} FROM shift_flags"))
 def stream_shift(spark, sf_dir):
+    """Answers come in four batches in no order of time, so many are late or change an answer; the flags read the kept histogram."""
     folder = fresh_folder(spark)
-    rows = v.raw_from_events(event_stream(spark, sf_dir))
-    ingest.keep_responses(rows, f"{folder}/responses", f"{folder}/progress", buckets=4).awaitTermination()
-    return sq.flag_columns(ingest.current_flags(spark, f"{folder}/responses", v.questions(spark)))
+    rows = in_files(spark, v.table(spark, sf_dir, "events"), F.pmod(F.xxhash64("event_id"), F.lit(4)), f"{folder}/feed")
+    ingest.keep_statistics(v.raw_from_events(rows), folder, f"{folder}/progress", buckets=4, compact_after=2).awaitTermination()
+    return sq.flag_columns(ingest.kept_flags(spark, folder, v.questions(spark)))
 
 
 def _to_table(spark, stream, schema):

@@ -42,22 +42,34 @@ def _replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
     )
 
 
+def held_buckets(spark: SparkSession, path: str) -> int | None:
+    """The number of buckets of a stored table that has rows."""
+    stored = _stored(spark, path)
+    first = stored.select("buckets").first() if stored is not None else None
+    return first["buckets"] if first else None
+
+
+def touched_rows(spark: SparkSession, path: str, new: DataFrame, buckets: int | None) -> DataFrame | None:
+    """Stored rows in the partitions that `new` falls into: a semi-join on the partition columns, which prunes the scan."""
+    if buckets is None:
+        return None
+    touched = _bucketed(new, buckets).select("run_id", "bucket").distinct()
+    return _stored(spark, path).join(touched, ["run_id", "bucket"], "left_semi")
+
+
 def upsert_responses(spark: SparkSession, path: str, new: DataFrame, buckets: int = BUCKETS) -> None:
     """Last write per response key wins; partitions the batch does not touch stay as they are.
 
-    `new` carries ts and seq as the write order; it is read once. `buckets` holds for a new table, an existing one keeps
+    `new` carries ts and seq as the write order. `buckets` holds for a new table, an existing one keeps
     its own number. The partitions to rewrite are a semi-join on the partition columns, which prunes the scan. They are
     staged by the writer and moved in place on commit: one writer at a time, and a reader during the move may miss rows.
     """
-    stored = _stored(spark, path)
-    held = stored.select("buckets").first() if stored is not None else None
-    incoming = _bucketed(new, held["buckets"] if held else buckets).persist()
+    held = held_buckets(spark, path)
+    incoming = _bucketed(new, held or buckets).persist()
     try:
         merged = incoming
         if held:
-            touched = incoming.select("run_id", "bucket").distinct()
-            current = stored.join(touched, ["run_id", "bucket"], "left_semi").select(*incoming.columns)
-            merged = current.unionByName(incoming)
+            merged = touched_rows(spark, path, new, held).select(*incoming.columns).unionByName(incoming)
         kept = [c for c in new.columns if c not in KEY]
         newest = merged.groupBy(*KEY, "bucket", "buckets").agg(
             F.max(F.struct("ts", "seq", *[c for c in kept if c not in ("ts", "seq")])).alias("z"))
