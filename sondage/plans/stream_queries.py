@@ -14,32 +14,24 @@ from sondage.session import checkpoint_root
 from sondage.streaming import ingest, monitors
 
 
-def event_stream(spark, sf_dir):
-    schema = v.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-
-
 def fresh_folder(spark) -> str:
     return f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def in_files(spark, df, part, folder):
-    """The rows as a stream that takes the files of one part, in the order of `part`, per batch."""
-    numbered = df.withColumn("part", part.cast("int"))
-    for k in sorted(r["part"] for r in numbered.select("part").distinct().collect()):
-        numbered.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def _micros(column):
-    return F.unix_micros(F.to_timestamp(column))
+def in_files(spark, df, folder):
+    """The rows, which have a column `part`, as a stream that takes the file of one part per batch, in their order."""
+    kind = df.drop("part").schema
+    for k in sorted(r["part"] for r in df.select("part").distinct().collect()):
+        df.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query("stream_shift", with_views(v.VIEWS, sq.FLAGS, f"SELECT {sq.FLAG_COLUMNS} FROM shift_flags"))
 def stream_shift(spark, sf_dir):
     """Answers come in four batches in no order of time, so many are late or change an answer; the flags read the kept histogram."""
     folder = fresh_folder(spark)
-    rows = in_files(spark, v.table(spark, sf_dir, "events"), F.pmod(F.xxhash64("event_id"), F.lit(4)), f"{folder}/feed")
+    events = v.table(spark, sf_dir, "events").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(4)))
+    rows = in_files(spark, events, f"{folder}/feed")
     ingest.keep_statistics(v.raw_from_events(rows), folder, f"{folder}/progress", buckets=4, compact_after=2).awaitTermination()
     return sq.flag_columns(ingest.kept_flags(spark, folder, v.questions(spark)))
 
@@ -58,9 +50,19 @@ def _to_table(spark, stream, schema):
 @query("stream_status_changes", with_views(v.VIEWS, lq.STATUS, """
 SELECT run_id, status, seq FROM status_prev WHERE (end_ts IS NULL OR ts <= end_ts) AND (prev IS NULL OR prev <> status)"""))
 def stream_status_changes(spark, sf_dir):
-    log = event_stream(spark, sf_dir).select(
-        F.concat(F.lit("u"), F.col("user_id")).alias("run_id"),
-        F.when(F.col("event_id") % 40 == 7, "completed").otherwise(F.col("event_type")).alias("status"),
-        _micros("ts").alias("at"), F.col("event_id").alias("seq"),
-    )
-    return _to_table(spark, monitors.status_change_stream(log), "run_id string, status string, seq bigint")
+    """The log comes in six files of which each holds rows that are older than some of the file before."""
+    folder = fresh_folder(spark)
+    log = lq.status_log(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    span = log.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    begin, step = span["a"] or 0, max(1, ((span["b"] or 0) - (span["a"] or 0)) // 4)
+    part = F.floor((at - begin) / step) + F.col("seq") % 2
+    # a last entry, far ahead, lets the watermark pass all others
+    close = spark.range(1).select(
+        F.lit("close").alias("run_id"), F.lit("close").alias("status"), F.timestamp_micros(F.lit(begin + 20 * step)).alias("ts"),
+        F.lit(0).cast("long").alias("seq"), F.lit(9).cast("long").alias("part"))
+    both = log.select("run_id", "status", "ts", F.col("seq").cast("long").alias("seq"), part.alias("part")).unionByName(close)
+    stream = in_files(spark, both, f"{folder}/feed")
+    with monitors.rocksdb_state(spark):
+        changes = monitors.status_change_stream(stream, delay=f"{2 * step // 1_000_000 + 1} seconds", keep=f"{30 * step // 1_000_000 + 1} seconds")
+        return _to_table(spark, changes.where("run_id <> 'close'"), "run_id string, status string, seq bigint")

@@ -142,10 +142,32 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_stream_status_changes(spark, tmp_path):
-    log = statuses(spark, ["pending", "pending", "probing", "probing", "completed", "failed"]).select("run_id", "status", F.col("seq").cast("bigint").alias("at"), F.col("seq").cast("bigint").alias("seq"))
-    out = drain(spark, monitors.status_change_stream(feed(spark, log, f"{tmp_path}/in", 3, ["at"])), tmp_path)
-    assert [r["status"] for r in out.orderBy("seq").collect()] == ["pending", "probing", "completed"]
+def status_stream(spark, rows, folder, delay, keep):
+    """Rows are (file, run, status, seconds, seq); a last entry far ahead lets the watermark pass the others."""
+    for k in sorted({r[0] for r in rows}) + [99]:
+        part = [(run, status, at, seq) for file, run, status, at, seq in rows if file == k] or [("close", "close", 10_000_000, 0)]
+        df = spark.createDataFrame(part, "run_id string, status string, at long, seq long")
+        df.select("run_id", "status", F.timestamp_seconds("at").alias("ts"), "seq").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("run_id string, status string, ts timestamp, seq long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with monitors.rocksdb_state(spark):
+        return drain(spark, monitors.status_change_stream(stream, delay, keep), folder).where("run_id <> 'close'")
+
+
+def test_stream_status_changes_in_order_of_event_time(spark, tmp_path):
+    rows = [(0, "a", "pending", 1, 1), (0, "a", "completed", 40, 5), (0, "b", "probing", 20, 9), (1, "a", "probing", 12, 3), (1, "a", "pending", 5, 2),
+            (1, "a", "probing", 30, 4), (1, "b", "pending", 10, 8), (2, "a", "failed", 60, 7), (2, "b", "probing", 70, 10), (2, "b", "failed", 75, 11)]
+    out = status_stream(spark, rows, tmp_path, "50 seconds", "1 hour")
+    got = {run: [r["status"] for r in out.where(F.col("run_id") == run).orderBy("seq").collect()] for run in "ab"}
+    assert got == {"a": ["pending", "probing", "completed"], "b": ["pending", "probing", "failed"]}
+
+
+def test_stream_status_keeps_nothing_of_finished_runs(spark, tmp_path):
+    rows = [(0, "a", "pending", 1, 1), (0, "a", "completed", 5, 2), (1, "a", "probing", 30, 3), (1, "b", "pending", 400, 4), (2, "b", "pending", 800, 5)]
+    out = status_stream(spark, rows, tmp_path, "10 seconds", "5 minutes")
+    assert sorted((r["run_id"], r["status"]) for r in out.collect()) == [("a", "completed"), ("a", "pending"), ("b", "pending")]
+    held = lambda name, **more: spark.read.format("statestore").option("stateVarName", name).options(**more).load(f"{tmp_path}/cp")
+    assert {r["key"]["run_id"] for r in held("last").collect()} - {"close"} == {"b"}
+    assert {r["key"]["run_id"] for r in held("waiting").collect()} - {"close"} == set()
 
 
 def test_stream_routing_to_two_tables(spark, tmp_path):
