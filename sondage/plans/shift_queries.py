@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondage import config
-from sondage.operators import responses as resp
+from sondage.operators import free_values, responses as resp
 from sondage.operators import shift
 from sondage.plans import views as v
 from sondage.plans.registry import query, rnd, sql_fixed2, sql_in, sql_list, with_views
@@ -276,3 +276,19 @@ def jaccard_shift(spark, sf_dir):
 )
 def run_completeness(spark, sf_dir):
     return resp.run_completeness(v.questions(spark), v.responses(spark, sf_dir))
+
+
+@query("free_value_shift", f"""
+WITH c AS (SELECT l_returnflag AS question_id, l_linenumber - 1 AS variant, l_extendedprice AS value, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+e AS (SELECT question_id, variant, value, n AS f, 0 AS g FROM c WHERE variant <> 0 UNION ALL
+  SELECT question_id, k.variant, value, 0, n FROM c JOIN (SELECT DISTINCT question_id, variant FROM c WHERE variant <> 0) k USING (question_id) WHERE c.variant = 0),
+m AS (SELECT question_id, variant, value, sum(f) AS f, sum(g) AS g FROM e GROUP BY 1, 2, 3),
+w AS (SELECT *, sum(f) OVER o AS cf, sum(g) OVER o AS cg, sum(f) OVER a AS n, sum(g) OVER a AS n_base, lead(value) OVER (PARTITION BY question_id, variant ORDER BY value) AS next
+  FROM m WINDOW o AS (PARTITION BY question_id, variant ORDER BY value), a AS (PARTITION BY question_id, variant))
+SELECT question_id, variant, {rnd('sum(abs(cf / n - cg / n_base) * coalesce(next - value, 0))', 4)} AS wasserstein, max(n)::BIGINT AS n, max(n_base)::BIGINT AS n_base
+FROM w GROUP BY 1, 2""")
+def free_value_shift(spark, sf_dir):
+    """Prices of each position of an order against those of the first, by return flag: nearly every value is a new one."""
+    values = v.table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("question_id"), (F.col("l_linenumber") - 1).alias("variant"), F.col("l_extendedprice").alias("value"), F.lit(1).alias("n"))
+    return free_values.value_distances(values, ["question_id"]).withColumn("wasserstein", F.round("wasserstein", 4))
