@@ -17,7 +17,6 @@ def _scrambled(k: int) -> int:
 
 
 GEAR = np.array([_scrambled(b) >> 32 for b in range(256)], dtype=np.uint32)
-LINE_FACTOR = _scrambled(256) | 1
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -44,36 +43,56 @@ def cut_points(text: bytes, average_bits: int = 5, least: int = 16, most: int =
     return cuts
 
 
-def line_cuts(lines: list[bytes], window: int = 2, one_in: int = 2, least: int = 2, most: int = 64,
-              words: int | None = None) -> list[tuple[int, int]]:
-    """Chunks of lines as half-open ranges. A chunk ends where the rolling hash over the hashes of the last `window`
-    lines says so, once it has `least` lines that are not blank, and at `most` lines in any case. A line of `words`
-    words or more, if given, is a chunk of its own, whatever stands around it."""
-    chunks, first, filled, recent = [], 0, 0, [0] * window
-    top = pow(LINE_FACTOR, window, 1 << 64)
-    roll = 0
-    for k, line in enumerate(lines):
-        alone = words is not None and len(line.split()) >= words
-        if alone and k > first:
-            chunks.append((first, k))
-            first, filled = k, 0
-        value = xxhash.xxh3_64_intdigest(line)
-        roll = (roll * LINE_FACTOR + value - recent[k % window] * top) & MASK
-        recent[k % window] = value
-        filled += bool(line.strip())
-        if alone or (filled >= least and (roll >> 40) % one_in == 0) or k + 1 - first >= most:
-            chunks.append((first, k + 1))
-            first, filled = k + 1, 0
-    if first < len(lines):
-        chunks.append((first, len(lines)))
-    return chunks
-
-
-def repeatable(lines: list[bytes], first: int, end: int, least: int = 2, words: int | None = None) -> bool:
-    """Only chunks of several lines with text count as repeats, and lines of `words` words or more, if given."""
-    if sum(bool(line.strip()) for line in lines[first:end]) >= least:
-        return True
-    return words is not None and any(len(line.split()) >= words for line in lines[first:end])
+#: Bytes after which, if a space follows, a line is cut; the top bits of the gear hash at the other spaces that cut it.
+STOPS, CLAUSE_BITS = b".!?,;:", 2
+#: Words that a chunk needs to count as a passage.
+LEAST_WORDS = 6
+IS_STOP, IS_WHITE = (np.isin(np.arange(256), list(kind)) for kind in (STOPS, b" \t\n\x0b\x0c\r"))
+
+
+def line_units(text: bytes) -> tuple[list[int], list[int]]:
+    """Ends of the units of a text, and their words: lines, long ones cut into clauses.
+
+    A line feed ends a unit, so does a space after a stop, and a space at which the gear hash of the last 32 bytes has
+    its top bits zero: every fourth word or so, chosen by what is written there.
+    """
+    data = np.frombuffer(text, np.uint8)
+    stopped, white = np.r_[False, IS_STOP[data[:-1]]], IS_WHITE[data]
+    chosen = gear_hashes(data) >> np.uint32(32 - CLAUSE_BITS) == 0
+    ends = np.flatnonzero((data == 10) | (data == 32) & (stopped | chosen)) + 1
+    if not len(ends) or ends[-1] < len(data):
+        ends = np.r_[ends, len(data)]
+    words = np.cumsum(np.r_[True, white[:-1]] & ~white)
+    return ends.tolist(), np.diff(words[ends - 1], prepend=0).tolist()
+
+
+def line_chunks(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, bool]]:
+    """Chunks of units as half-open byte ranges, with whether they can count as repeats: several units of `least` words.
+
+    A chunk ends after a unit whose hash is below those of the units before and after it. So a boundary depends on three
+    units and on nothing before them, no two are neighbours, and the boundaries inside a passage are the same wherever it
+    stands, but for those at its ends. A chunk of fewer words joins the one before it, at the start of a text the one
+    after it, so a copied text is made of repeats alone; only a text of fewer words has none.
+    """
+    if not text:
+        return []
+    ends, words = line_units(text)
+    hashes, start = [], 0
+    for end in ends:
+        hashes.append(xxhash.xxh3_64_intdigest(text[start:end]))
+        start = end
+    chunks: list[list[int]] = []  # end, words and units
+    many, units, last = 0, 0, len(ends) - 1
+    for k, end in enumerate(ends):
+        many += words[k]
+        units += words[k] > 0
+        if k == last or (0 < k and hashes[k - 1] > hashes[k] < hashes[k + 1]):
+            if chunks and (many < least or units < 2 or chunks[-1][1] < least or chunks[-1][2] < 2):
+                chunks[-1] = [end, chunks[-1][1] + many, chunks[-1][2] + units]
+            else:
+                chunks.append([end, many, units])
+            many, units = 0, 0
+    return [(first, end, n >= least and m > 1) for first, (end, n, m) in zip([0, *[c[0] for c in chunks]], chunks)]
 
 
 def digests(parts: list[bytes]) -> np.ndarray:

@@ -15,22 +15,18 @@ from sondage.llm import chunking
 from sondage.llm.common import stage
 from sondage.session import ship_by_value
 
-#: Words that make a line a passage of its own: of 51 words or more on one to six lines, one line has as many.
-LINE_WORDS = 8
-
-
-def _chunk_rows(docs: DataFrame, with_text: bool, line_words: int | None) -> DataFrame:
+def _chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
     """doc_id, mark, ordinal, hi, lo (and chunk) of every chunk that may repeat. docs: doc_id, mark, text."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, ordinal, parts = [], [], []
             for k, body in enumerate(batch.column(2)):
-                lines = (body.as_py() or b"").split(b"\n")
-                for number, (first, end) in enumerate(chunking.line_cuts(lines, words=line_words)):
-                    if chunking.repeatable(lines, first, end, words=line_words):
+                content = body.as_py() or b""
+                for number, (first, end, passage) in enumerate(chunking.line_chunks(content)):
+                    if passage:
                         row.append(k)
                         ordinal.append(number)
-                        parts.append(b"\n".join(lines[first:end]))
+                        parts.append(content[first:end])
             at, named = pa.array(row, pa.int64()), chunking.digests(parts)
             columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(ordinal, pa.int32()),
                        pa.array(np.ascontiguousarray(named[:, 0])), pa.array(np.ascontiguousarray(named[:, 1]))]
@@ -42,20 +38,17 @@ def _chunk_rows(docs: DataFrame, with_text: bool, line_words: int | None) -> Dat
     return docs.mapInArrow(cut, f"doc_id {kind}, mark long, ordinal int, hi long, lo long" + ", chunk binary" * with_text)
 
 
-def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text",
-                          line_words: int | None = None) -> DataFrame:
-    """`row` (a struct of the columns `keep`, all by default), n_lines, removed (line ranges) and text without them.
-
-    Lines are separated by line feeds. The first occurrence of a chunk, by id and place, stays; the others go, within
-    one document too. Digests only pick the chunks to compare: those that occur once never move again, the others are
-    grouped by their bytes, and a digest that stands for different bytes removes nothing. Counting is combined before
-    the shuffle, so a chunk in a third of all documents is a row per task.
+def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`row` (a struct of the columns `keep`, all by default), n_lines, removed (byte ranges) and text without them.
 
-    With `line_words`, every line of as many words is a chunk of its own and goes where it repeats; without, only chunks of
-    several lines do.
+    Texts are cut into lines and long lines into clauses; hashes of three of them in a row choose the boundaries of chunks
+    (`chunking.line_chunks`). The first occurrence of a chunk of several units and LEAST_WORDS words, by id and place,
+    stays; the others go, within one document too. Digests only pick the chunks to compare: those that occur once never
+    move again, the others are grouped by their bytes, and a digest that stands for different bytes removes nothing.
+    Counting is combined before the shuffle, so a chunk in a third of all documents is a row per task.
 
-    Null text stays null, with no lines. Rows with equal id and text share one
-    fate; null ids come first. An empty table gives no rows.
+    Null text stays null, with no lines. Rows with equal id and text share one fate; null ids come first. Columns may have
+    any names. A text of any length is cut by itself, in linear time. An empty table gives no rows.
     """
     ship_by_value(chunking, sys.modules[__name__])
     names = docs.columns if keep is None else keep
@@ -63,9 +56,9 @@ def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"),
                          F.xxhash64(body).alias("mark"), body.alias("text"))
     slim = source.select("doc_id", "mark", "text")
-    places = stage(_chunk_rows(slim, False, line_words), "line-chunks")
+    places = stage(_chunk_rows(slim, False), "line-chunks")
     often = stage(places.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "line-repeats")
-    same = _chunk_rows(slim, True, line_words).hint("merge").join(often, ["hi", "lo"], "left_semi").groupBy("hi", "lo", "chunk").agg(F.count("*").alias("n"))
+    same = _chunk_rows(slim, True).hint("merge").join(often, ["hi", "lo"], "left_semi").groupBy("hi", "lo", "chunk").agg(F.count("*").alias("n"))
     proven = same.groupBy("hi", "lo").agg(F.count("*").alias("kinds")).where("kinds = 1").select("hi", "lo")
     repeats = stage(places.join(proven, ["hi", "lo"]), "line-proven")
     firsts = repeats.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "mark", "ordinal")).alias("first"))
@@ -81,14 +74,12 @@ def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id
             counts, removed, texts = [], [], []
             for value, gone in zip(batch.column(1), batch.column(2).to_pylist()):
                 body = value.as_py()
-                lines = body.split(b"\n") if body else []
+                counts.append(body.count(b"\n") + 1 if body else 0)
                 spans = []
                 if gone:
-                    chunks = chunking.line_cuts(lines, words=line_words)
-                    drop = set(gone)
-                    spans = [chunks[k] for k in gone]
-                    body = b"\n".join(b"\n".join(lines[a:b]) for k, (a, b) in enumerate(chunks) if k not in drop)
-                counts.append(len(lines))
+                    chunks, drop = chunking.line_chunks(body), set(gone)
+                    spans = [chunks[k][:2] for k in gone]
+                    body = b"".join(body[a:b] for k, (a, b, _) in enumerate(chunks) if k not in drop)
                 removed.append([{"start": a, "end": b} for a, b in spans])
                 texts.append(body)
             yield pa.RecordBatch.from_arrays(
@@ -96,18 +87,18 @@ def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id
                 names=["row", "n_lines", "removed", "text"])
 
     schema = StructType(joined.schema.fields[:1])
-    for field in StructType.fromDDL("n_lines long, removed array<struct<start: int, end: int>>, text string"):
+    for field in StructType.fromDDL("n_lines long, removed array<struct<start: long, end: long>>, text string"):
         schema = schema.add(field.name, field.dataType)
     return joined.mapInArrow(rewrite, schema)
 
 
-SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", line_words: int | None = None) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with their columns, without repeated passages. A document that had lines and lost all of them is a
     copy and goes; a column n_chars is counted anew."""
-    cleaned = remove_repeated_lines(docs, doc_id=doc_id, text=text, line_words=line_words)
+    cleaned = remove_repeated_lines(docs, doc_id=doc_id, text=text)
     lost_all = (F.size("removed") > 0) & (F.trim("text") == "")
     kept = cleaned.where(~F.coalesce(lost_all, F.lit(False)))
     columns = {c: F.col("row").getField(c) for c in docs.columns} | {text: F.col("text")}

@@ -281,7 +281,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
        connected are not listed, which loses no connection.
 
     Returns doc_id, mark (hash of the text), n_shingles and component_id (smallest doc_id of the group), a row per input
-    row. Text without words is in no group but its own. Null ids never name a group that has others. Rows with equal ids
+    row; head_mark is the mark of the row that would stay alone, by id (nulls last) and mark. Text without words is in no group but its own. Null ids never name a group that has others. Rows with equal ids
     are rows of their own, connected if their texts are. An empty table gives no rows.
     """
     ship_by_value(sh, sys.modules[__name__])
@@ -307,16 +307,24 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
         "block", "name", "n", "weight", "shingles")
     roots = components(_search_blocks(stage(blocks, "blocks"), percent))
     grouped = rows.where("n_shingles > 0").join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    named = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(named, "root").select("doc_id", "mark", "n_shingles", "component_id").unionByName(
-        rows.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id")))
+    named = grouped.groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))["mark"].alias("head_mark"))
+    return grouped.join(named, "root").select("doc_id", "mark", "n_shingles", "component_id", "head_mark").unionByName(
+        rows.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.col("mark").alias("head_mark")))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their columns, of each group of near duplicates the one with the smallest id.
-    Of rows with equal id and text, all stay or none; rows without id stay."""
-    gone = near_groups(docs, words, percent, doc_id, text).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    """The documents with their columns, of each group of near duplicates exactly one row: that of the smallest id, rows
+    without id last, of equal ids that of the smallest hash of the text, of equal rows that of the smallest hash of all
+    columns. Rows without words are in no group and all stay."""
+    grouped = near_groups(docs, words, percent, doc_id, text).where("n_shingles > 0")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("head_mark"))
+    fates = stage(grouped.groupBy("doc_id", "mark").agg(F.max(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").select(
+        F.col("doc_id").alias("fate_id"), F.col("mark").alias("fate_mark"), "stays"), "fates")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"),
                        F.xxhash64(F.col(f"`{text}`").cast("binary")).alias("mark"))
-    return rows.join(gone, (F.col("doc_id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left_anti").select("row.*")
+    met = lambda how, these: rows.join(these, F.col("doc_id").eqNullSafe(F.col("fate_id")) & (F.col("mark") == F.col("fate_mark")), how)
+    # of equal rows that stay one is chosen; copies are thinned out in the task that reads them
+    chosen = met("left_semi", fates.where("stays")).groupBy("doc_id", "mark").agg(
+        F.min_by("row", F.xxhash64(*[F.col("row").getField(c) for c in docs.columns])).alias("row"))
+    return met("left_anti", fates).select("row.*").unionByName(chosen.select("row.*"))

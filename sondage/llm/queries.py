@@ -14,7 +14,7 @@ from sondage.llm.decontaminate import find_occurrences, hit_words, is_contaminat
 from sondage.llm.common import stage
 from sondage.llm.exact import exact_groups
 from sondage.llm.language_model import fit_and_score
-from sondage.llm.line_dedup import LINE_WORDS, remove_repeated_lines
+from sondage.llm.line_dedup import remove_repeated_lines
 from sondage.llm.near_join import near_groups
 from sondage.llm.packing import pack_documents
 from sondage.llm.pii import find_personal_data, listed
@@ -83,7 +83,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = remove_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"], line_words=LINE_WORDS)
+    cut = remove_repeated_lines(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return cut.select("row.doc_id", "n_lines", "removed", "text")
 
 
