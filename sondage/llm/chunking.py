@@ -46,24 +46,29 @@ def cut_points(text: bytes, average_bits: int = 5, least: int = 16, most: int =
 #: Bytes after which, if a space follows, a line is cut; the top bits of the gear hash at the other spaces that cut it.
 STOPS, CLAUSE_BITS = b".!?,;:", 2
 #: Words that a chunk needs to count as a passage.
-LEAST_WORDS = 6
+LEAST_WORDS = 7
+#: Factors of the places in a unit, for its hash: odd outputs of the generator.
+FACTORS = np.array([_scrambled(300 + k) | 1 for k in range(64)], dtype=np.uint64)
 IS_STOP, IS_WHITE = (np.isin(np.arange(256), list(kind)) for kind in (STOPS, b" \t\n\x0b\x0c\r"))
 
 
-def line_units(text: bytes) -> tuple[list[int], list[int]]:
-    """Ends of the units of a text, and their words: lines, long ones cut into clauses.
+def line_units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the units of a text, their words and hashes: lines, long ones cut into clauses.
 
     A line feed ends a unit, so does a space after a stop, and a space at which the gear hash of the last 32 bytes has
     its top bits zero: every fourth word or so, chosen by what is written there.
     """
     data = np.frombuffer(text, np.uint8)
     stopped, white = np.r_[False, IS_STOP[data[:-1]]], IS_WHITE[data]
-    chosen = gear_hashes(data) >> np.uint32(32 - CLAUSE_BITS) == 0
-    ends = np.flatnonzero((data == 10) | (data == 32) & (stopped | chosen)) + 1
+    gear = gear_hashes(data)
+    ends = np.flatnonzero((data == 10) | (data == 32) & (stopped | (gear >> np.uint32(32 - CLAUSE_BITS) == 0))) + 1
     if not len(ends) or ends[-1] < len(data):
         ends = np.r_[ends, len(data)]
     words = np.cumsum(np.r_[True, white[:-1]] & ~white)
-    return ends.tolist(), np.diff(words[ends - 1], prepend=0).tolist()
+    starts = np.r_[0, ends[:-1]]
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts)
+    hashes = np.add.reduceat(GEAR[data].astype(np.uint64) * FACTORS[place & 63] + (place >> 6).astype(np.uint64), starts)
+    return ends, np.diff(words[ends - 1], prepend=0), hashes
 
 
 def line_chunks(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, bool]]:
@@ -76,22 +81,19 @@ def line_chunks(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, b
     """
     if not text:
         return []
-    ends, words = line_units(text)
-    hashes, start = [], 0
-    for end in ends:
-        hashes.append(xxhash.xxh3_64_intdigest(text[start:end]))
-        start = end
+    ends, words, hashes = line_units(text)
+    least_hash = np.zeros(len(ends), dtype=bool)
+    least_hash[1:-1] = (hashes[1:-1] < hashes[:-2]) & (hashes[1:-1] < hashes[2:])
+    least_hash[-1] = True
+    at = np.flatnonzero(least_hash)
+    many, units = (np.diff(np.cumsum(x)[at], prepend=0).tolist() for x in (words, words > 0))
     chunks: list[list[int]] = []  # end, words and units
-    many, units, last = 0, 0, len(ends) - 1
-    for k, end in enumerate(ends):
-        many += words[k]
-        units += words[k] > 0
-        if k == last or (0 < k and hashes[k - 1] > hashes[k] < hashes[k + 1]):
-            if chunks and (many < least or units < 2 or chunks[-1][1] < least or chunks[-1][2] < 2):
-                chunks[-1] = [end, chunks[-1][1] + many, chunks[-1][2] + units]
-            else:
-                chunks.append([end, many, units])
-            many, units = 0, 0
+    for end, n, m in zip(ends[at].tolist(), many, units):
+        if chunks and (n < least or m < 2 or chunks[-1][1] < least or chunks[-1][2] < 2):
+            last = chunks[-1]
+            last[0], last[1], last[2] = end, last[1] + n, last[2] + m
+        else:
+            chunks.append([end, n, m])
     return [(first, end, n >= least and m > 1) for first, (end, n, m) in zip([0, *[c[0] for c in chunks]], chunks)]
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,7 +17,7 @@ from sondage.llm.common import stage
 from sondage.session import ship_by_value
 
 def _chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
-    """doc_id, mark, ordinal, hi, lo (and chunk) of every chunk that may repeat. docs: doc_id, mark, text."""
+    """doc_id, mark, ordinal, digest (and chunk) of every chunk that may repeat. docs: doc_id, mark, text."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, ordinal, parts = [], [], []
@@ -27,15 +28,14 @@ def _chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
                         row.append(k)
                         ordinal.append(number)
                         parts.append(content[first:end])
-            at, named = pa.array(row, pa.int64()), chunking.digests(parts)
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(ordinal, pa.int32()),
-                       pa.array(np.ascontiguousarray(named[:, 0])), pa.array(np.ascontiguousarray(named[:, 1]))]
+            at, named = pa.array(row, pa.int64()), np.array([xxhash.xxh3_64_intdigest(x) for x in parts], dtype=np.uint64).view(np.int64)
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(ordinal, pa.int32()), pa.array(named)]
             if with_text:
                 columns.append(pa.array(parts, pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "ordinal", "hi", "lo", "chunk"][: len(columns)])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "ordinal", "digest", "chunk"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(cut, f"doc_id {kind}, mark long, ordinal int, hi long, lo long" + ", chunk binary" * with_text)
+    return docs.mapInArrow(cut, f"doc_id {kind}, mark long, ordinal int, digest long" + ", chunk binary" * with_text)
 
 
 def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,12 +57,12 @@ def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id
                          F.xxhash64(body).alias("mark"), body.alias("text"))
     slim = source.select("doc_id", "mark", "text")
     places = stage(_chunk_rows(slim, False), "line-chunks")
-    often = stage(places.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").select("hi", "lo"), "line-repeats")
-    same = _chunk_rows(slim, True).hint("merge").join(often, ["hi", "lo"], "left_semi").groupBy("hi", "lo", "chunk").agg(F.count("*").alias("n"))
-    proven = same.groupBy("hi", "lo").agg(F.count("*").alias("kinds")).where("kinds = 1").select("hi", "lo")
-    repeats = stage(places.join(proven, ["hi", "lo"]), "line-proven")
-    firsts = repeats.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "mark", "ordinal")).alias("first"))
-    gone = repeats.join(firsts, ["hi", "lo"]).where(
+    often = stage(places.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "line-repeats")
+    same = _chunk_rows(slim, True).hint("merge").join(often, "digest", "left_semi").groupBy("digest", "chunk").agg(F.count("*").alias("n"))
+    proven = same.groupBy("digest").agg(F.count("*").alias("kinds")).where("kinds = 1").select("digest")
+    repeats = stage(places.join(proven, "digest"), "line-proven")
+    firsts = repeats.groupBy("digest").agg(F.min(F.struct("doc_id", "mark", "ordinal")).alias("first"))
+    gone = repeats.join(firsts, "digest").where(
         ~F.struct("doc_id", "mark", "ordinal").eqNullSafe(F.col("first"))
     ).groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set("ordinal")).alias("gone"))
     joined = source.hint("merge").join(

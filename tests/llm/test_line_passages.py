@@ -4,10 +4,9 @@ import random
 import re
 
 import pytest
-import xxhash
 from tables import documents, messy
 
-from sondage.llm.chunking import GEAR, LEAST_WORDS, line_chunks
+from sondage.llm.chunking import FACTORS, GEAR, LEAST_WORDS, line_chunks
 from sondage.llm.line_dedup import remove_repeated_lines
 from sondage.llm.queries import op9_line_dedup
 
@@ -22,7 +21,7 @@ def chunks(text):
         if byte == 10 or (byte == 32 and (text[k - 1 : k] in list(map(bytes, zip(b".!?,;:"))) or gear >> 30 == 0)) or k + 1 == len(text):
             units.append(text[start : k + 1])
             start = k + 1
-    h = [xxhash.xxh3_64_intdigest(u) for u in units]
+    h = [sum(int(GEAR[b]) * int(FACTORS[k % 64]) + k // 64 for k, b in enumerate(u)) % 2**64 for u in units]
     groups, current = [], []
     for k, unit in enumerate(units):
         current.append(unit)
