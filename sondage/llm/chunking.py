@@ -19,11 +19,11 @@ def _scrambled(k: int) -> int:
 GEAR = np.array([_scrambled(b) >> 32 for b in range(256)], dtype=np.uint32)
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
+def gear_hashes(data: np.ndarray, doublings: int = 5) -> np.ndarray:
     """The gear hash h = 2h + gear[byte] mod 2^32 at every byte: it depends on the last 32 bytes alone, so it is summed
-    by doubling the window instead of byte by byte."""
+    by doubling the window instead of byte by byte. Fewer doublings end the sum at 2^doublings bytes."""
     h = GEAR[data]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8, 16)[:doublings]:
         if len(h) > k:
             h[k:] += h[:-k] << np.uint32(k)
     return h
@@ -47,28 +47,28 @@ def cut_points(text: bytes, average_bits: int = 5, least: int = 16, most: int =
 STOPS, CLAUSE_BITS = b".!?,;:", 2
 #: Words that a chunk needs to count as a passage.
 LEAST_WORDS = 7
-#: Factors of the places in a unit, for its hash: odd outputs of the generator.
-FACTORS = np.array([_scrambled(300 + k) | 1 for k in range(64)], dtype=np.uint64)
 IS_STOP, IS_WHITE = (np.isin(np.arange(256), list(kind)) for kind in (STOPS, b" \t\n\x0b\x0c\r"))
 
 
 def line_units(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends of the units of a text, their words and hashes: lines, long ones cut into clauses.
 
-    A line feed ends a unit, so does a space after a stop, and a space at which the gear hash of the last 32 bytes has
-    its top bits zero: every fourth word or so, chosen by what is written there.
+    A line feed ends a unit, so does a space after a stop, and a space at which the gear hash of the last 8 bytes has its
+    top bits zero: every fourth word or so, chosen by what is written there. A unit's hash sums the gear hashes of its bytes.
     """
     data = np.frombuffer(text, np.uint8)
-    stopped, white = np.r_[False, IS_STOP[data[:-1]]], IS_WHITE[data]
-    gear = gear_hashes(data)
-    ends = np.flatnonzero((data == 10) | (data == 32) & (stopped | (gear >> np.uint32(32 - CLAUSE_BITS) == 0))) + 1
-    if not len(ends) or ends[-1] < len(data):
-        ends = np.r_[ends, len(data)]
-    words = np.cumsum(np.r_[True, white[:-1]] & ~white)
-    starts = np.r_[0, ends[:-1]]
-    place = np.arange(len(data)) - np.repeat(starts, ends - starts)
-    hashes = np.add.reduceat(GEAR[data].astype(np.uint64) * FACTORS[place & 63] + (place >> 6).astype(np.uint64), starts)
-    return ends, np.diff(words[ends - 1], prepend=0), hashes
+    gear, white, space = gear_hashes(data, 3), IS_WHITE[data], data == 32
+    cut = gear < np.uint32(1 << 32 - CLAUSE_BITS)
+    cut[1:] |= IS_STOP[data[:-1]]
+    cut &= space
+    cut |= data == 10
+    cut[-1] = True
+    ends = cut.nonzero()[0] + 1
+    starts = np.zeros_like(ends)
+    starts[1:] = ends[:-1]
+    begun = ~white
+    begun[1:] &= white[:-1]
+    return ends, np.add.reduceat(begun, starts, dtype=np.int32), np.add.reduceat(gear, starts, dtype=np.uint32)
 
 
 def line_chunks(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, bool]]:
@@ -82,19 +82,22 @@ def line_chunks(text: bytes, least: int = LEAST_WORDS) -> list[tuple[int, int, b
     if not text:
         return []
     ends, words, hashes = line_units(text)
-    least_hash = np.zeros(len(ends), dtype=bool)
-    least_hash[1:-1] = (hashes[1:-1] < hashes[:-2]) & (hashes[1:-1] < hashes[2:])
-    least_hash[-1] = True
-    at = np.flatnonzero(least_hash)
-    many, units = (np.diff(np.cumsum(x)[at], prepend=0).tolist() for x in (words, words > 0))
-    chunks: list[list[int]] = []  # end, words and units
-    for end, n, m in zip(ends[at].tolist(), many, units):
-        if chunks and (n < least or m < 2 or chunks[-1][1] < least or chunks[-1][2] < 2):
-            last = chunks[-1]
-            last[0], last[1], last[2] = end, last[1] + n, last[2] + m
-        else:
-            chunks.append([end, n, m])
-    return [(first, end, n >= least and m > 1) for first, (end, n, m) in zip([0, *[c[0] for c in chunks]], chunks)]
+    # few calls: most texts are short, so what counts is the number of calls
+    chosen = np.ones(len(ends), dtype=bool)
+    chosen[:-1] = hashes[:-1] < hashes[1:]
+    chosen[1:-1] &= hashes[1:-1] < hashes[:-2]
+    chosen[0] &= len(ends) == 1
+    at = chosen.nonzero()[0]
+    many, units = words.cumsum()[at], (words > 0).cumsum()[at]
+    enough = ((many >= least) & (units > 1)).nonzero()[0]
+    if not len(enough):
+        return [(0, len(text), False)]
+    # the first chunk takes as much as it needs; after it every part that is large enough starts one
+    first = enough[0] + 1
+    large = (many[first:] - many[first - 1 : -1] >= least) & (units[first:] - units[first - 1 : -1] > 1)
+    stops = ends[at[large.nonzero()[0] + first - 1]].tolist()
+    stops.append(len(text))
+    return [(a, b, True) for a, b in zip([0, *stops], stops)]
 
 
 def digests(parts: list[bytes]) -> np.ndarray:

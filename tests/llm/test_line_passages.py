@@ -6,7 +6,7 @@ import re
 import pytest
 from tables import documents, messy
 
-from sondage.llm.chunking import FACTORS, GEAR, LEAST_WORDS, line_chunks
+from sondage.llm.chunking import GEAR, LEAST_WORDS, line_chunks
 from sondage.llm.line_dedup import remove_repeated_lines
 from sondage.llm.queries import op9_line_dedup
 
@@ -15,13 +15,13 @@ SF = "/root/testdata/sf0.001"
 
 def chunks(text):
     """Chunks of a text, byte by byte: units, then boundaries at units of the lowest hash, then small ones join."""
-    units, start = [], 0
+    gear = [sum(int(GEAR[b]) << age for age, b in enumerate(reversed(text[max(0, k - 7) : k + 1]))) % 2**32 for k in range(len(text))]
+    units, h, start = [], [], 0
     for k, byte in enumerate(text):
-        gear = sum(int(GEAR[b]) << age for age, b in enumerate(reversed(text[max(0, k - 31) : k + 1]))) % 2**32 if byte == 32 else 0
-        if byte == 10 or (byte == 32 and (text[k - 1 : k] in list(map(bytes, zip(b".!?,;:"))) or gear >> 30 == 0)) or k + 1 == len(text):
+        if byte == 10 or (byte == 32 and (text[k - 1 : k] in list(map(bytes, zip(b".!?,;:"))) or gear[k] >> 30 == 0)) or k + 1 == len(text):
             units.append(text[start : k + 1])
+            h.append(sum(gear[start : k + 1]) % 2**32)
             start = k + 1
-    h = [sum(int(GEAR[b]) * int(FACTORS[k % 64]) + k // 64 for k, b in enumerate(u)) % 2**64 for u in units]
     groups, current = [], []
     for k, unit in enumerate(units):
         current.append(unit)
