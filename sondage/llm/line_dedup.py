@@ -16,10 +16,20 @@ from sondage.llm import chunking
 from sondage.llm.common import stage
 from sondage.session import ship_by_value
 
+#: Texts that a task works on at once.
+SLICE = 1000
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, SLICE):
+            yield batch.slice(first, SLICE)
+
+
 def _chunk_rows(docs: DataFrame, with_text: bool) -> DataFrame:
     """doc_id, mark, ordinal, digest (and chunk) of every chunk that may repeat. docs: doc_id, mark, text."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             row, ordinal, parts = [], [], []
             for k, body in enumerate(batch.column(2)):
                 content = body.as_py() or b""
@@ -70,7 +80,7 @@ def remove_repeated_lines(docs: DataFrame, keep: list[str] | None = None, doc_id
         F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left").select("row", "text", "gone")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             counts, removed, texts = [], [], []
             for value, gone in zip(batch.column(1), batch.column(2).to_pylist()):
                 body = value.as_py()
