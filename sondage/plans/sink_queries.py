@@ -67,6 +67,6 @@ def report_sink(spark, sf_dir):
     tables.write_reports(cards.withColumn("report", F.lit("[]")), f"{folder}/reports")
     tables.write_reports(cards, f"{folder}/reports")
     tables.write_reports(cards.where("run_id = 'r1'"), f"{folder}/reports")
-    stored = spark.read.parquet(f"{folder}/reports")
+    stored = tables.read_reports(spark, f"{folder}/reports")
     return stored.select("run_id", F.explode(F.from_json("report", "array<struct<question_id: string, severity: string>>")).alias("q")).select(
         "run_id", "q.question_id", "q.severity")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.operators.responses import KEY, answer_cells, matched_cells
-from sondage.sources import storage
-from sondage.sources.tables import BUCKETS, held_buckets, touched_rows, upsert_responses
+from sondage.sources import snapshots, storage
+from sondage.sources.tables import BUCKETS, held_buckets, tidy_responses, touched_rows, upsert_responses
 
 CELL = ["run_id", "question_id", "present", "paraphrase_idx", "value"]
 COMPACT_AFTER = 8
@@ -48,8 +48,9 @@ def apply_batch(spark: SparkSession, path: str, batch: DataFrame, batch_id: int,
     try:
         if not storage.exists(spark, f"{delta}/_SUCCESS"):
             who = ["run_id", "persona_id", "question_id"]
-            stored = touched_rows(spark, table, rows, held_buckets(spark, table))
-            before = rows.limit(0) if stored is None else stored.join(rows.select(*who).distinct(), who, "left_semi")
+            stored = snapshots.read(spark, table)
+            held = held_buckets(stored)
+            before = touched_rows(stored, rows, held).join(rows.select(*who).distinct(), who, "left_semi") if held else rows.limit(0)
             cell_changes(before, rows).write.mode("overwrite").option("compression", "zstd").parquet(delta)
         upsert_responses(spark, table, rows, buckets)
     finally:
@@ -57,6 +58,7 @@ def apply_batch(spark: SparkSession, path: str, batch: DataFrame, batch_id: int,
     done = _versions(spark, path, "base")
     if len([b for b in _versions(spark, path, "batch") if b > (done[-1] if done else -1)]) > compact_after:
         compact(spark, path)
+        tidy_responses(spark, table)
 
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sondage import config
 from sondage.functions import hashing, scalars
 from sondage.operators import gate, probes
-from sondage.sources import tables
+from sondage.sources import snapshots, tables
 
 
 def unit(v):
@@ -134,7 +134,7 @@ def test_upserts_converge(spark, tmp_path):
     path = str(tmp_path / "responses")
     for k, batch in enumerate([*batches, batches[2], batches[0]]):  # a table keeps the number of buckets it began with
         tables.upsert_responses(spark, path, spark.createDataFrame(batch, RESPONSES), buckets=4 + 3 * k)
-    assert spark.read.parquet(path).select("buckets").distinct().count() == 1
+    assert snapshots.read(spark, path).select("buckets").distinct().count() == 1
     want = {}
     for batch in batches:
         for *key, value, ts, seq in batch:
@@ -151,7 +151,7 @@ def test_reports_are_replaced_per_run(spark, tmp_path):
     write(("a", "1"), ("b", "1"))
     write(("b", "2"))
     write(("b", "2"))
-    assert sorted((r["run_id"], r["report"]) for r in spark.read.parquet(path).collect()) == [("a", "1"), ("b", "2")]
+    assert sorted((r["run_id"], r["report"]) for r in tables.read_reports(spark, path).collect()) == [("a", "1"), ("b", "2")]
 
 
 def test_price_and_constant_shapes():
