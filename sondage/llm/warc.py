@@ -58,7 +58,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
                     sink = fs.open_output_stream(f"{root}/{name}", compression=None)
                 kind = "response" if row["refers_to"] is None else "revisit"
                 digest = warc_records.digest_of(row["payload"])
-                member = warc_records.record(kind, str(row["page_id"]), row["url"], row["payload"], digest, row["refers_to"])
+                member = warc_records.record(kind, row["page_id"], row["url"], row["payload"], digest, row["refers_to"])
                 sink.write(member)
                 done.append({"archive": f"{folder}/{name}", "offset": at, "length": len(member), "url": row["url"], "digest": digest,
                              "page_id": row["page_id"], "record_type": kind, "refers_to": row["refers_to"],
@@ -88,9 +88,12 @@ def byte_ranges(selected: DataFrame, range_bytes: int = 8 << 20, gap_bytes: int
         F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
 
 
-def read_records(selected: DataFrame, range_bytes: int = 8 << 20, gap_bytes: int = 64 << 10) -> DataFrame:
+def read_records(selected: DataFrame, range_bytes: int = 8 << 20, gap_bytes: int = 64 << 10, task_bytes: int = 64 << 20) -> DataFrame:
     """The records of the given index rows, read with one seek per range and checked against their digests.
 
+    The ranges are dealt to as many tasks as their archives' bytes need, and no fewer than the cluster has cores: the index rows
+    that name them are too small to tell. Adding up their lengths is a job over the index.
+
     Returns page_id, url, record_type, refers_to, payload_digest, payload_bytes (of the full payload, also for a revisit)
     and payload (null for a revisit), as the archive has them. No rows give no rows.
     """
@@ -111,14 +114,16 @@ def read_records(selected: DataFrame, range_bytes: int = 8 << 20, gap_bytes: int
                     start = place["offset"] - row["first"]
                     got = warc_records.parse(data[start : start + place["length"]])
                     out.append({
-                        "page_id": None if (page := warc_records.page_of(got["WARC-Record-ID"])) == "None" else page,
-                        "url": got.get("WARC-Target-URI"), "record_type": got["WARC-Type"], "refers_to": warc_records.page_of(got.get("WARC-Refers-To")),
+                        "page_id": warc_records.page_of(got["WARC-Record-ID"]), "url": got.get("WARC-Target-URI"),
+                        "record_type": got["WARC-Type"], "refers_to": warc_records.page_of(got.get("WARC-Refers-To")),
                         "payload_digest": got["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": int(got["WARC-Payload-Length"]),
                         "payload": got["payload"]})
                 yield pa.RecordBatch.from_pylist(out, schema=ARROW_RECORD)
 
     ranges = byte_ranges(selected, range_bytes, gap_bytes)
-    spread = ranges.repartition("archive", "range").sortWithinPartitions("archive", "range")
+    wanted = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = max(selected.sparkSession.sparkContext.defaultParallelism, -(-wanted // task_bytes))
+    spread = ranges.repartition(tasks, "archive", "range").sortWithinPartitions("archive", "range")
     return spread.mapInArrow(read, RECORD)
 
 

@@ -29,11 +29,12 @@ def header_value(text: str, also: str = "") -> str:
     return "".join("".join(f"%{b:02X}" for b in c.encode()) if c < " " or c == "\x7f" or c in also else c for c in text)
 
 
-def record(kind: str, record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One compressed record. A revisit holds no payload, only its digest and full length."""
+def record(kind: str, record_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
+    """One compressed record. A revisit holds no payload, only its digest and full length. A record without id has a name of
+    another kind, so that no id can be taken for it."""
     block = payload if kind == "response" else b""
     fields = [
-        ("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{header_value(record_id, '%')}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Type", kind), ("WARC-Record-ID", "<urn:nopage>" if record_id is None else f"<urn:page:{header_value(record_id, '%')}>"), ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", header_value(url) if url is not None else None), ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Refers-To", f"<urn:page:{header_value(refers_to, '%')}>" if refers_to is not None else None),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if kind == "revisit" else None),
@@ -63,4 +64,4 @@ def parse(member: bytes) -> dict:
 def page_of(reference: str | None) -> str | None:
     from urllib.parse import unquote
 
-    return unquote(reference[len("<urn:page:") : -1]) if reference else None
+    return unquote(reference[len("<urn:page:") : -1]) if reference and reference.startswith("<urn:page:") else None

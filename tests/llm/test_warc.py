@@ -38,6 +38,19 @@ def test_round_trip(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_an_id_that_spells_none(spark):
+    rows = spark.createDataFrame([("None", "a"), (None, "b"), ("<urn:nopage>", "c")], "page_id string, html string").selectExpr("*", "'u' as url")
+    assert {(r["page_id"], bytes(r["payload"])) for r in read_records(write_archives(rows)).collect()} == {
+        ("None", b"a"), (None, b"b"), ("<urn:nopage>", b"c")}
+
+
+def test_reads_spread_by_the_bytes_of_archives(spark):
+    index = write_archives(pages(spark))
+    total = sum(r["length"] for r in index.collect())
+    assert read_records(index).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert read_records(index, task_bytes=50).rdd.getNumPartitions() == -(-total // 50)
+
+
 def test_selected_records_take_few_reads(spark):
     index = write_archives(pages(spark).coalesce(1))
     assert index.select("archive").distinct().count() == 1
