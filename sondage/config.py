@@ -196,6 +196,8 @@ INFEASIBLE_CELLS = {
 INFEASIBLE_TARGET_N = 200
 # severity of a synthetic signature
 SHIFT_FRACTION, TARGET_CORRELATION, CORRELATION_NOISE = 0.65, 0.92, 0.5
+#: What is left of an answer's distance from the middle of its scale once it is drawn in.
+MIDDLE_SHARE = 0.25
 
 # --- fixed values: clean corpus --------------------------------------------
 CORPUS_SUBJECTS = {

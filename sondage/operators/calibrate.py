@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage import config
-from sondage.functions.hashing import gaussian, uniform
+from sondage.functions.hashing import gaussian
 from sondage.functions.scalars import lookup
 from sondage.operators import evaluate, feasibility, inject, irt, redundancy
 from sondage.operators.inject import clip_scale
@@ -61,11 +61,13 @@ def variant_responses(variants: DataFrame, recorded: DataFrame, seed: int = conf
         F.when(~F.col("planted") | lo.isNull(), given)
         .when(twin & base, clip_scale(follow, lo, hi))
         .when((signature == "shift") & base, clip_scale(given + config.SHIFT_FRACTION * (hi - mid), lo, hi))
-        .when(signature == "dilute", F.least(hi, lo + F.floor(uniform(seed, "dilute", *key) * (hi - lo + 1))))
-        .when(signature == "concentrate", clip_scale(F.floor(mid) + 0.6 * gaussian(seed, "middle", *key), lo, hi))
+        .when(signature == "concentrate", inject.to_middle(given, lo, hi))
         .otherwise(given)
     )
-    return rows.select("run_id", "persona_id", "question_id", "paraphrase_idx", shown.cast("double").alias("value"))
+    # the defect is known from the variants, so each half of the union reads its own part of them
+    mixed = F.coalesce(F.col("planted") & lo.isNotNull() & (signature == "dilute"), F.lit(False))
+    answered = lambda part: part.select("run_id", "persona_id", "question_id", "paraphrase_idx", shown.cast("double").alias("value"))
+    return answered(rows.where(~mixed)).unionByName(inject.exchanged(answered(rows.where(mixed)), seed))
 
 
 def variant_quota_flags(variants: DataFrame, population: DataFrame, audiences: DataFrame, quotas: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sondage import config
 from sondage.functions.hashing import draw_bits, gaussian, pick, uniform
+from sondage.operators.ordered import over_order
 
 REWRITES = ["leading_wording", "double_barreled", "loaded_language", "redundant_pair"]
 VARIANTS = [(c, s) for c in config.DEFECT_CLASSES for s in config.DEFECT_SEVERITIES]
@@ -214,24 +215,35 @@ def clip_scale(x: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(lo, F.least(hi, F.bround(x, 0)))
 
 
+def to_middle(value: Column, lo: Column, hi: Column) -> Column:
+    """A recorded answer drawn in to the middle of its scale."""
+    mid = (lo + hi) / 2
+    return clip_scale(mid + config.MIDDLE_SHARE * (value - mid), lo, hi)
+
+
+def exchanged(rows: DataFrame, seed: int = config.SEED) -> DataFrame:
+    """Each answer gives way to that of the respondent before it in an order by hash, within run, question and wording; the
+    first one keeps its own. The answers stay what they were, but tell nothing about who gave them."""
+    key = [F.col(c) for c in ("run_id", "persona_id", "question_id", "paraphrase_idx")]
+    placed = over_order(
+        rows.withColumn("_rank", uniform(seed, "dilute", *key)), ["run_id", "question_id", "paraphrase_idx"], ["_rank", "persona_id"],
+        lambda w: {"_other": F.lag("value").over(w)}, before=1)
+    return placed.withColumn("value", F.coalesce("_other", "value")).select(*rows.columns)
+
+
 def perturb(responses: DataFrame, defect: str, lo: Column, hi: Column, seed: int = config.SEED) -> DataFrame:
     """Rewrite recorded answers of affected questions so that they show a defect's signature.
 
-    shift: the original wording drifts to the top of the scale; dilute: answers
-    lose their information; concentrate: answers collapse to the middle.
+    shift: the original wording drifts to the top of the scale; dilute: respondents exchange their answers; concentrate:
+    answers are drawn in to the middle. All come from recorded answers, none is made up.
     `responses` carries an `affected` column; other rows pass through.
     """
-    key = [F.col(c) for c in ("run_id", "persona_id", "question_id", "paraphrase_idx")]
-    mid = (lo + hi) / 2
-    new = {
-        "shift": F.when(
-            F.col("paraphrase_idx") == 0, clip_scale(F.col("value") + config.SHIFT_FRACTION * (hi - mid), lo, hi)
-        ).otherwise(F.col("value")),
-        "dilute": F.least(hi, lo + F.floor(uniform(seed, "dilute", *key) * (hi - lo + 1))),
-        "concentrate": clip_scale(F.floor(mid) + F.lit(0.6) * gaussian(seed, "middle", *key), lo, hi),
-    }[defect]
-    changed = F.when(F.col("affected") & F.col("value").isNotNull(), new).otherwise(F.col("value"))
-    return responses.withColumn("value", changed.cast("double"))
+    value, hit = F.col("value"), F.coalesce(F.col("affected"), F.lit(False)) & F.col("value").isNotNull()
+    if defect == "dilute":
+        return responses.where(~hit).unionByName(exchanged(responses.where(hit), seed))
+    up = F.when(F.col("paraphrase_idx") == 0, clip_scale(value + config.SHIFT_FRACTION * (hi - (lo + hi) / 2), lo, hi)).otherwise(value)
+    new = {"shift": up, "concentrate": to_middle(value, lo, hi)}[defect]
+    return responses.withColumn("value", F.when(hit, new).otherwise(value).cast("double"))
 
 
 def perturb_correlate(responses: DataFrame, source: str, target: str, seed: int = config.SEED) -> DataFrame:

@@ -178,11 +178,12 @@ perturb_shift = _perturb(
     f"CASE WHEN paraphrase_idx = 0 THEN {_CLIP(f'value + {config.SHIFT_FRACTION}::DOUBLE * 2.0', 1, 5)} ELSE value END",
 )
 perturb_dilute = _perturb(
-    "perturb_dilute", "dilute", "view", 1, 7, f"least(7, 1 + floor({sql_uniform(str(SEED), chr(39) + 'dilute' + chr(39), *_KEYED)} * 7))"
+    "perturb_dilute", "dilute", "view", 1, 7,
+    "coalesce(lag(value) OVER (PARTITION BY run_id, question_id, paraphrase_idx, value IS NULL ORDER BY "
+    f"{sql_uniform(str(SEED), chr(39) + 'dilute' + chr(39), *_KEYED)}, persona_id), value)"
 )
 perturb_concentrate = _perturb(
-    "perturb_concentrate", "concentrate", "purchase", 0, 5,
-    _CLIP(f"2 + 0.6::DOUBLE * {sql_gauss(str(SEED), chr(39) + 'middle' + chr(39), *_KEYED)}", 0, 5),
+    "perturb_concentrate", "concentrate", "purchase", 0, 5, _CLIP(f"2.5 + {config.MIDDLE_SHARE}::DOUBLE * (value - 2.5)", 0, 5),
 )
 
 

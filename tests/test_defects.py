@@ -110,6 +110,26 @@ def test_perturbed_answers_stay_on_the_scale(spark):
         assert values <= {1.0, 2.0, 3.0, 4.0, 5.0}
 
 
+def test_exchanged_answers_are_the_recorded_ones(spark):
+    rows = recorded(spark, ["s"], ["Q", "R"], people=150).withColumn("affected", F.col("question_id") == "Q").persist()
+    # a row without value and one of unknown state pass through
+    odd = rows.limit(2).select("run_id", F.concat(F.lit("x"), F.monotonically_increasing_id()).alias("persona_id"), "question_id", "paraphrase_idx",
+                               F.when(F.monotonically_increasing_id() > 0, 3.0).alias("value"), F.lit(None).cast("boolean").alias("affected"))
+    both = rows.unionByName(odd)
+    key = lambda r: (r["run_id"], r["persona_id"], r["question_id"], r["paraphrase_idx"])
+    before = {key(r): r["value"] for r in both.collect()}
+    after = {key(r): r["value"] for r in inject.perturb(both, "dilute", F.lit(1.0), F.lit(5.0)).collect()}
+    assert before.keys() == after.keys()
+    assert all(after[k] == before[k] for k in before if k[2] == "R" or k[1].startswith("x"))
+    moved = sum(after[k] != before[k] for k in before if k[2] == "Q")
+    assert moved > 0.3 * sum(k[2] == "Q" for k in before)
+    for wording in {k[3] for k in before}:
+        count = lambda found: sorted(v for k, v in found.items() if k[2:] == ("Q", wording) and v is not None)
+        old, new = count(before), count(after)
+        # each recorded answer is handed on once; only the last one's gives way to the first one's
+        assert len(old) == len(new) and sum(a != b for a, b in zip(old, new)) <= max(old) - min(old)
+
+
 def test_tally_counts_duplicates_and_defaults(spark):
     rows = [
         (None, None, ["leading_wording", "leading_wording"]), ("leading_wording", None, ["leading_wording", "leading_wording", "double_barreled"]),
